@@ -11,7 +11,7 @@ from cupboard.functions.text import SPACE, narrow_digits, strip
 
 # Directive -> (pattern, role). Only the calendar date is kept, so times and offsets have no role.
 _DIRECTIVES = {
-    "%Y": (r"([0-9]{4})", "y"),
+    "%Y": (r"((?!0000)[0-9]{4})", "y"),
     "%y": (r"([0-9]{2})", "yy"),
     "%m": (r"(1[0-2]|0[1-9]|[1-9])", "m"),
     "%b": (r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "b"),
@@ -24,7 +24,7 @@ _DIRECTIVES = {
 
 _CLOCK = r"(?:[01][0-9]|2[0-3])(?::?[0-5][0-9](?::?[0-5][0-9](?:[.,][0-9]+)?)?)?"
 _OFFSET = r"(?:Z|[+-][0-9]{2}(?::?[0-5][0-9](?::?[0-5][0-9](?:\.[0-9]+)?)?)?)?"
-_ISO = rf"(?s)^([0-9]{{4}})(-?)([0-9]{{2}})\2([0-9]{{2}})(?:.{_CLOCK}{_OFFSET})?$"
+_ISO = rf"(?s)^((?!0000)[0-9]{{4}})(-?)([0-9]{{2}})\2([0-9]{{2}})(?:.{_CLOCK}{_OFFSET})?$"
 
 
 def _rewrite(text: Column, fmt: str) -> Column:
@@ -42,10 +42,11 @@ def _rewrite(text: Column, fmt: str) -> Column:
             pattern += re.sub(r"([^\w])", r"\\\1", part)
     group = {role: f"${i}" for i, role in enumerate(roles, 1)}
     year = group["y"] if "y" in group else "20" + group["yy"]
-    month, month_format = (group["m"], "M") if "m" in group else (group["b"], "MMM")
-    # The leading mark tells a rewritten text from one the pattern left alone.
-    marked = F.regexp_replace(text, f"(?iU)^{pattern}$", f"#{year}-{month}-{group['d']}")
-    date = F.try_to_date(marked, f"'#'yyyy-{month_format}-d")
+    month = group["m"] if "m" in group else group["b"]
+    pattern = f"(?iU)^{pattern}$"
+    plain = F.regexp_replace(text, pattern, f"{year}-{month}-{group['d']}")
+    # Texts of another format never reach the conversion: a failing date parser costs far more than a pattern.
+    date = F.when(text.rlike(pattern), plain.try_cast("date") if "m" in group else F.try_to_date(plain, "yyyy-MMM-d"))
     if "yy" in group:  # two-digit years 69-99 belong to the 1900s
         date = F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
     return date
@@ -53,7 +54,7 @@ def _rewrite(text: Column, fmt: str) -> Column:
 
 def iso_date(text: Column) -> Column:
     """Date part of an ISO date or date-time, as written: an offset never moves the day."""
-    return F.try_to_date(F.regexp_replace(text, _ISO, "#$1-$3-$4"), "'#'yyyy-MM-dd")
+    return F.when(text.rlike(_ISO), F.regexp_replace(text, _ISO, "$1-$3-$4").try_cast("date"))
 
 
 def parse_date(raw: Column, formats: list[str], iso_fallback: bool = True) -> Column:

@@ -22,12 +22,16 @@ def consolidate(items: DataFrame, sessions: DataFrame) -> DataFrame:
     the final grouping sees the frames of a long session.
     """
     key = ["session_id", "name_key", "category", "location_key"]
+    # Equal detections of many frames become one row first, before any text is normalised.
+    seen = items.groupBy("session_id", "name", "category", "condition", "location").agg(
+        F.count("*").alias("n"), F.min("frame").alias("frame")
+    )
     spelled = (
-        items.filter(normal_form(F.col("name")) != "")
-        .withColumns({"name_key": normal_form(F.col("name")), "location_key": normal_form(F.col("location"))})
+        seen.withColumns({"name_key": normal_form(F.col("name")), "location_key": normal_form(F.col("location"))})
+        .filter("name_key <> ''")
         .groupBy(*key, "name")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("n").alias("n"),
             F.min("location").alias("location"),
             F.min(F.struct("frame", "condition")).alias("first_seen"),
         )

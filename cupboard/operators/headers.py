@@ -1,8 +1,9 @@
-"""Header names to column positions, and format detection. All row-local: one row per file in, one out."""
+"""Header names to column positions, and format detection: one row per file in, one out."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +76,21 @@ def detect_format(matches: Column) -> Column:
     return F.when(best["score"] >= MIN_SCORE, -best["later"])
 
 
-def _with_names(files: DataFrame) -> DataFrame:
-    names = files.withColumn("names", F.transform("header", strip))
-    return names.withColumn("lowered", F.transform("names", F.lower))
+def _per_header(files: DataFrame, mapping: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Map each distinct header once and join the result back: files share few headers."""
+    distinct = files.select("header").distinct()
+    names = distinct.withColumn("names", F.transform("header", strip))
+    mapped = mapping(names.withColumn("lowered", F.transform("names", F.lower))).drop("lowered")
+    return files.join(mapped, "header", "left")
 
 
 def score_formats(files: DataFrame, formats: dict) -> DataFrame:
     """Add the matches of every format, and the index of the one detected."""
-    files = _with_names(files).withColumn("matches", match_formats(F.col("names"), F.col("lowered"), formats))
-    return files.withColumn("detected", detect_format(F.col("matches"))).drop("lowered")
+    def scored(headers: DataFrame) -> DataFrame:
+        matches = headers.withColumn("matches", match_formats(F.col("names"), F.col("lowered"), formats))
+        return matches.withColumn("detected", detect_format(F.col("matches")))
+
+    return _per_header(files, scored)
 
 
 def map_by_registry(
@@ -113,7 +120,6 @@ def map_by_header_sets(files: DataFrame, header_sets, source: str) -> DataFrame:
 
     ``variant`` is 1 or 2 for the set used, NULL if neither matches.
     """
-    files = _with_names(files)
     hits = [F.arrays_overlap("names", F.array(*map(F.lit, s))) for s in header_sets]
     variant = F.when(hits[0], 1).when(hits[1], 2)
 
@@ -127,12 +133,10 @@ def map_by_header_sets(files: DataFrame, header_sets, source: str) -> DataFrame:
             branches = branches.when(F.col("variant") == number, F.coalesce(*found, F.lit(None).cast("long")))
         return branches.otherwise(F.lit(None)).cast("int")
 
-    files = files.withColumn("variant", variant)
-    return files.withColumns({
-        **{f"{m}_at": position(m) for m in MEANINGS[:-1]},
-        "category_at": F.lit(None).cast("int"),
-        "source": F.lit(source),
-    }).drop("lowered")
+    mapped = _per_header(files, lambda headers: headers.withColumn("variant", variant).withColumns(
+        {f"{m}_at": position(m) for m in MEANINGS[:-1]}
+    ))
+    return mapped.withColumns({"category_at": F.lit(None).cast("int"), "source": F.lit(source)})
 
 
 def map_shop_a(files: DataFrame) -> DataFrame:
@@ -145,16 +149,11 @@ def map_shop_b(files: DataFrame) -> DataFrame:
 
 def map_statement(files: DataFrame, source: str = "credit_card") -> DataFrame:
     """Statement importer: for each meaning the first header, in header order, that is a candidate in any case."""
-    files = _with_names(files)
-
     def position(meaning: str) -> Column:
         wanted = F.array(*[F.lit(c.lower()) for c in STATEMENT_HEADERS[meaning]])
         first = F.get(F.filter("lowered", lambda h: F.array_contains(wanted, h)), 0)
         name = F.get(F.col("names"), F.array_position(F.col("lowered"), first).cast("int") - 1)
         return F.when(first.isNotNull(), _last_position(F.col("names"), name)).cast("int")
 
-    return files.withColumns({
-        **{f"{m}_at": position(m) for m in MEANINGS[:-1]},
-        "category_at": F.lit(None).cast("int"),
-        "source": F.lit(source),
-    }).drop("lowered")
+    mapped = _per_header(files, lambda headers: headers.withColumns({f"{m}_at": position(m) for m in MEANINGS[:-1]}))
+    return mapped.withColumns({"category_at": F.lit(None).cast("int"), "source": F.lit(source)})

@@ -236,9 +236,9 @@ def receipt_fields(v: Views) -> DataFrame:
 
 
 def receipt_items(v: Views) -> DataFrame:
-    return receipts.extract(_scans(v)).select("image_path", F.inline("items")).groupBy("image_path", "name", "price").agg(
-        F.count("*").alias("n")
-    )
+    # The outer form: for the inner one Spark adds a filter that would extract the items once more.
+    rows = receipts.extract(_scans(v)).select("image_path", F.inline_outer("items")).filter("name IS NOT NULL")
+    return rows.groupBy("image_path", "name", "price").agg(F.count("*").alias("n"))
 
 
 def receipt_confidence(v: Views) -> DataFrame:

@@ -189,6 +189,11 @@ VIEWS = {
 }
 
 
+# Views whose texts are read by costly expressions, and the large tables below them.
+TEXT_VIEWS = ("dirty", "ocr", "frames", "export_rows")
+LARGE_TABLES = ("lineitem", "orders", "documents")
+
+
 def _needs(name: str) -> list[str]:
     return list(dict.fromkeys(field for _, field, _, _ in string.Formatter().parse(VIEWS[name]) if field))
 
@@ -208,6 +213,12 @@ def sql_for(*names: str) -> str:
     return ", ".join(f"{name} AS ({text})" for name, text in done.items())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table of fewer scan splits than cores; a table of many splits is left as scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Views:
     """The derived tables over a folder of Parquet files, built lazily."""
 
@@ -218,9 +229,15 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
-        bases = {base: self.view(base) if base in VIEWS else self.table(base) for base in _needs(name)}
-        return self.spark.sql(VIEWS[name], **bases)
+    def view(self, name: str, dealt_out: bool = False) -> DataFrame:
+        dealt_out = dealt_out or name in TEXT_VIEWS
+
+        def base(name: str) -> DataFrame:
+            if name in VIEWS:
+                return self.view(name, dealt_out)
+            return spread(self.table(name)) if dealt_out and name in LARGE_TABLES else self.table(name)
+
+        return self.spark.sql(VIEWS[name], **{needed: base(needed) for needed in _needs(name)})
 
     @cached_property
     def purchases(self) -> DataFrame:
