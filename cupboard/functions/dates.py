@@ -57,15 +57,24 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(_ISO), F.regexp_replace(text, _ISO, "$1-$3-$4").try_cast("date"))
 
 
-def parse_date(raw: Column, formats: list[str], iso_fallback: bool = True) -> Column:
-    """First format that takes the whole trimmed text, then ISO, else NULL."""
-    text = narrow_digits(strip(raw))
+def date_text(raw: Column) -> Column:
+    """Trimmed text with plain digits, as the patterns expect it."""
+    return narrow_digits(strip(raw))
+
+
+def parse_clean_date(text: Column, formats: list[str], iso_fallback: bool = True) -> Column:
+    """``parse_date`` of a text that is cleaned already; best given a column, since each format reads it."""
     tries = [_rewrite(text, fmt) for fmt in formats]
     if iso_fallback:
         tries.append(iso_date(text))
     return F.coalesce(*tries)
 
 
+def parse_date(raw: Column, formats: list[str], iso_fallback: bool = True) -> Column:
+    """First format that takes the whole trimmed text, then ISO, else NULL."""
+    return parse_clean_date(date_text(raw), formats, iso_fallback)
+
+
 def shift_months(day: Column, months: int) -> Column:
     """Month shift that overflows instead of clamping: 31 August minus 6 months is 3 March."""
     return F.date_add(F.add_months(F.trunc(day, "MM"), months), F.dayofmonth(day) - 1)

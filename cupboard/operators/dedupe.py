@@ -6,6 +6,7 @@ shuffle, so a key that holds a third of all rows sends one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,12 @@ ORDER_KEY = ("source", "order_id")
 COMPOSITE_KEY = ("source", "item_name", "purchase_date", "price")
 
 
-def first_of_key(rows: DataFrame, keys: tuple[str, ...], order: Column | list[Column]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*(order if isinstance(order, list) else [order]))
+def first_of_key(rows: DataFrame, keys: tuple[str, ...], order: Sequence[str | Column]) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
 
-def first_new_of_key(rows: DataFrame, seen: DataFrame, keys: tuple[str, ...], order: Column) -> DataFrame:
+def first_new_of_key(rows: DataFrame, seen: DataFrame, keys: tuple[str, ...], order: Sequence[str]) -> DataFrame:
     """First row of each key, without the keys in ``seen``. NULL keys must be kept out by the caller.
 
     Seen keys enter the same grouping as rows that sort before all others, so one shuffle does both.
@@ -28,7 +29,7 @@ def first_new_of_key(rows: DataFrame, seen: DataFrame, keys: tuple[str, ...], or
     pool = rows.withColumn("_seen", F.lit(0)).unionByName(
         seen.select(*keys).withColumn("_seen", F.lit(-1)), allowMissingColumns=True
     )
-    return first_of_key(pool, keys, [F.col("_seen"), order]).filter("_seen = 0").drop("_seen")
+    return first_of_key(pool, keys, ["_seen", *order]).filter("_seen = 0").drop("_seen")
 
 
 def is_blank(column: Column | str) -> Column:
@@ -52,19 +53,19 @@ def without_seen(rows: DataFrame, seen: DataFrame, keys: tuple[str, ...]) -> Dat
     return rows.join(hits, list(keys), "left_anti")
 
 
-def _order_firsts(rows: DataFrame, target: DataFrame, order: Column) -> DataFrame:
+def _order_firsts(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
     with_id = rows.filter(~is_blank("order_id"))
     seen = _in_batch(target.filter(~is_blank("order_id")).select(*ORDER_KEY), with_id, ORDER_KEY)
     return first_new_of_key(with_id, seen, ORDER_KEY, order)
 
 
-def accept_by_order(rows: DataFrame, target: DataFrame, order: Column) -> DataFrame:
+def accept_by_order(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
     """Order-id rule alone (dedicated shop importers): rows without an order id always pass."""
     return _order_firsts(rows, target, order).unionByName(rows.filter(is_blank("order_id")))
 
 
-def accept_new(rows: DataFrame, target: DataFrame, order: Column) -> DataFrame:
-    """Rows a first-wins sequential load would insert.
+def accept_new(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows a first-wins sequential load would insert; ``order`` names the columns that order the rows.
 
     * order id present: first row of (source, order id) not in the target;
     * no order id, but item, date and price: first row of the composite key among the rows without an
@@ -86,16 +87,16 @@ def accept_new(rows: DataFrame, target: DataFrame, order: Column) -> DataFrame:
         [
             keyed.withColumn("_origin", F.lit(0)),
             # Payload columns stay out of the comparison rows; only key and order travel.
-            earlier_orders.select(*COMPOSITE_KEY, order.alias("_at"), "_origin"),
+            earlier_orders.select(*COMPOSITE_KEY, *[c for c in order if c not in COMPOSITE_KEY], "_origin"),
             earlier_target,
         ],
     )
-    rank = [F.col("_origin") != -1, F.coalesce(F.col("_at"), order)]
-    by_composite = first_of_key(pool, COMPOSITE_KEY, rank).filter("_origin = 0").drop("_origin", "_at")
+    rank = [F.col("_origin") != -1, *order]
+    by_composite = first_of_key(pool, COMPOSITE_KEY, rank).filter("_origin = 0").drop("_origin")
     return by_order.unionByName(by_composite).unionByName(always)
 
 
-def accept_possessions(rows: DataFrame, target: DataFrame, order: Column) -> DataFrame:
+def accept_possessions(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
     """Possessions new by (name, category), first wins, also within the batch."""
     keys = ("name", "category")
     return first_new_of_key(rows, _in_batch(target.select(*keys), rows, keys), keys, order)

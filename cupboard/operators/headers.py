@@ -76,10 +76,17 @@ def detect_format(matches: Column) -> Column:
     return F.when(best["score"] >= MIN_SCORE, -best["later"])
 
 
+def _repeated_at() -> Column:
+    """Where a name occurs more than once, the position of the last cell of each name; NULL elsewhere."""
+    header, at_all = F.col("header"), F.sequence(F.lit(1), F.size("header"))
+    last = F.filter(at_all, lambda at: _last_position(header, F.get(header, at - 1)) == at)
+    return F.when(F.size(F.array_distinct(header)) < F.size(header), last)
+
+
 def _per_header(files: DataFrame, mapping: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Map each distinct header once and join the result back: files share few headers."""
     distinct = files.select("header").distinct()
-    names = distinct.withColumn("names", F.transform("header", strip))
+    names = distinct.withColumn("names", F.transform("header", strip)).withColumn("repeated_at", _repeated_at())
     mapped = mapping(names.withColumn("lowered", F.transform("names", F.lower))).drop("lowered")
     return files.join(mapped, "header", "left")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from cupboard.operators.dedupe import accept_by_order, accept_new, is_blank
 from cupboard.operators.normalize import Importer, to_purchases
 from cupboard.session import prepare, scratch_dir, write_and_reload
-from cupboard.sources.exports import file_headers, profile_files, read_cells, row_order
+from cupboard.sources.exports import ROW_ORDER, file_headers, number_files, profile_files, read_cells
 
 TARGET_COLUMNS = "source string, item_name string, price double, purchase_date date, order_id string"
 
@@ -42,12 +42,9 @@ def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer
     known = F.col("charset").isNotNull() & F.col("header").isNotNull()
     if importer.needs_known_header:
         known = known & F.col("variant").isNotNull()
-    files = write_and_reload(files.withColumn("is_error", ~known), f"{base}/files")
+    files = write_and_reload(number_files(files.withColumn("is_error", ~known)), f"{base}/files")
     usable = files.filter("NOT is_error")
-    positions = [c for c in usable.columns if c.endswith("_at")]
-    mapping = usable.select(
-        "file_path", "header", "format_key", "source", *positions, *(["variant"] if "variant" in usable.columns else [])
-    )
+    mapping = usable.drop("file_size", "charset", "multi_line", "is_error", "names")
     # One row per file; broadcast only below Spark's size threshold, else joined with skew splitting.
     rows = read_cells(spark, usable).join(mapping, "file_path")
     return files, write_and_reload(to_purchases(rows, importer), f"{base}/rows")
@@ -64,7 +61,7 @@ def import_exports(
     if importer.drops_empty_rows:
         rows = rows.filter(~empty)
     accept = accept_new if importer.compares_composite else accept_by_order
-    accepted = write_and_reload(accept(rows, target, row_order()))
+    accepted = write_and_reload(accept(rows, target, ROW_ORDER))
 
     dropped = empty & ~F.col("is_error") if importer.drops_empty_rows else F.lit(False)
     seen = staged.groupBy("file_path").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cupboard import registry
-from cupboard.functions.dates import parse_date
+from cupboard.functions.dates import date_text, parse_clean_date
 from cupboard.functions.money import amount_of, currency_of, shop_a_amount, shop_b_amount
 from cupboard.functions.text import row_json, strip
 from cupboard.operators import headers
@@ -33,7 +33,7 @@ def _by_format(formats: dict) -> Callable[[Column], Column]:
     def date(raw: Column) -> Column:
         branches = F
         for key, definition in formats.items():
-            parsed = parse_date(raw, definition.get("date_formats", registry.DEFAULT_DATE_FORMATS))
+            parsed = parse_clean_date(raw, definition.get("date_formats", registry.DEFAULT_DATE_FORMATS))
             branches = branches.when(F.col("format_key") == key, parsed)
         return branches.otherwise(F.lit(None).cast("date"))
 
@@ -57,7 +57,7 @@ def shop_a_importer() -> Importer:
         map_headers=lambda files: headers.map_shop_a(files).withColumn("format_key", F.lit("shop_a")),
         amount=shop_a_amount,
         currency=lambda raw: F.when(F.col("variant") == 1, "JPY").otherwise("USD"),
-        date=lambda raw: parse_date(raw, registry.SHOP_A_DATES, iso_fallback=False),
+        date=lambda raw: parse_clean_date(raw, registry.SHOP_A_DATES, iso_fallback=False),
         drops_empty_rows=False,
         compares_composite=False,
         needs_known_header=True,
@@ -69,7 +69,7 @@ def shop_b_importer() -> Importer:
         map_headers=lambda files: headers.map_shop_b(files).withColumn("format_key", F.lit("shop_b")),
         amount=shop_b_amount,
         currency=lambda raw: F.lit("JPY"),
-        date=lambda raw: parse_date(raw, registry.SHOP_B_DATES, iso_fallback=False),
+        date=lambda raw: parse_clean_date(raw, registry.SHOP_B_DATES, iso_fallback=False),
         drops_empty_rows=False,
         compares_composite=False,
         needs_known_header=True,
@@ -81,7 +81,7 @@ def statement_importer(source: str = "credit_card") -> Importer:
         map_headers=lambda files: headers.map_statement(files, source).withColumn("format_key", F.lit("statement")),
         amount=amount_of,
         currency=currency_of,
-        date=lambda raw: parse_date(raw, registry.STATEMENT_DATES),
+        date=lambda raw: parse_clean_date(raw, registry.STATEMENT_DATES),
         drops_empty_rows=True,
         compares_composite=True,
         needs_known_header=False,
@@ -101,36 +101,47 @@ def to_purchases(rows: DataFrame, importer: Importer) -> DataFrame:
     def cut_off(meaning: str) -> Column:
         return F.coalesce(F.col(f"{meaning}_at") > F.col("n_cells"), F.lit(False))
 
-    held = F.transform(
-        F.sequence(F.lit(1), F.size("header")),
-        lambda at: F.when(at <= F.col("n_cells"), F.coalesce(F.get(F.col("cells"), at - 1), F.lit(""))),
-    )
-    last = F.filter(
-        F.sequence(F.lit(1), F.size("header")),
-        lambda at: ~F.array_contains(
-            F.slice(F.col("header"), at + 1, F.size("header")), F.get(F.col("header"), at - 1)
-        ),
-    )
-    plain = F.size(F.array_distinct("header")) == F.size("header")
-    names = F.when(plain, F.col("header")).otherwise(F.transform(last, lambda at: F.get(F.col("header"), at - 1)))
-    values = F.when(plain, held).otherwise(F.transform(last, lambda at: F.get(held, at - 1)))
-    extra = F.when(F.col("overlong").isNull(), F.array().cast("array<string>")).otherwise(F.array("overlong"))
-    extra_name = F.when(F.col("overlong").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("null")))
-
-    raw_price = cell("price")
-    typed = rows.select(
-        "file_path", "file_block_start", "row_id", "format_key", "source",
+    # First the texts, each read by several expressions below, then their values.
+    texts = rows.select(
+        *[c for c in rows.columns if not c.endswith("_at") and c not in ("cells", "overlong")],
         F.coalesce(strip(cell("item_name")), F.lit("")).alias("item_name"),
-        importer.amount(raw_price).alias("price"),
-        F.when(F.coalesce(raw_price, F.lit("")) == "", importer.currency(F.lit("")))
-        .otherwise(importer.currency(raw_price)).alias("currency"),
-        importer.date(cell("purchase_date")).alias("purchase_date"),
+        F.coalesce(cell("price"), F.lit("")).alias("price_text"),
+        date_text(cell("purchase_date")).alias("date_text"),
         F.nullif(strip(cell("order_id")), F.lit("")).alias("order_id"),
         F.nullif(strip(cell("category")), F.lit("")).alias("category"),
-        row_json(F.concat(names, extra_name), F.concat(values, extra)).alias("raw_data"),
+        _raw_row().alias("raw_data"),
         (cut_off("item_name") | cut_off("order_id") | cut_off("category")).alias("is_error"),
     )
-    return typed
+    price = F.col("price_text")
+    return texts.select(
+        "file_path", "file_no", "file_block_start", "row_id", "format_key", "source", "item_name",
+        importer.amount(price).alias("price"),
+        importer.currency(price).alias("currency"),
+        importer.date(F.col("date_text")).alias("purchase_date"),
+        "order_id", "category", "raw_data", "is_error",
+    )
+
+
+def _raw_row() -> Column:
+    """The row as JSON. Cells a short row lacks are null; the cells of an overlong row come along whole."""
+    def held(at: Column) -> Column:
+        return F.when(at <= F.col("n_cells"), F.coalesce(F.get(F.col("cells"), at - 1), F.lit("")))
+
+    regular = F.col("repeated_at").isNull() & (F.col("n_cells") == F.size("cells"))
+    at_all = F.coalesce("repeated_at", F.sequence(F.lit(1), F.size("header")))
+    general = row_json(
+        F.concat(
+            F.transform(at_all, lambda at: F.get(F.col("header"), at - 1)),
+            F.when(F.col("overlong").isNotNull(), F.array(F.lit("null"))).otherwise(F.array().cast("array<string>")),
+        ),
+        F.concat(
+            F.transform(at_all, held),
+            F.when(F.col("overlong").isNotNull(), F.array("overlong")).otherwise(F.array().cast("array<string>")),
+        ),
+    )
+    return F.when(
+        regular, row_json(F.col("header"), F.transform("cells", lambda cell: F.coalesce(cell, F.lit(""))))
+    ).otherwise(general)
 
 
 def parse_item_lines(lines: DataFrame, as_of_date: Column, column: str = "value") -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cupboard import registry, schemas
-from cupboard.functions.dates import parse_date
+from cupboard.functions.dates import date_text, parse_clean_date
 from cupboard.functions.money import amount_of, currency_of, shop_a_amount, shop_b_amount
 from cupboard.functions.text import row_json
 from cupboard.operators import dedupe, detections, headers, load, normalize, quality, receipts, state
@@ -44,17 +44,21 @@ def _price_query(amount, currency=None):
     return query
 
 
+def _clean_dates(v: Views) -> DataFrame:
+    return v.view("dirty").select(*LINE_KEY, "date_text", date_text(F.col("date_text")).alias("clean"))
+
+
 def _date_query(formats: list[str], iso_fallback: bool):
     def query(v: Views) -> DataFrame:
-        day = parse_date(F.col("date_text"), formats, iso_fallback)
-        return v.view("dirty").select(*LINE_KEY, "date_text", day.alias("day"))
+        day = parse_clean_date(F.col("clean"), formats, iso_fallback)
+        return _clean_dates(v).select(*LINE_KEY, "date_text", day.alias("day"))
 
     return query
 
 
 def dates_by_format(v: Views) -> DataFrame:
-    return v.view("dirty").select(*LINE_KEY, "date_text", *[
-        parse_date(F.col("date_text"), f["date_formats"]).alias(f"day_{key}") for key, f in registry.FORMATS.items()
+    return _clean_dates(v).select(*LINE_KEY, "date_text", *[
+        parse_clean_date(F.col("clean"), f["date_formats"]).alias(f"day_{key}") for key, f in registry.FORMATS.items()
     ])
 
 
@@ -86,7 +90,7 @@ def item_line_statistics(v: Views) -> DataFrame:
 def new_possessions(v: Views) -> DataFrame:
     lines = _item_lines(v).filter("status = 'accepted'")
     owned = v.possessions.filter("id % 6 = 0").select(F.substring("name", 1, 8).alias("name"), "category")
-    return dedupe.accept_possessions(lines, owned, F.col("row_id")).select("row_id", "name", "category", "brand")
+    return dedupe.accept_possessions(lines, owned, ["row_id"]).select("row_id", "name", "category", "brand")
 
 
 def consumable_defaults(v: Views) -> DataFrame:
@@ -140,12 +144,12 @@ def statement_mapping(v: Views) -> DataFrame:
 HISTORY_END = "1999-01-01"
 
 
-def _batch(v: Views) -> tuple[DataFrame, DataFrame, Column]:
+def _batch(v: Views) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
     """Staged rows cut by ship date into a batch and the history it is compared with."""
     staged = v.view("staged")
     is_history = F.col("l_shipdate") < F.lit(HISTORY_END).cast("timestamp_ntz")
     batch = dedupe.drop_empty(staged.filter(~is_history))
-    return batch, staged.filter(is_history), F.struct(*ROW_KEY)
+    return batch, staged.filter(is_history), ROW_KEY
 
 
 STAGED = [*LINE_KEY, "source", "item_name", "price", "purchase_date", "order_id"]
