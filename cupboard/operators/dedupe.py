@@ -53,18 +53,20 @@ def without_seen(rows: DataFrame, seen: DataFrame, keys: tuple[str, ...]) -> Dat
     return rows.join(hits, list(keys), "left_anti")
 
 
-def _order_firsts(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
+def _order_firsts(rows: DataFrame, target: DataFrame | None, order: Sequence[str]) -> DataFrame:
     with_id = rows.filter(~is_blank("order_id"))
+    if target is None:
+        return first_of_key(with_id, ORDER_KEY, order)
     seen = _in_batch(target.filter(~is_blank("order_id")).select(*ORDER_KEY), with_id, ORDER_KEY)
     return first_new_of_key(with_id, seen, ORDER_KEY, order)
 
 
-def accept_by_order(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
+def accept_by_order(rows: DataFrame, target: DataFrame | None, order: Sequence[str]) -> DataFrame:
     """Order-id rule alone (dedicated shop importers): rows without an order id always pass."""
     return _order_firsts(rows, target, order).unionByName(rows.filter(is_blank("order_id")))
 
 
-def accept_new(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> DataFrame:
+def accept_new(rows: DataFrame, target: DataFrame | None, order: Sequence[str]) -> DataFrame:
     """Rows a first-wins sequential load would insert; ``order`` names the columns that order the rows.
 
     * order id present: first row of (source, order id) not in the target;
@@ -78,9 +80,10 @@ def accept_new(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> Data
     keyed = no_id.filter(comparable)
     always = no_id.filter(~comparable)
 
-    earlier_target = _in_batch(
-        target.filter(comparable).select(*COMPOSITE_KEY), keyed, ("source", "purchase_date")
-    ).select(*COMPOSITE_KEY, F.lit(-1).alias("_origin"))
+    stored = []
+    if target is not None:
+        near = _in_batch(target.filter(comparable).select(*COMPOSITE_KEY), keyed, ("source", "purchase_date"))
+        stored = [near.select(*COMPOSITE_KEY, F.lit(-1).alias("_origin"))]
     earlier_orders = by_order.filter(comparable).withColumn("_origin", F.lit(1))
     pool = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -88,7 +91,7 @@ def accept_new(rows: DataFrame, target: DataFrame, order: Sequence[str]) -> Data
             keyed.withColumn("_origin", F.lit(0)),
             # Payload columns stay out of the comparison rows; only key and order travel.
             earlier_orders.select(*COMPOSITE_KEY, *[c for c in order if c not in COMPOSITE_KEY], "_origin"),
-            earlier_target,
+            *stored,
         ],
     )
     rank = [F.col("_origin") != -1, *order]

@@ -14,9 +14,6 @@ from cupboard.operators.normalize import Importer, to_purchases
 from cupboard.session import prepare, scratch_dir, write_and_reload
 from cupboard.sources.exports import ROW_ORDER, file_headers, number_files, profile_files, read_cells
 
-TARGET_COLUMNS = "source string, item_name string, price double, purchase_date date, order_id string"
-
-
 @dataclass(frozen=True)
 class Import:
     """Accepted rows, rows and files set aside, and counts per file."""
@@ -26,10 +23,6 @@ class Import:
     statistics: DataFrame
 
 
-def empty_target(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], TARGET_COLUMNS)
-
-
 def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer) -> tuple[DataFrame, DataFrame]:
     """Files with their mapping, and typed rows in file order; both written to the shared scratch folder.
 
@@ -44,7 +37,7 @@ def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer
         known = known & F.col("variant").isNotNull()
     files = write_and_reload(number_files(files.withColumn("is_error", ~known)), f"{base}/files")
     usable = files.filter("NOT is_error")
-    mapping = usable.drop("file_size", "charset", "multi_line", "is_error", "names")
+    mapping = usable.drop("path", "file_size", "charset", "multi_line", "is_error", "names")
     # One row per file; broadcast only below Spark's size threshold, else joined with skew splitting.
     rows = read_cells(spark, usable).join(mapping, "file_path")
     return files, write_and_reload(to_purchases(rows, importer), f"{base}/rows")
@@ -53,8 +46,7 @@ def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer
 def import_exports(
     spark: SparkSession, path: str | list[str], target: DataFrame | None, importer: Importer
 ) -> Import:
-    """Import every file below ``path`` against the purchases already in ``target``."""
-    target = target if target is not None else empty_target(spark)
+    """Import every file below ``path`` against the purchases already in ``target`` (None: none yet)."""
     files, staged = stage_exports(spark, path, importer)
     rows = staged.filter("NOT is_error")
     empty = is_blank("item_name") & F.col("price").isNull()

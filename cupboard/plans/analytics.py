@@ -2,7 +2,8 @@
 
 Every query takes its tables as DataFrames and ``as_of`` (a ``datetime``) instead of the current time,
 bound as a literal so that date bounds fold and reach the scan. Date filters have a lower bound only
-unless stated: rows dated after ``as_of`` count.
+unless stated: rows dated after ``as_of`` count. Sorted results end their sort key with a unique column,
+so that a range of the sort holds no more rows than its share even where many rows tie.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def spend_by_source_month(purchases: DataFrame, as_of: datetime) -> DataFrame:
         .groupBy("source", "currency")
         .agg(F.count("*").alias("items"), _money(F.sum("price")).alias("total"))
         .select("source", "items", "total", "currency")
-        .orderBy(F.desc("total"))
+        .orderBy(F.desc("total"), "source", "currency")
     )
 
 
@@ -78,7 +79,7 @@ def spend_by_category(purchases: DataFrame, possessions: DataFrame, first: date,
         .groupBy("spend_category")
         .agg(F.sum("n").alias("items"), _money(F.sum("s")).alias("total"))
         .select(F.col("spend_category").alias("category"), "items", "total")
-        .orderBy(F.desc("total"))
+        .orderBy(F.desc("total"), "category")
     )
 
 
@@ -160,7 +161,7 @@ def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int =
         )
         .filter(F.col("purchase_count") >= min_count)
         .withColumn("days_since_last", days_between(at(as_of), F.col("last_purchased").cast("timestamp")).cast("int"))
-        .orderBy(F.desc("days_since_last"))
+        .orderBy(F.desc("days_since_last"), "item_name")
     )
 
 
@@ -183,7 +184,7 @@ def wasteful_purchases(
         .join(bounds, "currency")
         .filter(F.col("price") >= F.col("price_bound"))
         .select("item_name", "currency", "price", "purchase_count", "last_purchased")
-        .orderBy(F.desc("price"))
+        .orderBy(F.desc("price"), "item_name", "currency")
     )
 
 
@@ -212,7 +213,7 @@ def consumables_alert(possessions: DataFrame, as_of: datetime, threshold: float
             _after(F.col("estimated_lifespan_days")).alias("estimated_empty_date"),
             F.round(_days_until(alert, as_of), 6).alias("days_until_alert"),
         )
-        .orderBy("days_until_alert")
+        .orderBy("days_until_alert", "id")
     )
 
 
@@ -223,11 +224,9 @@ def consumables_due_week(possessions: DataFrame, as_of: datetime, days: int = 7)
     return (
         _replenished(possessions)
         .filter(left <= days)
-        .select(
-            "name", "brand", "last_replenished", "estimated_lifespan_days",
-            empty.alias("estimated_empty"), left.cast("int").alias("days_remaining"),
-        )
-        .orderBy("days_remaining")
+        .withColumns({"estimated_empty": empty, "days_remaining": left.cast("int")})
+        .orderBy("days_remaining", "id")
+        .select("name", "brand", "last_replenished", "estimated_lifespan_days", "estimated_empty", "days_remaining")
     )
 
 
@@ -243,7 +242,7 @@ def consumable_status_daily(possessions: DataFrame, as_of: datetime, threshold:
             F.when(alert.cast("timestamp") <= at(as_of), "replenish").otherwise("fine").alias("status"),
             _days_until(_after(lifespan), as_of).cast("int").alias("days_remaining"),
         )
-        .orderBy(F.desc("status"), "days_remaining")
+        .orderBy(F.desc("status"), "days_remaining", "id")
     )
 
 
@@ -340,7 +339,7 @@ def replenish_forecast_learned(
             "id", "name", F.round(days, 6).alias("cycle_days"), F.col("cycle_days").isNotNull().alias("is_learned"),
             alert.alias("alert_date"), F.round(_days_until(alert, as_of), 6).alias("days_until_alert"),
         )
-        .orderBy("days_until_alert")
+        .orderBy("days_until_alert", "id")
     )
 
 
@@ -388,11 +387,11 @@ def stock_vs_activity(possessions: DataFrame, activity: DataFrame, as_of: dateti
 # --- possessions ------------------------------------------------------------------------------
 
 def possessions_by_category(possessions: DataFrame) -> DataFrame:
-    return possessions.groupBy("category").count().orderBy(F.desc("count"))
+    return possessions.groupBy("category").count().orderBy(F.desc("count"), "category")
 
 
 def possessions_by_location(possessions: DataFrame) -> DataFrame:
-    return possessions.filter(F.col("location").isNotNull()).groupBy("location").count().orderBy(F.desc("count"))
+    return possessions.filter(F.col("location").isNotNull()).groupBy("location").count().orderBy(F.desc("count"), "location")
 
 
 def latest_possessions(possessions: DataFrame, limit: int = 10) -> DataFrame:
