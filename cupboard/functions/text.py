@@ -29,10 +29,6 @@ def narrow_digits(text: Column) -> Column:
     ).otherwise(text)
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def python_float(text: Column) -> Column:
     """Number spelled as a decimal literal, else NULL; never the Java-only forms such as ``1d``."""
     plain = narrow_digits(strip(text))

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER_KEY = ("source", "order_id")
-COMPOSITE_KEY = ("source", "item_name", "purchase_date", "price")
+# The most telling column leads: sorting compares the first column's prefix before anything else.
+ORDER_KEY = ("order_id", "source")
+COMPOSITE_KEY = ("item_name", "purchase_date", "price", "source")
 
 
 def first_of_key(rows: DataFrame, keys: tuple[str, ...], order: Sequence[str | Column]) -> DataFrame:

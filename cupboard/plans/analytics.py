@@ -150,7 +150,7 @@ def month_over_month(purchases: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int = 2) -> DataFrame:
+def _bought_in_year(purchases: DataFrame, as_of: datetime) -> DataFrame:
     return (
         _since(purchases, months_back(as_of, 12))
         .groupBy("item_name")
@@ -159,6 +159,12 @@ def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int =
             F.round(F.avg("price"), 6).alias("avg_price"),
             F.max("purchase_date").alias("last_purchased"),
         )
+    )
+
+
+def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int = 2) -> DataFrame:
+    return (
+        _bought_in_year(purchases, as_of)
         .filter(F.col("purchase_count") >= min_count)
         .withColumn("days_since_last", days_between(at(as_of), F.col("last_purchased").cast("timestamp")).cast("int"))
         .orderBy(F.desc("days_since_last"), "item_name")
@@ -343,22 +349,24 @@ def replenish_forecast_learned(
     )
 
 
-def shopping_list(purchases: DataFrame, possessions: DataFrame, as_of: datetime) -> DataFrame:
+def shopping_list(purchases: DataFrame, possessions: DataFrame, as_of: datetime, min_count: int = 2) -> DataFrame:
     """Consumables that run out and items bought regularly, one row per item with an estimated price.
 
-    An item on both lists is named as running out.
+    An item on both lists is named as running out. One pass over the year's purchases gives both the
+    regular items and every price.
     """
     due = consumables_due_week(possessions, as_of).groupBy(F.col("name").alias("item_name")).agg(
-        F.min("days_remaining").alias("days")
-    ).withColumn("reason", F.lit("running_out"))
-    regular = recurring_purchases(purchases, as_of).filter(F.col("item_name").isNotNull())
-    wanted = due.join(regular, "item_name", "full")
-    prices = _since(purchases, months_back(as_of, 12)).groupBy("item_name").agg(
-        F.round(F.avg("price"), 6).alias("estimated_price")
+        F.min("days_remaining").alias("days_remaining"), F.lit("running_out").alias("due")
+    )
+    bought = _bought_in_year(purchases, as_of).filter(F.col("item_name").isNotNull())
+    return (
+        due.join(bought, "item_name", "full")
+        .filter(F.col("due").isNotNull() | (F.col("purchase_count") >= min_count))
+        .select(
+            "item_name", F.coalesce("due", F.lit("regular")).alias("reason"), "days_remaining",
+            F.col("avg_price").alias("estimated_price"),
+        )
     )
-    return wanted.select("item_name", F.coalesce("reason", F.lit("regular")).alias("reason"), "days").join(
-        prices, "item_name", "left"
-    ).select("item_name", "reason", F.col("days").alias("days_remaining"), "estimated_price")
 
 
 def stock_vs_activity(possessions: DataFrame, activity: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:

@@ -189,8 +189,8 @@ VIEWS = {
 }
 
 
-# Views whose texts are read by costly expressions, and the large tables below them.
-TEXT_VIEWS = ("dirty", "ocr", "frames", "export_rows")
+# Views whose rows go into costly expressions, and the large tables below them.
+COSTLY_VIEWS = ("dirty", "ocr", "frames", "export_rows")
 LARGE_TABLES = ("lineitem", "orders", "documents")
 
 
@@ -230,7 +230,7 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str, dealt_out: bool = False) -> DataFrame:
-        dealt_out = dealt_out or name in TEXT_VIEWS
+        dealt_out = dealt_out or name in COSTLY_VIEWS
 
         def base(name: str) -> DataFrame:
             if name in VIEWS:
