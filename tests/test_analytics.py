@@ -2,7 +2,6 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from cupboard.plans import analytics as Q
 from cupboard.schemas import POSSESSIONS

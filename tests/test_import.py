@@ -92,6 +92,12 @@ def test_quotes_newlines_short_and_long_rows(spark, tmp_path):
     assert "extra" in json.loads(rows[2]["raw_data"])["null"]
 
 
+def test_embedded_newline_in_shift_jis(spark, tmp_path):
+    write(tmp_path / "s.csv", SHOP, [["2026/01/01", "1", '表ソ"能"\n二行', "100"], ["2026/01/01", "2", "ソ", "5"]], "shift_jis")
+    rows, counts, _ = load(spark, tmp_path)
+    assert [r["item_name"] for r in rows] == ['表ソ"能"\n二行', "ソ"] and counts == {"s.csv": (2, 0, 0)}
+
+
 def test_headers_are_trimmed_and_matched_in_any_case(spark, tmp_path):
     write(tmp_path / "t.csv", [" item TITLE ", "sale PRICE", "sale date", "ORDER number"], [["Lamp", "$4", "Mar-10-26", "1"]])
     rows, _, _ = load(spark, tmp_path)
