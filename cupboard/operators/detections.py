@@ -28,13 +28,15 @@ def consolidate(items: DataFrame, sessions: DataFrame) -> DataFrame:
     )
     spelled = (
         seen.withColumns({"name_key": normal_form(F.col("name")), "location_key": normal_form(F.col("location"))})
-        .filter("name_key <> ''")
         .groupBy(*key, "name")
         .agg(
+            # Asked of the groups, so that the condition is not pushed down to every frame.
+            F.max(F.length("name_key")).alias("key_length"),
             F.sum("n").alias("n"),
             F.min("location").alias("location"),
             F.min(F.struct("frame", "condition")).alias("first_seen"),
         )
+        .filter("key_length > 0")
     )
     said = spelled.join(sessions.select("session_id", "audio_transcript"), "session_id", "left").withColumn(
         "said", F.coalesce(F.contains("audio_transcript", F.col("name")), F.lit(False))

@@ -36,6 +36,6 @@ def content_hash(content: Column) -> Column:
 def parse_detections(frames: DataFrame, column: str = "detections") -> tuple[DataFrame, DataFrame]:
     """Frame rows with a JSON array of items: (one row per item, frames whose JSON cannot be read)."""
     parsed = frames.withColumn("_items", F.from_json(column, DETECTION_SCHEMA))
-    readable = parsed.filter("_items IS NOT NULL")
-    items = readable.withColumn("_item", F.explode("_items")).select(*frames.columns, "_item.*").drop(column)
-    return items, parsed.filter("_items IS NULL").drop("_items")
+    # The outer form: for the inner one Spark adds a filter that would parse every array once more.
+    exploded = parsed.withColumn("_item", F.explode_outer("_items")).filter("_item IS NOT NULL")
+    return exploded.select(*frames.columns, "_item.*").drop(column), parsed.filter("_items IS NULL").drop("_items")
