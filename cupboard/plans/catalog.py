@@ -89,7 +89,8 @@ def item_line_statistics(v: Views) -> DataFrame:
 
 def new_possessions(v: Views) -> DataFrame:
     lines = _item_lines(v).filter("status = 'accepted'")
-    owned = v.possessions.filter("id % 6 = 0").select(F.substring("name", 1, 8).alias("name"), "category")
+    registered_early = F.col("created_at") < F.lit("2001-02-01").cast("timestamp")
+    owned = v.possessions.filter(registered_early).select(F.substring("name", 1, 8).alias("name"), "category")
     return dedupe.accept_possessions(lines, owned, ["row_id"]).select("row_id", "name", "category", "brand")
 
 
@@ -257,10 +258,11 @@ def image_hashes(v: Views) -> DataFrame:
 
 def _new_scans(v: Views) -> DataFrame:
     scans = write_and_reload(receipts.extract(_scans(v)))
-    # Stored before: the generated receipts of orders below a total, half of them under other paths.
-    stored = _scans(v).filter("row_id >= 0 AND row_id % 10 = 3").select(
-        F.when(F.col("row_id") % 20 == 3, F.concat(F.lit("old/"), "image_path")).otherwise(F.col("image_path")).alias("image_path"),
-        F.when(F.col("row_id") % 20 == 3, F.col("image_hash")).otherwise(F.lit("changed")).alias("image_hash"),
+    # Stored before: receipts without a printed day, some under an older path, the others with another content.
+    moved = F.contains("ocr_text", F.lit("BALANCE"))
+    stored = _scans(v).filter(F.contains("ocr_text", F.lit("no day printed"))).select(
+        F.when(moved, F.concat(F.lit("old/"), "image_path")).otherwise(F.col("image_path")).alias("image_path"),
+        F.when(moved, F.col("image_hash")).otherwise(F.lit("changed")).alias("image_hash"),
     )
     return receipts.accept_scans(scans, stored, "row_id")
 
@@ -390,7 +392,7 @@ def _checked(v: Views) -> dict[str, DataFrame]:
     owned = v.possessions.withColumns({
         "category": F.when(part, F.lit("gadget")).otherwise(F.col("category")),
         "name": F.when(F.col("id") % 25 != 0, F.col("name")),
-    }).filter("id % 10 != 7")
+    }).filter("last_replenished IS NOT NULL")
     log = v.table("events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("possession_id"),
         F.when(F.col("event_type") == "view", "opened").otherwise(F.col("event_type")).alias("event_type"),

@@ -249,7 +249,7 @@ O["item_line_statistics"] = LINES + "SELECT category, count(*) AS items FROM par
 O["new_possessions"] = LINES.replace("WITH ", "WITH " + sql_for("possessions") + ", ", 1) + """
 SELECT row_id, name, category, brand FROM (
     SELECT *, row_number() OVER (PARTITION BY name, category ORDER BY row_id) AS nth FROM parsed WHERE status = 'accepted') x
-WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM possessions p WHERE p.id % 6 = 0 AND substring(p.name, 1, 8) = x.name AND p.category = x.category)"""
+WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM possessions p WHERE p.created_at < TIMESTAMP '2001-02-01' AND substring(p.name, 1, 8) = x.name AND p.category = x.category)"""
 KINDS = [*schemas.KIND_LIFESPANS, "lamp"]
 O["consumable_defaults"] = f"""
 WITH kinds AS (SELECT * FROM (VALUES {', '.join(f"({i}, {text(k)}, {schemas.KIND_LIFESPANS.get(k, 'NULL')})" for i, k in enumerate(KINDS))}) AS v(i, kind, days))
@@ -447,9 +447,10 @@ SELECT image_path, round(confidence, 6) AS ocr_confidence, CASE WHEN trim(ocr_te
 FROM ocr LEFT JOIN scored USING (row_id)"""
 O["image_hashes"] = "SELECT doc_id, sha256(text) AS image_hash FROM documents"
 NEW_SCANS = with_views("ocr", extra=RECEIPT + """,
-hashed AS (SELECT row_id, image_path, sha256(ocr_text) AS image_hash FROM ocr),
-stored AS (SELECT CASE WHEN row_id % 20 = 3 THEN 'old/' || image_path ELSE image_path END AS image_path,
-    CASE WHEN row_id % 20 = 3 THEN image_hash ELSE 'changed' END AS image_hash FROM hashed WHERE row_id >= 0 AND row_id % 10 = 3),
+hashed AS (SELECT row_id, image_path, ocr_text, sha256(ocr_text) AS image_hash FROM ocr),
+stored AS (SELECT CASE WHEN contains(ocr_text, 'BALANCE') THEN 'old/' || image_path ELSE image_path END AS image_path,
+    CASE WHEN contains(ocr_text, 'BALANCE') THEN image_hash ELSE 'changed' END AS image_hash
+    FROM hashed WHERE contains(ocr_text, 'no day printed')),
 new_scans AS (SELECT row_id, image_path, image_hash FROM (
     SELECT h.*, row_number() OVER (PARTITION BY h.image_hash ORDER BY h.row_id) AS nth FROM hashed h JOIN counts USING (row_id)
     WHERE h.image_path NOT IN (SELECT image_path FROM stored)) f
@@ -533,7 +534,7 @@ O["streamed_replenishment"] = with_views("consumption_log") + REPLENISHED
 # --- quality ----------------------------------------------------------------------------------
 CHECKED = with_views("possessions", "purchases", extra="""
 owned AS (SELECT id, CASE WHEN id % 25 <> 0 THEN name END AS name, CASE WHEN id % 9 = 0 THEN 'gadget' ELSE category END AS category, condition
-    FROM possessions WHERE id % 10 <> 7),
+    FROM possessions WHERE last_replenished IS NOT NULL),
 logged AS (SELECT event_id AS id, user_id AS possession_id, CASE WHEN event_type = 'view' THEN 'opened' ELSE event_type END AS event_type,
     CASE WHEN event_id % 40 <> 0 THEN ts END AS logged_at FROM events),
 bought AS (SELECT l_orderkey * 100 + l_linenumber AS id, source, possession_id, CASE WHEN l_orderkey % 30 <> 0 THEN currency END AS currency FROM purchases)""")
