@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from check_oracles import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name not in entry.TEXT_QUERIES}
+QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.TEXT_QUERIES}
 
 
 @pytest.fixture(scope="module")
