@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, simhash
+from . import chat, decontaminate, language, packing, pii, quality, sharding, simhash, urls
 from .common import read
 
 
@@ -18,11 +18,43 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name)
 
 
+# Key of the surrogates; a production run passes its own secret.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "surrogates-1")
+
+URL_RULES = [
+    urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
+]
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 5, 0.8)
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replaced(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return done.select("doc_id", "text", "n_entities", F.to_json("entity_types").alias("entity_types"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.best_fit(read(spark, sf_dir, "documents"), vocabulary(), size=2048, end_id=0, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(sharding.sized(read(spark, sf_dir, "documents")), 8)
     return placed.select(
@@ -30,6 +62,13 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_windows(turns, vocabulary(), budget=512, history=2))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -40,6 +79,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op7_byte_shards, op9_quality_rules, op10_simhash)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_decontamination, op3_pii_surrogates, op4_language_id, op5_best_fit_packing, op6_url_filter, op7_byte_shards,
+    op8_chat_windows, op9_quality_rules, op10_simhash)}
+
+ORACLES = {
+    "op2_decontamination": """
+WITH plain AS (
+  SELECT 'd' AS side, doc_id AS id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents
+  UNION ALL
+  SELECT 'i', item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) FROM benchmark
+), listed AS (
+  SELECT side, id, string_split(t, ' ') AS w FROM plain WHERE t <> ''
+), shingled AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM listed WHERE len(w) >= 5
+), sizes AS (
+  SELECT id AS item_id, count(*) AS n_shingles FROM shingled WHERE side = 'i' GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM shingled d JOIN shingled i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i' GROUP BY ALL
+)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared / n_shingles >= 0.8 - 1e-9
+""",
+}
