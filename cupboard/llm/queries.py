@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, pii, quality, sharding, simhash, urls
+from . import chat, decontaminate, language, packing, pii, quality, repeats, sharding, simhash, urls
 from .common import read
 
 
@@ -27,6 +27,11 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(read(spark, sf_dir, "documents"), depth=200, with_kept=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 5, 0.8)
     return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
@@ -80,7 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_pii_surrogates, op4_language_id, op5_best_fit_packing, op6_url_filter, op7_byte_shards,
+    op1_suffix_dedup, op2_decontamination, op3_pii_surrogates, op4_language_id, op5_best_fit_packing, op6_url_filter, op7_byte_shards,
     op8_chat_windows, op9_quality_rules, op10_simhash)}
 
 ORACLES = {
