@@ -101,5 +101,5 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
 
 def without_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows that contain an item; the rows kept are unchanged."""
-    hit = write_and_reload(contained_items(docs, items, n, threshold).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    hit = write_and_reload(contained_items(docs, items, n, threshold).select(F.col("doc_id").alias("__hit")).distinct())
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")

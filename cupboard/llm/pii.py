@@ -215,22 +215,21 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     new = units.join(made, ["kind", "gender", "text"])
     # One row per text with entities: their surrogates in order. It is no longer than the text itself.
     parts = F.sort_array(F.collect_list(F.struct("at", "part", F.concat("before", "surrogate").alias("new"), "type")))
-    by_text = new.groupBy("doc_id", "text_hash").agg(parts.alias("parts")).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    by_text = write_and_reload(by_text)
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(
-        by_text, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    by_text = new.groupBy("doc_id", "text_hash").agg(parts.alias("__parts"))
+    by_text = write_and_reload(by_text.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__of"}))
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    joined = hashed.join(by_text, hashed["doc_id"].eqNullSafe(by_text["__doc"]) & (hashed["__hash"] == by_text["__of"]), "left")
     # The parts of one mention share "at"; a gap of the text goes before the first part of each.
-    gaps, changed = F.split("text", ANY), F.col("parts").isNotNull()
-    pieces = F.transform("parts", lambda p: F.concat(F.when(p["part"] == 0, F.get(F.col("_gaps"), p["at"])).otherwise(""), p["new"]))
-    filled = F.concat(F.array_join(pieces, ""), F.element_at("_gaps", -1))
-    heads = F.filter("parts", lambda p: p["part"] == 0)
-    kinds = F.transform(F.col("_heads"), lambda p: p["type"])
+    changed, none = F.col("__parts").isNotNull(), F.array().cast(by_text.schema["__parts"].dataType)
+    rows = joined.withColumn("__gaps", F.when(changed, F.split("text", ANY))).withColumn(
+        "__heads", F.coalesce(F.filter("__parts", lambda p: p["part"] == 0), none))
+    pieces = F.transform("__parts", lambda p: F.concat(F.when(p["part"] == 0, F.get(F.col("__gaps"), p["at"])).otherwise(""), p["new"]))
+    filled = F.concat(F.array_join(pieces, ""), F.element_at("__gaps", -1))
+    kinds = F.transform("__heads", lambda p: p["type"])
     counted = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(
-        k.alias("key"), F.size(F.filter(F.col("_heads"), lambda p: p["type"] == k)).alias("value")))
-    rows = joined.withColumn("_gaps", F.when(changed, gaps)).withColumn(
-        "_heads", F.coalesce(heads, F.array().cast(joined.schema["parts"].dataType)))
+        k.alias("key"), F.size(F.filter("__heads", lambda p: p["type"] == k)).alias("value")))
     out = rows.withColumn("text", F.when(changed, filled).otherwise(F.col("text")))
-    out = out.withColumn("n_entities", F.size("_heads")).withColumn("entity_types", F.map_from_entries(counted))
+    out = out.withColumn("n_entities", F.size("__heads")).withColumn("entity_types", F.map_from_entries(counted))
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))

@@ -163,9 +163,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     grouped = write_and_reload(near_duplicates(docs, shingle, max_bits))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = grouped.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(first).alias("first")).where("first")
-    ids = write_and_reload(ids.select(F.col("doc_id").alias("_id"), "n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    single = docs.join(ids.where("n = 1"), same, "left_semi")
+    ids = write_and_reload(ids.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")))
     rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    repeated = docs.join(ids.where("n > 1"), same, "left_semi").withColumn("_nth", F.row_number().over(rank))
-    return single.unionByName(repeated.where("_nth = 1").drop("_nth"))
+
+    def named_in(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
+
+    repeated = named_in(ids.where("__n > 1")).withColumn("__nth", F.row_number().over(rank))
+    return named_in(ids.where("__n = 1")).unionByName(repeated.where("__nth = 1").drop("__nth"))

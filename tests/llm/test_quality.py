@@ -1,0 +1,68 @@
+"""Counts against brute force; thresholds that follow their group."""
+
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from cupboard.llm import quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    covered = {k for i in range(len(words) - 7) if windows[tuple(words[i:i + 8])] > 1 for k in range(i, i + 8)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_counts(docs):
+    rng = random.Random(1)
+    texts = [None, "", " \n\t", "a" * 10, "x " * 7, "x " * 8, "x " * 9, "one two three four five six seven eight " * 2, "é ñ\u00a0ü\x1c|<>"]
+    for _ in range(120):
+        words = [rng.choice("ab cd e f g h".split()) for _ in range(rng.randrange(60))]
+        texts.append("".join(w + rng.choice([" ", "  ", "\n", "\r\n", "\t", " # "]) for w in words))
+    texts.append(" ".join(rng.choice("abcdefgh") for _ in range(20_000)))
+    got = quality.judge(docs(enumerate(texts))).collect()
+    for r in got:
+        want = brute(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r.kept and r.base_failed)
+
+
+def prose(rng, n, junk=""):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) + junk for _ in range(n))
+
+
+def test_thresholds_follow_the_group(docs):
+    """Symbols in every text of one source are its normal; in another source they stand out."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60), "en", "plain") for i in range(300)] + [(1000 + i, prose(rng, 60, "#"), "en", "code") for i in range(300)]
+    rows += [(5000, prose(rng, 60, "#"), "en", "plain"), (5001, prose(rng, 60, "####"), "en", "code"), (5002, prose(rng, 60), "en", "small"),
+             (5003, prose(rng, 60, "#######"), None, None)]
+    kept = {r.doc_id: r.kept for r in quality.judge(docs(rows)).collect()}
+    assert all(kept[i] for i in range(300)) and all(kept[1000 + i] for i in range(300))
+    assert (kept[5000], kept[5001], kept[5002], kept[5003]) == (False, False, True, False)
+
+
+def test_merged_sketches_equal_the_whole(docs):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(20, 80)), "en", f"s{i % 40}") for i in range(400)]
+    measured = quality.metrics(docs(rows))
+    limits = quality.thresholds(quality.sketches(measured), min_group=100).collect()
+    assert len({r.max_word_length for r in limits}) == 1 and len(limits) == 40
+    lengths = sorted(r.word_length for r in measured.collect())
+    exact = lengths[300] + 8 * (lengths[300] - lengths[100]) + 4
+    assert abs(limits[0].max_word_length - exact) < 0.2
+
+
+def test_repeated_rows_clashing_names_and_empty_table(docs):
+    rows = docs([(1, "a b"), (1, "a b"), (None, None)]).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("_words", F.lit(2))
+    got = quality.judge(rows).collect()
+    assert sorted(r.n_words for r in got) == [0, 2, 2] and not any(r.kept for r in got)
+    assert quality.judge(rows.where("false")).count() == 0
