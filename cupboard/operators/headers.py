@@ -106,8 +106,10 @@ def map_by_registry(
     """Add format, source and the position of each meaning to files with a ``header`` array.
 
     A known ``format_key`` wins; an unknown one falls back to detection, and no detection to the
-    statement format.
+    statement format. Without a statement format the file has no mapping and the default source.
     """
+    if FALLBACK_FORMAT not in formats:
+        formats = {**formats, FALLBACK_FORMAT: {"source_key": DEFAULT_SOURCE, "columns": {}}}
     keys = list(formats)
     files = score_formats(files, formats)
     if format_key in formats:

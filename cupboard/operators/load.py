@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,7 @@ from cupboard.operators.normalize import Importer, to_purchases
 from cupboard.session import prepare, scratch_dir, write_and_reload
 from cupboard.sources.exports import ROW_ORDER, file_headers, number_files, profile_files, read_cells
 
+
 @dataclass(frozen=True)
 class Import:
     """Accepted rows, rows and files set aside, and counts per file."""
@@ -82,8 +84,17 @@ def import_exports(
 
 
 def with_ids(rows: DataFrame, first_id: int = 1) -> DataFrame:
-    """Unique, increasing ids; written once by the load, so they never change afterwards."""
-    return rows.withColumn("id", F.monotonically_increasing_id() + F.lit(first_id))
+    """Consecutive ids from ``first_id``.
+
+    The rows are written once with their task and place, the counts per task give each task its first id.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    staged = write_and_reload(rows.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged.groupBy("_task").agg(F.count("*").alias("_n"))  # one row per task
+    offsets = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return staged.join(offsets, "_task").withColumn("id", F.col("_before") + F.col("_place") + first_id).drop(
+        "_task", "_place", "_n", "_before")
 
 
 def next_id(table: DataFrame) -> int:
@@ -98,31 +109,75 @@ def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
+class ConstraintError(ValueError):
+    """Rows that a table must not hold."""
+
+
+# One record per published batch: the version of its files that counts, and the highest id given out so far.
+_COMMITS = "batch_id string, version long, last_id long"
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_COMMITS).parquet(f"{path}/_commits")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def append_batch(
-    rows: DataFrame, path: str, schema: T.StructType, batch_id: str, as_of: Column, partition: str | None = None
+    rows: DataFrame, path: str, schema: T.StructType, batch_id: str, as_of: Column, partition: str | None = None,
+    sort: tuple[str, ...] = ("purchase_date",),
 ) -> None:
-    """Append one batch to a table in one commit; running the same batch again replaces its own rows only."""
+    """Append one batch; running the same batch again replaces all of it, whatever partitions it had.
+
+    The files of a run go to a folder of their own. One small commit record then makes them the batch's rows, so a
+    reader sees either run as a whole and a failed run leaves nothing to see. Ids go on after the highest one given
+    out, which the record keeps: the history is not read. A table has one writer at a time. NULLs in required
+    columns and blank partition values raise ConstraintError before anything is published.
+    """
     spark = rows.sparkSession
-    existing = read_table(spark, path, schema)
-    first = 1 if existing is None else next_id(existing.filter(F.col("batch_id") != batch_id))
-    batch = with_ids(rows, first)
+    past = _commits(spark, path)
+    version, last_id = past.agg(F.max("version"), F.max("last_id")).first() if past is not None else (0, 0)
+    version, first_id = (version or 0) + 1, (last_id or 0) + 1
+    batch = with_ids(rows, first_id)
     if "created_at" in schema.fieldNames():
         batch = batch.withColumn("created_at", as_of)
-    batch = conform(batch, schema).withColumn("batch_id", F.lit(batch_id))
-    keys = ["batch_id"] + ([partition] if partition else [])
-    # Splits a partition value that holds most rows into several files, and merges small ones.
+    batch = conform(batch, schema)
+    required = [f.name for f in schema.fields if not f.nullable]
+    broken = reduce(Column.__or__, [F.col(c).isNull() for c in required], F.lit(False))
+    if partition:
+        broken = broken | F.col(partition).isNull() | (F.trim(F.col(partition).cast("string")) == "")
+    found = batch.agg(F.count_if(broken), F.max("id")).first()
+    if found[0]:
+        raise ConstraintError(f"{found[0]} rows of batch {batch_id} lack a required value")
+    keys = ["batch_id", "version"] + ([partition] if partition else [])
+    batch = batch.withColumns({"batch_id": F.lit(batch_id), "version": F.lit(version).cast("long")})
+    # Splits a partition value that holds most rows into several files, and merges small ones; sorted files let
+    # readers skip row groups.
     (
-        batch.hint("rebalance", *keys)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        batch.hint("rebalance", *keys).sortWithinPartitions(*keys, *[c for c in sort if c in batch.columns])
+        .write.mode("append").partitionBy(*keys).parquet(f"{path}/rows")
     )
+    record = spark.range(1).select(
+        F.lit(batch_id).alias("batch_id"), F.lit(version).cast("long").alias("version"),
+        F.lit(max(last_id or 0, found[1] or 0)).cast("long").alias("last_id"))
+    record.coalesce(1).write.mode("append").parquet(f"{path}/_commits")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """A table written by ``append_batch``, or None if nothing was written yet."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())])
+    """The published rows of a table written by ``append_batch``, or None if nothing was published yet."""
+    commits = _commits(spark, path)
+    if commits is None:
+        return None
+    full = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType()), T.StructField("version", T.LongType())])
+    newest = commits.groupBy("batch_id").agg(F.max("version").alias("version"))
     try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        rows = spark.read.schema(full).parquet(f"{path}/rows")
+    except AnalysisException as error:  # only empty batches so far
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], full)
+    # Both are partition columns, so files of replaced runs are not opened.
+    return rows.join(newest, ["batch_id", "version"], "left_semi").select(*schema.fieldNames(), "batch_id")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cupboard.functions.dates import days_between
 from cupboard.schemas import ALERT_THRESHOLD
+from cupboard.session import write_and_reload
 
 MICROS = 1_000_000
 DAY_SECONDS = 86_400
@@ -171,23 +172,45 @@ def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int =
     )
 
 
-def wasteful_purchases(
-    purchases: DataFrame, as_of: datetime, quantile: float = 0.9, max_count: int = 1, accuracy: int = 100_000
-) -> DataFrame:
-    """Items bought at most ``max_count`` times in a year at a price in the currency's top share.
+def price_bounds(prices: DataFrame, quantile: str, rounds: int = 3, buckets: int = 1000) -> DataFrame:
+    """Per currency the exact ``price_bound``: the price of rank ``ceil(quantile * n)`` among all prices.
 
-    The price bound comes from a mergeable sketch, exact up to ``accuracy`` prices per currency and
-    off by at most one rank in ``accuracy`` beyond.
+    Prices are counted first. Each round cuts the range that holds the rank into ``buckets`` equal parts and keeps
+    the part with the rank, so no window sees more than ``buckets`` rows of a currency; the last one sees the
+    distinct prices of a part a billionth of the range wide.
     """
+    counts = write_and_reload(prices.groupBy("currency", "price").agg(F.count("*").alias("n")))
+    rank = F.ceil(F.lit(quantile).cast("decimal(10,9)") * F.sum("n")).cast("long")
+    state = counts.groupBy("currency").agg(
+        F.min("price").alias("low"), F.max("price").alias("high"), F.lit(0).cast("long").alias("below"), rank.alias("rank"))
+
+    def first_reaching(rows: DataFrame, order: str) -> DataFrame:
+        """The first row at which the counts reach the rank, with the count before it."""
+        upto = F.sum("n").over(Window.partitionBy("currency").orderBy(order))
+        reached = rows.withColumn("upto", F.col("below") + upto).filter("upto >= rank")
+        return reached.groupBy("currency").agg(F.min_by(F.struct(*reached.columns), order).alias("r")).select("r.*")
+
+    inside = F.col("price").between(F.col("low"), F.col("high"))
+    width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))
+    for _ in range(rounds):
+        part = F.least(F.floor((F.col("price") - F.col("low")) / width * buckets), F.lit(buckets - 1))
+        parts = counts.join(state, "currency").filter(inside).groupBy("currency", "below", "rank", part.alias("part")).agg(
+            F.sum("n").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+        state = first_reaching(parts, "part").select("currency", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "rank")
+    last = counts.join(state, "currency").filter(inside)
+    return first_reaching(last, "price").select("currency", F.col("price").alias("price_bound"))
+
+
+def wasteful_purchases(purchases: DataFrame, as_of: datetime, quantile: str = "0.9", max_count: int = 1) -> DataFrame:
+    """Items bought at most ``max_count`` times in a year at a price in the currency's top share, exactly."""
     year = _since(purchases, months_back(as_of, 12)).filter(F.col("price").isNotNull())
-    bounds = year.groupBy("currency").agg(F.percentile_approx("price", quantile, accuracy).alias("price_bound"))
     per_item = year.groupBy("currency", "item_name").agg(
         F.count("*").alias("purchase_count"), F.max("price").alias("price"), F.max("purchase_date").alias("last_purchased")
     )
     # One row per currency code, and the size check of the planner decides how it travels.
     return (
         per_item.filter(F.col("purchase_count") <= max_count)
-        .join(bounds, "currency")
+        .join(write_and_reload(price_bounds(year, quantile)), "currency")
         .filter(F.col("price") >= F.col("price_bound"))
         .select("item_name", "currency", "price", "purchase_count", "last_purchased")
         .orderBy(F.desc("price"), "item_name", "currency")

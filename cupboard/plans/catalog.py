@@ -14,7 +14,7 @@ from cupboard.functions.text import row_json
 from cupboard.operators import dedupe, detections, headers, load, normalize, quality, receipts, state
 from cupboard.plans import analytics as Q
 from cupboard.plans import exports, reports
-from cupboard.plans.views import ROW_KEY, Views
+from cupboard.plans.views import ROW_KEY, VIEWS, Views
 from cupboard.session import scratch_dir, write_and_reload
 from cupboard.sources.scans import content_hash, parse_detections
 from cupboard.streaming import events as streamed
@@ -310,8 +310,9 @@ def video_sessions(v: Views) -> DataFrame:
 
 # --- state ------------------------------------------------------------------------------------
 
-def registered_possessions(v: Views) -> DataFrame:
+def _registered(v: Views) -> tuple[DataFrame, DataFrame]:
     new = v.table("part").select(
+        "p_partkey",
         F.when(F.col("p_partkey") % 50 != 0, F.col("p_name")).alias("name"),
         F.when(F.col("p_partkey") % 9 == 0, F.lit("gadget")).when(F.col("p_partkey") % 9 == 1, F.lit("supplement"))
         .when(F.col("p_partkey") % 9 == 2, F.lit("food")).when(F.col("p_partkey") % 9 == 3, F.lit("consumable"))
@@ -322,16 +323,31 @@ def registered_possessions(v: Views) -> DataFrame:
         F.when(F.col("p_partkey") % 11 == 0, F.col("p_size")).alias("estimated_lifespan_days"),
         F.when(F.col("p_partkey") % 9 == 3, F.lit("shampoo")).alias("kind"),
     )
-    return state.register(new, Q.at(AS_OF)).groupBy("category", "condition", "is_consumable", "estimated_lifespan_days").agg(
-        F.count("*").alias("n"), F.round(F.sum("purchase_price"), 2).alias("worth")
-    )
+    return state.register(new, Q.at(AS_OF))
 
 
-def updated_possessions(v: Views) -> DataFrame:
+def registered_possessions(v: Views) -> DataFrame:
+    return _registered(v)[0].select(
+        "p_partkey", "name", "category", "purchase_price", "condition", "is_consumable", "estimated_lifespan_days")
+
+
+def refused_possessions(v: Views) -> DataFrame:
+    return _registered(v)[1].select("p_partkey", "reason")
+
+
+def appended_possessions(v: Views) -> DataFrame:
+    """A snapshot with the registered rows added: the old ids stay, the new ones follow without gaps."""
+    both = state.append_possessions(v.possessions, _registered(v)[0])
+    added = both.join(v.possessions.select("id"), "id", "left_anti")
+    return added.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids")).unionByName(
+        added.agg(F.lit("all").alias("category"), F.count("*").alias("n"), (F.max("id") - F.min("id") + 1).alias("n_ids")))
+
+
+def _changes(v: Views) -> DataFrame:
     # Each order changes the possession its total points at; later orders win.
     line = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     seq = F.col("l_orderkey") * 100_000_000 + F.col("l_partkey")
-    changes = line.select(
+    return line.select(
         F.col("l_partkey").alias("id"),
         F.when(F.col("l_linenumber") % 3 == 0, "location").when(F.col("l_linenumber") % 3 == 1, "purchase_price")
         .otherwise("estimated_lifespan_days").alias("column_name"),
@@ -340,7 +356,23 @@ def updated_possessions(v: Views) -> DataFrame:
         .otherwise((F.col("o_custkey") % 100).cast("string")).alias("value"),
         seq.alias("seq"),
     )
-    return state.update(v.possessions, changes).select("id", "name", "location", "purchase_price", "estimated_lifespan_days")
+
+
+def updated_possessions(v: Views) -> DataFrame:
+    snapshot, _ = state.update(v.possessions, _changes(v))
+    return snapshot.select("id", "name", "location", "purchase_price", "estimated_lifespan_days")
+
+
+def refused_changes(v: Views) -> DataFrame:
+    """Every seventh order names a column that does not exist or sends a value its column must not hold."""
+    order = F.floor(F.col("seq") / 100_000_000)
+    faulty = _changes(v).filter(order % 7 == 0).withColumns({
+        "id": F.when(order % 2 == 0, F.col("id")).otherwise(-F.col("id")),
+        "column_name": F.when(order % 5 == 0, "colour").when(order % 5 == 1, "condition").when(order % 5 == 2, "name")
+        .otherwise(F.col("column_name")),
+        "value": F.when(order % 5 == 1, "broken").when(order % 5 == 2, F.lit(None)).when(order % 5 == 3, "a few").otherwise(F.col("value")),
+    })
+    return state.update(v.possessions, faulty)[1].select("id", "column_name", "value", "seq", "reason")
 
 
 def remaining_possessions(v: Views) -> DataFrame:
@@ -357,13 +389,17 @@ def _raw_events(v: Views) -> DataFrame:
     )
 
 
+def _owned_by_some(v: Views) -> DataFrame:
+    return v.possessions.filter("id % 10 <> 3")
+
+
 def logged_events(v: Views) -> DataFrame:
-    accepted, _ = state.log_events(_raw_events(v), Q.at(LOG_AS_OF))
+    accepted, _ = state.log_events(_raw_events(v), _owned_by_some(v), Q.at(LOG_AS_OF))
     return _plain_times(accepted.select("id", "possession_id", "event_type", "logged_at"))
 
 
 def refused_events(v: Views) -> DataFrame:
-    return state.log_events(_raw_events(v), Q.at(LOG_AS_OF))[1].select("id", "possession_id", "event_type")
+    return state.log_events(_raw_events(v), _owned_by_some(v), Q.at(LOG_AS_OF))[1].select("id", "possession_id", "event_type", "reason")
 
 
 def replenished_possessions(v: Views) -> DataFrame:
@@ -374,32 +410,39 @@ def latest_status(v: Views) -> DataFrame:
     return _plain_times(state.latest_status(v.log))
 
 
+def _as_log(events: DataFrame) -> DataFrame:
+    """Raw events as a consumption log, by the same SQL as the batch view."""
+    return events.sparkSession.sql(VIEWS["consumption_log"], events=events)
+
+
 def streamed_latest_status(v: Views) -> DataFrame:
     log = streamed.event_stream(v.spark, v.folder, v.table("events").schema, pathGlobFilter="events.parquet")
-    return _plain_times(streamed.run_to_table(streamed.as_log(log), state.latest_status))
+    return _plain_times(streamed.run_to_table(_as_log(log), state.latest_status))
 
 
 def streamed_replenishment(v: Views) -> DataFrame:
     log = streamed.event_stream(v.spark, v.folder, v.table("events").schema, pathGlobFilter="events.parquet")
-    return streamed.run_to_table(streamed.as_log(log), state.replenished_days)
+    return streamed.run_to_table(_as_log(log), state.replenished_days)
 
 
 # --- quality ----------------------------------------------------------------------------------
 
 def _checked(v: Views) -> dict[str, DataFrame]:
     """Tables with faults: unmapped categories and events, missing names, references without parents."""
+    order = F.col("l_orderkey")
     part = F.col("id") % 9 == 0
     owned = v.possessions.withColumns({
         "category": F.when(part, F.lit("gadget")).otherwise(F.col("category")),
         "name": F.when(F.col("id") % 25 != 0, F.col("name")),
-    }).filter("last_replenished IS NOT NULL")
+    })
     log = v.table("events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("possession_id"),
+        F.col("event_id").alias("id"), (F.col("user_id") * F.when(F.col("event_id") % 23 == 0, -1).otherwise(1)).alias("possession_id"),
         F.when(F.col("event_type") == "view", "opened").otherwise(F.col("event_type")).alias("event_type"),
         F.when(F.col("event_id") % 40 != 0, F.col("ts").cast("timestamp")).alias("logged_at"),
     )
     bought = v.purchases.select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), "source", "possession_id",
+        (order * 100 + F.col("l_linenumber")).alias("id"), "source",
+        (F.col("possession_id") * F.when(order % 17 == 0, -1).otherwise(1)).alias("possession_id"),
         F.when(F.col("l_orderkey") % 30 != 0, F.col("currency")).alias("currency"),
     )
     return {"possessions": owned, "consumption_log": log, "purchase_history": bought}
@@ -538,6 +581,9 @@ QUERIES = {
     "video_sessions": video_sessions,
     # state
     "registered_possessions": registered_possessions,
+    "refused_possessions": refused_possessions,
+    "appended_possessions": appended_possessions,
+    "refused_changes": refused_changes,
     "updated_possessions": updated_possessions,
     "remaining_possessions": remaining_possessions,
     "logged_events": logged_events,

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cupboard.plans.views import VIEWS
 from cupboard.session import prepare, scratch_dir
 
 
@@ -16,30 +16,32 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, **options
     return prepare(spark).readStream.schema(schema).options(**options).parquet(path)
 
 
-def as_log(events: DataFrame) -> DataFrame:
-    """Raw events as a consumption log, by the same SQL as the batch view."""
-    return events.sparkSession.sql(VIEWS["consumption_log"], events=events)
+def run_to_table(
+    log: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str | None = None, key: str = "possession_id"
+) -> DataFrame:
+    """Run an aggregate of the log over everything available and return the table it leaves, one row per ``key``.
 
-
-def run_to_table(log: DataFrame, aggregate: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
-    """Run an aggregate of the log over everything available and return the table it leaves.
-
-    State is one row per possession. Each trigger writes the whole result under its batch id and the
-    reader takes the newest complete one, so that a replayed trigger changes nothing.
+    A trigger writes only the rows that changed, under its batch id, so a replayed trigger replaces its own rows.
+    The table is the newest row of each key; a stream without events leaves an empty table.
     """
     spark = log.sparkSession
     path = path or scratch_dir(spark)
     result = aggregate(log)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
     query = (
-        result.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint")
+        result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).foreachBatch(save).start()
     )
     query.awaitTermination()
     schema = T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])
-    saved = spark.read.schema(schema).parquet(f"{path}/result")
-    newest = saved.agg(F.max("batch")).first()[0]
-    return saved.filter(F.col("batch") == newest).drop("batch")
+    try:
+        changes = spark.read.schema(schema).parquet(f"{path}/changes")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], result.schema)
+    newest = Window.partitionBy(key).orderBy(F.desc("batch"))
+    return changes.withColumn("nth", F.row_number().over(newest)).filter("nth = 1").select(*result.columns)

@@ -23,14 +23,17 @@ def watch_landing(
     table: str,
     checkpoint: str,
     importer: Importer,
+    stream: str,
     now: Callable[[], Column] = F.current_timestamp,
     max_files: int = 1000,
 ) -> StreamingQuery:
     """Import every new file below ``landing`` into the purchase table at ``table``.
 
-    At most ``max_files`` files go into one trigger, which bounds the path list that passes the
-    driver. Rows carry the trigger's id; a replayed trigger replaces its own rows only, and its own
-    earlier rows do not count as duplicates.
+    ``stream`` names this stream for good: batches are called by it and the trigger's number, so several streams
+    can feed one table in turn. A replayed trigger replaces its own rows only, and its own earlier rows do not
+    count as duplicates. At most ``max_files`` files go into one trigger, which bounds the path list that passes
+    the driver; all files are imported, but of equal rows in different triggers the one that arrived first stays,
+    not the first in path order.
     """
     prepare(spark)
     files = (
@@ -43,9 +46,10 @@ def watch_landing(
         if not paths:
             return
         stored = read_table(spark, table, PURCHASE_HISTORY)
-        target = None if stored is None else stored.filter(F.col("batch_id") != str(batch_id))
+        name = f"{stream}-{batch_id}"
+        target = None if stored is None else stored.filter(F.col("batch_id") != name)
         done = import_exports(spark, paths, target, importer)
-        append_batch(done.accepted, table, PURCHASE_HISTORY, str(batch_id), now(), partition="source")
+        append_batch(done.accepted, table, PURCHASE_HISTORY, name, now(), partition="source")
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(load).start()

@@ -494,15 +494,24 @@ SELECT video_path, frame_count, has_audio, audio_transcript, 0 AS items_detected
 
 # --- state ------------------------------------------------------------------------------------
 KIND_DAYS = "CASE kind " + " ".join(f"WHEN {text(k)} THEN {d}" for k, d in schemas.KIND_LIFESPANS.items()) + " ELSE 30 END"
-O["registered_possessions"] = f"""
-WITH new AS (SELECT CASE WHEN p_partkey % 50 <> 0 THEN p_name END AS name,
+NEW = f"""
+WITH new AS (SELECT p_partkey, CASE WHEN p_partkey % 50 <> 0 THEN p_name END AS name,
     CASE p_partkey % 9 WHEN 0 THEN 'gadget' WHEN 1 THEN 'supplement' WHEN 2 THEN 'food' WHEN 3 THEN 'consumable' ELSE 'kitchen' END AS category,
     p_retailprice, coalesce(CASE WHEN p_partkey % 4 = 0 THEN 'new' WHEN p_partkey % 40 = 1 THEN 'broken' END, 'good') AS condition,
     p_partkey % 7 = 0 OR p_partkey % 9 IN (1, 2, 3) AS is_consumable,
     CASE WHEN p_partkey % 11 = 0 THEN p_size END AS given, CASE p_partkey % 9 WHEN 3 THEN 'shampoo' WHEN 1 THEN 'supplement' WHEN 2 THEN 'food' ELSE 'kitchen' END AS kind FROM part)
-SELECT category, condition, is_consumable, CAST(coalesce(given, CASE WHEN is_consumable THEN {KIND_DAYS} END) AS INT) AS estimated_lifespan_days,
-    count(*) AS n, round(sum(p_retailprice), 2) AS worth
-FROM new WHERE name IS NOT NULL AND category <> 'gadget' AND condition <> 'broken' GROUP BY ALL"""
+"""
+VALID = "name IS NOT NULL AND category <> 'gadget' AND condition <> 'broken'"
+O["registered_possessions"] = NEW + f"""
+SELECT p_partkey, name, category, p_retailprice AS purchase_price, condition, is_consumable,
+    CAST(coalesce(given, CASE WHEN is_consumable THEN {KIND_DAYS} END) AS INT) AS estimated_lifespan_days
+FROM new WHERE {VALID}"""
+O["refused_possessions"] = NEW + f"""
+SELECT p_partkey, CASE WHEN name IS NULL THEN 'not_null:name' WHEN category = 'gadget' THEN 'enum:category' ELSE 'enum:condition' END AS reason
+FROM new WHERE NOT ({VALID})"""
+O["appended_possessions"] = NEW + f"""
+SELECT category, count(*) AS n, count(*) AS n_ids FROM new WHERE {VALID} GROUP BY category
+UNION ALL SELECT 'all', count(*), count(*) FROM new WHERE {VALID}"""
 O["updated_possessions"] = with_views("possessions", extra="""
 changes AS (SELECT l_partkey AS id, l_linenumber % 3 AS col, CASE l_linenumber % 3 WHEN 0 THEN o_orderpriority
         WHEN 1 THEN CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey * 2 AS VARCHAR) END ELSE CAST(o_custkey % 100 AS VARCHAR) END AS value,
@@ -513,14 +522,27 @@ SELECT p.id, p.name, CASE WHEN a.id IS NULL THEN p.location ELSE a.value END AS
     CASE WHEN c.id IS NULL THEN p.estimated_lifespan_days ELSE CAST(c.value AS INT) END AS estimated_lifespan_days
 FROM possessions p LEFT JOIN last a ON a.id = p.id AND a.col = 0 LEFT JOIN last b ON b.id = p.id AND b.col = 1
 LEFT JOIN last c ON c.id = p.id AND c.col = 2"""
+O["refused_changes"] = """
+WITH sent AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN l_partkey ELSE -l_partkey END AS id,
+        CASE l_orderkey % 5 WHEN 0 THEN 'colour' WHEN 1 THEN 'condition' WHEN 2 THEN 'name' ELSE
+            CASE l_linenumber % 3 WHEN 0 THEN 'location' WHEN 1 THEN 'purchase_price' ELSE 'estimated_lifespan_days' END END AS column_name,
+        CASE l_orderkey % 5 WHEN 1 THEN 'broken' WHEN 2 THEN NULL WHEN 3 THEN 'a few' ELSE CASE l_linenumber % 3 WHEN 0 THEN o_orderpriority
+            WHEN 1 THEN CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey * 2 AS VARCHAR) END ELSE CAST(o_custkey % 100 AS VARCHAR) END END AS value,
+        l_orderkey * 100000000 + l_partkey AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 7 = 0),
+judged AS (SELECT *, CASE WHEN column_name = 'colour' THEN 'unknown_column' WHEN id NOT IN (SELECT p_partkey FROM part) THEN 'unknown_id'
+    WHEN column_name = 'name' THEN 'not_null' WHEN column_name = 'condition' THEN 'enum'
+    WHEN value = 'a few' AND column_name <> 'location' THEN 'unreadable' END AS reason FROM sent)
+SELECT * FROM judged WHERE reason IS NOT NULL"""
 O["remaining_possessions"] = POSSESSIONS + """
 SELECT id, name, category FROM possessions WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"""
 RAW_EVENTS = f"""WITH raw AS (SELECT event_id AS id, CASE WHEN user_id % 13 <> 0 THEN user_id END AS possession_id,
     CASE event_type WHEN 'view' THEN 'opened' WHEN 'purchase' THEN 'empty' ELSE event_type END AS event_type,
     CASE WHEN event_id % 5 <> 0 THEN ts ELSE {LOG_NOW} END AS logged_at FROM events) """
-O["logged_events"] = RAW_EVENTS + "SELECT * FROM raw WHERE possession_id IS NOT NULL AND event_type IN ('opened', 'empty')"
-O["refused_events"] = RAW_EVENTS + (
-    "SELECT id, possession_id, event_type FROM raw WHERE possession_id IS NULL OR event_type NOT IN ('opened', 'empty')")
+RAW_EVENTS += """, judged AS (SELECT *, CASE WHEN possession_id IS NULL THEN 'not_null:possession_id'
+    WHEN event_type NOT IN ('opened', 'empty') THEN 'enum:event_type'
+    WHEN possession_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 3) THEN 'foreign_key:possession_id' END AS reason FROM raw) """
+O["logged_events"] = RAW_EVENTS + "SELECT id, possession_id, event_type, logged_at FROM judged WHERE reason IS NULL"
+O["refused_events"] = RAW_EVENTS + "SELECT id, possession_id, event_type, reason FROM judged WHERE reason IS NOT NULL"
 REPLENISHED = """SELECT possession_id, CAST(max(logged_at) AS DATE) AS replenished_on FROM consumption_log
     WHERE event_type IN ('opened', 'replaced') GROUP BY possession_id"""
 O["replenished_possessions"] = with_views("possessions", "consumption_log", extra=f"days AS ({REPLENISHED})") + """
@@ -534,10 +556,11 @@ O["streamed_replenishment"] = with_views("consumption_log") + REPLENISHED
 # --- quality ----------------------------------------------------------------------------------
 CHECKED = with_views("possessions", "purchases", extra="""
 owned AS (SELECT id, CASE WHEN id % 25 <> 0 THEN name END AS name, CASE WHEN id % 9 = 0 THEN 'gadget' ELSE category END AS category, condition
-    FROM possessions WHERE last_replenished IS NOT NULL),
-logged AS (SELECT event_id AS id, user_id AS possession_id, CASE WHEN event_type = 'view' THEN 'opened' ELSE event_type END AS event_type,
+    FROM possessions),
+logged AS (SELECT event_id AS id, CASE WHEN event_id % 23 = 0 THEN -user_id ELSE user_id END AS possession_id, CASE WHEN event_type = 'view' THEN 'opened' ELSE event_type END AS event_type,
     CASE WHEN event_id % 40 <> 0 THEN ts END AS logged_at FROM events),
-bought AS (SELECT l_orderkey * 100 + l_linenumber AS id, source, possession_id, CASE WHEN l_orderkey % 30 <> 0 THEN currency END AS currency FROM purchases)""")
+bought AS (SELECT l_orderkey * 100 + l_linenumber AS id, source,
+    CASE WHEN l_orderkey % 17 = 0 THEN -possession_id ELSE possession_id END AS possession_id, CASE WHEN l_orderkey % 30 <> 0 THEN currency END AS currency FROM purchases)""")
 ENUM = f"""
 SELECT 'possessions' AS table_name, 'enum:category' AS rule, CAST(id AS VARCHAR) AS key, category AS value FROM owned
     WHERE category NOT IN ({', '.join(map(text, schemas.CATEGORIES))})
@@ -557,11 +580,12 @@ UNION ALL SELECT 'consumption_log', 'foreign_key:possession_id', CAST(id AS VARC
 O["enum_violations"] = CHECKED + ENUM
 O["null_violations"] = CHECKED + NULLS
 O["foreign_key_violations"] = CHECKED + FOREIGN
-O["key_violations"] = CHECKED + """
+UNIQUE = """
 SELECT 'purchase_history' AS table_name, 'unique:id' AS rule, CAST(id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS value
 FROM bought GROUP BY id HAVING count(*) > 1"""
+O["key_violations"] = CHECKED + UNIQUE
 O["violation_counts"] = CHECKED + f"""
-SELECT table_name, rule, count(*) AS n FROM (({ENUM}) UNION ALL ({NULLS}) UNION ALL ({FOREIGN})) GROUP BY ALL"""
+SELECT table_name, rule, count(*) AS n FROM (({ENUM}) UNION ALL ({NULLS}) UNION ALL ({UNIQUE}) UNION ALL ({FOREIGN})) GROUP BY ALL"""
 O["filled_defaults"] = CHECKED + f"""
 SELECT source, coalesce(currency, 'JPY') AS currency, {NOW} AS created_at, count(*) AS n FROM bought GROUP BY ALL"""
 O["custom_sources"] = PURCHASES + "SELECT 'custom ' || source AS source, count(*) AS n FROM purchases GROUP BY 1"

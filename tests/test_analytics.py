@@ -1,5 +1,7 @@
+import math
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
@@ -114,3 +116,13 @@ def test_week_and_quantile(spark):
     ] + [("s", "twice", 500.0, "JPY", date(2026, 3, 1), None, None)] * 2, PURCHASE)
     got = sorted(r.item_name for r in Q.wasteful_purchases(bought, AS_OF).collect())
     assert got == sorted(f"item {i}" for i in range(92, 101))
+
+
+def test_price_bounds_are_exact(spark):
+    """More than 100,000 distinct prices, most of them close together beside a few far out; ties at the bound."""
+    prices = [1 + i / 1e6 for i in range(120_000)] + [1e12, 5e8, -3.0] + [1.05] * 500
+    rows = spark.createDataFrame([("JPY", p) for p in prices] + [("USD", 2.0), ("EUR", 1.0), ("EUR", 3.0)], "currency string, price double")
+    for quantile in ("0.9", "0.5", "0.999999", "1"):
+        got = {r.currency: r.price_bound for r in Q.price_bounds(rows, quantile).collect()}
+        rank = math.ceil(Decimal(quantile) * len(prices))
+        assert got == {"JPY": sorted(prices)[rank - 1], "USD": 2.0, "EUR": 3.0 if Decimal(quantile) > Decimal("0.5") else 1.0}

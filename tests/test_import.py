@@ -162,3 +162,11 @@ def test_registry_from_a_file(spark, tmp_path):
     assert formats == config["formats"] and symbols == registry.SYMBOLS
     with pytest.raises(FileNotFoundError):
         registry.load_formats(spark, str(tmp_path / "absent.json"))
+
+
+def test_registry_without_a_statement_format(spark, tmp_path):
+    formats = {"mine": {"name": "Mine", "source_key": "mine", "columns": {"item_name": ["Thing"], "price": ["Cost"]}, "date_formats": ["%Y-%m-%d"]}}
+    write(tmp_path / "in" / "a.csv", ["Thing", "Cost"], [["Cup", "5"]])
+    write(tmp_path / "in" / "b.csv", ["x", "y"], [["1", "2"]])
+    rows, counts, _ = load(spark, tmp_path / "in", registry_importer(formats, registry.SYMBOLS))
+    assert [(r["item_name"], r["source"]) for r in rows] == [("Cup", "mine")] and counts["b.csv"] == (0, 0, 0)
