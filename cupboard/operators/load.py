@@ -32,8 +32,8 @@ def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer
     """
     prepare(spark)
     base = scratch_dir(spark)
-    profiles = profile_files(spark, path)
-    files = importer.map_headers(file_headers(spark, path, profiles))
+    profiles = write_and_reload(profile_files(spark, path, importer.charsets), f"{base}/profiles")
+    files = importer.map_headers(file_headers(spark, profiles, importer.charsets))
     known = F.col("charset").isNotNull() & F.col("header").isNotNull()
     if importer.needs_known_header:
         known = known & F.col("variant").isNotNull()

@@ -27,6 +27,7 @@ class Importer:
     drops_empty_rows: bool
     compares_composite: bool
     needs_known_header: bool
+    charsets: tuple[str, ...] = registry.CHARSETS
 
 
 def _by_format(formats: dict) -> Callable[[Column], Column]:
@@ -40,8 +41,12 @@ def _by_format(formats: dict) -> Callable[[Column], Column]:
     return date
 
 
-def registry_importer(formats: dict, symbols: dict, format_key: str | None = None, source: str | None = None) -> Importer:
+def registry_importer(
+    formats: dict, symbols: dict, format_key: str | None = None, source: str | None = None,
+    charsets: tuple[str, ...] = registry.CHARSETS,
+) -> Importer:
     return Importer(
+        charsets=charsets,
         map_headers=lambda files: headers.map_by_registry(files, formats, format_key, source),
         amount=lambda raw: amount_of(raw, symbols),
         currency=lambda raw: currency_of(raw, symbols),

@@ -194,12 +194,27 @@ def import_folder_statistics(v: Views) -> DataFrame:
 
 
 def import_shop_a(v: Views) -> DataFrame:
-    folder = exports.landing_folder(v, (0, 1))
-    return load.import_exports(v.spark, folder, None, normalize.shop_a_importer()).accepted.select(*IMPORTED[:-1])
+    done = load.import_exports(v.spark, exports.landing_folder(v), None, normalize.shop_a_importer())
+    return done.accepted.select(*IMPORTED[:-1])
+
+
+def import_shop_a_rejects(v: Views) -> DataFrame:
+    """Folders whose files the importer of one shop sets aside, with the reason."""
+    done = load.import_exports(v.spark, exports.landing_folder(v), None, normalize.shop_a_importer())
+    folder = F.element_at(F.split("file_path", "/"), -2)
+    return done.rejected.select(folder.alias("folder"), "reason").distinct()
+
+
+def import_short_rows(v: Views) -> DataFrame:
+    importer = normalize.registry_importer(registry.FORMATS, registry.SYMBOLS)
+    done = load.import_exports(v.spark, exports.short_row_folder(v), None, importer)
+    return done.statistics.groupBy("format_key").agg(
+        F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped"), F.sum("errors").alias("errors")
+    )
 
 
 def import_shop_b(v: Views) -> DataFrame:
-    folder = exports.landing_folder(v, (1,))
+    folder = exports.other_shop_folder(v)
     return load.import_exports(v.spark, folder, None, normalize.shop_b_importer()).accepted.select(*IMPORTED[:-1])
 
 
@@ -485,9 +500,12 @@ def filled_defaults(v: Views) -> DataFrame:
 
 
 def custom_sources(v: Views) -> DataFrame:
-    """Any source name is kept."""
-    rows = v.purchases.withColumn("source", F.concat(F.lit("custom "), "source"))
-    return rows.groupBy("source").agg(F.count("*").alias("n"))
+    """A source name that no table knows goes through the import and into the table."""
+    importer = normalize.registry_importer(registry.FORMATS, registry.SYMBOLS, source="corner shop")
+    done = load.import_exports(v.spark, exports.landing_folder(v), None, importer)
+    path = f"{scratch_dir(v.spark)}/purchase_history"
+    load.append_batch(done.accepted, path, schemas.PURCHASE_HISTORY, "b1", Q.at(AS_OF), partition="source")
+    return load.read_table(v.spark, path, schemas.PURCHASE_HISTORY).select(*IMPORTED)
 
 
 def backfilled_purchases(v: Views) -> DataFrame:
@@ -563,7 +581,9 @@ QUERIES = {
     "import_folder": import_folder,
     "import_folder_statistics": import_folder_statistics,
     "import_shop_a": import_shop_a,
+    "import_shop_a_rejects": import_shop_a_rejects,
     "import_shop_b": import_shop_b,
+    "import_short_rows": import_short_rows,
     "import_statement": import_statement,
     "appended_purchases": appended_purchases,
     # receipts

@@ -180,13 +180,29 @@ STATEMENT_DATES = [
 ]
 
 
+# Charsets tried in this order; the first that decodes the whole file is used.
+CHARSETS = ("UTF-8", "Shift_JIS", "windows-31j")
+# Names that a registry file may use, as Spark knows them.
+_CHARSET_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf8": "UTF-8", "shift_jis": "Shift_JIS", "sjis": "Shift_JIS",
+                  "cp932": "windows-31j", "euc_jp": "EUC-JP", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+
+
+def load_charsets(spark: SparkSession, path: str | None = None) -> tuple[str, ...]:
+    """The ``encoding_order`` of a registry file, without repetitions; CHARSETS if it has none."""
+    order = _config(spark, path).get("encoding_order") if path else None
+    return tuple(dict.fromkeys(_CHARSET_NAMES.get(name.lower(), name) for name in order)) if order else CHARSETS
+
+
 def load_formats(spark: SparkSession, path: str | None = None) -> tuple[dict, dict]:
     """Formats and currency symbols, from a JSON file of ``{"formats", "currency_symbols"}`` if given."""
     if path is None:
         return FORMATS, SYMBOLS
+    config = _config(spark, path)
+    return config["formats"], config.get("currency_symbols") or SYMBOLS
+
+
+def _config(spark: SparkSession, path: str) -> dict:
     try:
-        text = spark.read.text(path, wholetext=True).first()[0]
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     except AnalysisException as error:
         raise FileNotFoundError(f"no format registry at {path}") from error
-    config = json.loads(text)
-    return config["formats"], config.get("currency_symbols") or SYMBOLS

@@ -381,10 +381,24 @@ JOIN (SELECT format_key, count(*) AS imported FROM accepted GROUP BY format_key)
 O["import_shop_a"] = exported("0, 1", GENERAL.replace(", cat AS category", "")).replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", "(SELECT 1)") + f"""
 SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM no_id"""
-O["import_shop_b"] = exported("1", """'rakuten' AS source, item AS item_name, CAST(NULL AS DOUBLE) AS price, 'JPY' AS currency,
-    CAST(NULL AS DATE) AS purchase_date, ord AS order_id""").replace(
+O["import_shop_a_rejects"] = with_views("export_rows") + """
+SELECT DISTINCT CASE layout WHEN 2 THEN 'c-auction' WHEN 3 THEN 'd-store' ELSE 'e-statement' END AS folder, 'unknown_header' AS reason
+FROM export_rows WHERE layout > 1"""
+# The importer's own layouts are copies of layout 1 with order ids of their own; layout 1 itself has neither its price nor its date.
+O["import_shop_b"] = exported("1", """'rakuten' AS source, item AS item_name, CASE WHEN layout > 1 THEN CAST(amount AS DOUBLE) END AS price,
+    'JPY' AS currency, CASE WHEN layout > 1 THEN day END AS purchase_date, ord AS order_id""").replace(
+    "FROM export_rows WHERE layout IN (1)", """FROM (SELECT * FROM export_rows WHERE layout = 1 UNION ALL
+        SELECT * REPLACE (CAST(5 + l_orderkey % 2 AS INT) AS layout, CASE WHEN order_text = '' THEN '' ELSE 'B' || order_text END AS order_text)
+        FROM export_rows WHERE layout = 1)""").replace("layout < 4 THEN nullif(order_text", "TRUE THEN nullif(order_text").replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", "(SELECT 1)") + f"""
 SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM no_id"""
+SHORT = "l_partkey % 5 = 0"
+O["import_short_rows"] = exported("3", GENERAL, f"NOT ({SHORT}) AND NOT (item = '' AND amount IS NULL)").replace(
+    "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", """(
+    SELECT format_key FROM by_order UNION ALL SELECT format_key FROM by_composite)""") + f"""
+SELECT 'shopify' AS format_key, (SELECT count(*) FROM accepted) AS imported,
+    (SELECT count(*) FROM batch) - (SELECT count(*) FROM accepted) AS skipped,
+    (SELECT count(*) FROM export_rows WHERE layout = 3 AND {SHORT}) AS errors"""
 O["import_statement"] = exported("4", """'credit_card' AS source, item AS item_name, CAST(amount AS DOUBLE) AS price, 'USD' AS currency,
     day AS purchase_date, CAST(NULL AS VARCHAR) AS order_id""", "NOT (item = '' AND amount IS NULL)").replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", f"(SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM by_composite)") + f"""
@@ -588,7 +602,10 @@ O["violation_counts"] = CHECKED + f"""
 SELECT table_name, rule, count(*) AS n FROM (({ENUM}) UNION ALL ({NULLS}) UNION ALL ({UNIQUE}) UNION ALL ({FOREIGN})) GROUP BY ALL"""
 O["filled_defaults"] = CHECKED + f"""
 SELECT source, coalesce(currency, 'JPY') AS currency, {NOW} AS created_at, count(*) AS n FROM bought GROUP BY ALL"""
-O["custom_sources"] = PURCHASES + "SELECT 'custom ' || source AS source, count(*) AS n FROM purchases GROUP BY 1"
+O["custom_sources"] = exported("0, 1, 2, 3, 4", GENERAL.replace("src AS source", "'corner shop' AS source"), "NOT (item = '' AND amount IS NULL)").replace(
+    "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", f"""(
+    SELECT {IMPORTED}, category FROM by_order UNION ALL SELECT {IMPORTED}, category FROM by_composite)""") + f"""
+SELECT {IMPORTED}, category FROM accepted"""
 O["backfilled_purchases"] = PURCHASES + "SELECT source, count(*) AS n, round(sum(price), 2) AS total FROM purchases GROUP BY source"
 O["evolved_scans"] = with_views("ocr") + """
 SELECT row_id, image_path, CASE WHEN row_id < 0 THEN sha256(ocr_text) END AS image_hash FROM ocr"""

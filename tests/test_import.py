@@ -170,3 +170,24 @@ def test_registry_without_a_statement_format(spark, tmp_path):
     write(tmp_path / "in" / "b.csv", ["x", "y"], [["1", "2"]])
     rows, counts, _ = load(spark, tmp_path / "in", registry_importer(formats, registry.SYMBOLS))
     assert [(r["item_name"], r["source"]) for r in rows] == [("Cup", "mine")] and counts["b.csv"] == (0, 0, 0)
+
+
+def test_header_with_a_line_break(spark, tmp_path):
+    for name, charset in (("u", "utf-8"), ("s", "shift_jis")):
+        path = tmp_path / "in" / f"{name}.csv"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text('注文日,注文番号,"商品\n名 ""x""",商品名,価格\n2026/01/01,1%s,"a\nb",茶,100\n' % name, encoding=charset)
+    rows, counts, reasons = load(spark, tmp_path / "in")
+    assert [(r["item_name"], r["price"]) for r in rows] == [("茶", 100), ("茶", 100)] and reasons == []
+    assert counts == {"u.csv": (1, 0, 0), "s.csv": (1, 0, 0)}
+    assert json.loads(rows[0]["raw_data"])['商品\n名 "x"'] == "a\nb"
+
+
+def test_encoding_order_from_a_file(spark, tmp_path):
+    path = tmp_path / "formats.json"
+    path.write_text(json.dumps({"formats": {}, "encoding_order": ["utf-8", "utf-8-sig", "cp1252"]}))
+    charsets = registry.load_charsets(spark, str(path))
+    assert charsets == ("UTF-8", "windows-1252") and registry.load_charsets(spark) == registry.CHARSETS
+    write(tmp_path / "in" / "a.csv", ["Item title", "Sale price", "Sale date", "Order number"], [["Café", "$4", "Mar-10-26", "1"]], "cp1252")
+    rows, _, _ = load(spark, tmp_path / "in", registry_importer(registry.FORMATS, registry.SYMBOLS, charsets=charsets))
+    assert rows[0]["item_name"] == "Café"
