@@ -32,13 +32,13 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 # Letters outside ASCII stay as their UTF-8 bytes; digits, symbols and blanks become one blank.
 _KEPT = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def features(text: str) -> np.ndarray:
@@ -97,7 +97,7 @@ class Vote:
         """Class with most won votes (ties: larger margin) and its smallest margin; a single class has margin 1."""
         if not self.pairs:
             return np.zeros(len(x), int), np.ones(len(x))
-        margin = x @ self.weights[:, :-1].T + self.weights[:, -1]
+        margin = x.astype(np.float64) @ self.weights[:, :-1].T.astype(np.float64) + self.weights[:, -1]
         won, total = np.zeros((len(x), len(self.classes))), np.zeros((len(x), len(self.classes)))
         least = np.full((len(x), len(self.classes)), np.inf)
         for k, (a, b) in enumerate(self.pairs):
@@ -130,7 +130,8 @@ class Model:
                 best, least = vote.choose(x[members])
                 for m, b, s in zip(members, best, np.minimum(margin[members], least)):
                     langs[rows[m]] = vote.classes[b]
-                    scores[rows[m]] = 1 / (1 + np.exp(-4 * np.clip(s, -10, 10)))
+                    # Rounded, so that the order of additions in a batch does not show.
+                    scores[rows[m]] = round(1 / (1 + np.exp(-4 * np.clip(s, -10, 10))), 6)
         return langs, scores
 
 

@@ -49,7 +49,8 @@ def test_pieces_and_places(docs, vocab):
             assert offset == at
             at += length
         assert at <= 64
-    assert len(bins) <= -(-sum(r.length for r in rows) // 64) + 1
+    least = max(-(-sum(r.length for r in rows) // 64), sum(r.length > 32 for r in rows))
+    assert len(bins) <= 1.03 * least + 1
 
 
 def test_fullest_is_the_fullest():
