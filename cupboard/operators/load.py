@@ -126,22 +126,29 @@ def _commits(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def highest_id(spark: SparkSession, path: str) -> int:
+    """The highest id that the table's batches were given, 0 for a new table."""
+    past = _commits(spark, path)
+    return 0 if past is None else past.agg(F.max("last_id")).first()[0] or 0
+
+
 def append_batch(
     rows: DataFrame, path: str, schema: T.StructType, batch_id: str, as_of: Column, partition: str | None = None,
-    sort: tuple[str, ...] = ("purchase_date",),
+    sort: tuple[str, ...] = ("purchase_date",), keep_ids: bool = False,
 ) -> None:
     """Append one batch; running the same batch again replaces all of it, whatever partitions it had.
 
     The files of a run go to a folder of their own. One small commit record then makes them the batch's rows, so a
     reader sees either run as a whole and a failed run leaves nothing to see. Ids go on after the highest one given
-    out, which the record keeps: the history is not read. A table has one writer at a time. NULLs in required
-    columns and blank partition values raise ConstraintError before anything is published.
+    out, which the record keeps: the history is not read. With ``keep_ids`` the rows bring theirs, above
+    ``highest_id``. A table has one writer at a time. NULLs in required columns and blank partition values raise
+    ConstraintError before anything is published.
     """
     spark = rows.sparkSession
     past = _commits(spark, path)
     version, last_id = past.agg(F.max("version"), F.max("last_id")).first() if past is not None else (0, 0)
     version, first_id = (version or 0) + 1, (last_id or 0) + 1
-    batch = with_ids(rows, first_id)
+    batch = rows if keep_ids else with_ids(rows, first_id)
     if "created_at" in schema.fieldNames():
         batch = batch.withColumn("created_at", as_of)
     batch = conform(batch, schema)

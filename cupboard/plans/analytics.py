@@ -336,16 +336,6 @@ def cycle_lengths(log: DataFrame) -> DataFrame:
     )
 
 
-def cycle_lengths_by_pairs(log: DataFrame) -> DataFrame:
-    """The same by joining the pairs; for small logs and for comparison."""
-    opened = log.filter("event_type = 'opened'").select("possession_id", F.col("logged_at").alias("opened_at"))
-    closed = log.filter(F.col("event_type").isin(*CLOSING)).select("possession_id", F.col("logged_at").alias("closed_at"))
-    pairs = opened.join(closed, "possession_id").filter("closed_at > opened_at")
-    return pairs.groupBy("possession_id").agg(
-        F.avg(days_between(F.col("closed_at"), F.col("opened_at"))).alias("cycle_days")
-    )
-
-
 def consumption_cycle(log: DataFrame, possessions: DataFrame) -> DataFrame:
     named = possessions.select(F.col("id").alias("possession_id"), "name")
     return cycle_lengths(log).join(named, "possession_id").select(

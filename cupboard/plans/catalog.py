@@ -16,7 +16,7 @@ from cupboard.plans import analytics as Q
 from cupboard.plans import exports, reports
 from cupboard.plans.views import ROW_KEY, VIEWS, Views
 from cupboard.session import scratch_dir, write_and_reload
-from cupboard.sources.scans import content_hash, parse_detections
+from cupboard.sources.scans import content_hash, parse_detections, read_item_lines, read_ocr_results
 from cupboard.streaming import events as streamed
 
 AS_OF = datetime(2001, 7, 20, 12)
@@ -87,6 +87,16 @@ def item_line_statistics(v: Views) -> DataFrame:
     return _item_lines(v).filter("status = 'accepted'").groupBy("category").agg(F.count("*").alias("items"))
 
 
+def scanned_item_lines(v: Views) -> DataFrame:
+    """Item lines written as text files and scanned from there, with the totals of the load."""
+    folder = scratch_dir(v.spark)
+    v.view("item_lines").select("value").write.text(folder)
+    lines = normalize.parse_item_lines(read_item_lines(v.spark, folder), F.lit(AS_OF.date()))
+    return lines.rollup("status", "category").agg(
+        F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"), F.count("brand").alias("n_brands"),
+    ).filter("status IS NOT NULL OR category IS NULL")
+
+
 def new_possessions(v: Views) -> DataFrame:
     lines = _item_lines(v).filter("status = 'accepted'")
     registered_early = F.col("created_at") < F.lit("2001-02-01").cast("timestamp")
@@ -302,6 +312,48 @@ def receipt_tables(v: Views) -> DataFrame:
     return counted[0].unionAll(counted[1]).unionAll(counted[2])
 
 
+def _loaded(v: Views) -> dict[str, DataFrame]:
+    """Two batches of new scans loaded into the three tables, the first one twice."""
+    accepted, folder = write_and_reload(_new_scans(v)), scratch_dir(v.spark)
+    even = F.col("row_id") % 2 == 0
+    for batch_id, part in (("b1", accepted.filter(even)), ("b2", accepted.filter(~even)), ("b1", accepted.filter(even))):
+        receipts.load_receipts(part, folder, batch_id, Q.at(AS_OF))
+    return receipts.read_receipts(v.spark, folder)
+
+
+def loaded_receipts(v: Views) -> DataFrame:
+    """Items with the receipt and the purchase that their keys name."""
+    tables = _loaded(v)
+    items = tables["receipt_items"].select("receipt_id", "purchase_history_id", "item_name", "price")
+    scans = tables["receipt_scans"].select(F.col("id").alias("receipt_id"), "image_path")
+    bought = tables["purchase_history"].select(
+        F.col("id").alias("purchase_history_id"), F.col("item_name").alias("bought"), F.col("price").alias("paid"))
+    return items.join(scans, "receipt_id").join(bought, "purchase_history_id").filter("item_name = bought").groupBy("image_path").agg(
+        F.count("*").alias("n"), F.countDistinct("purchase_history_id").alias("n_purchases"), F.round(F.sum("paid"), 2).alias("total"))
+
+
+def receipt_key_violations(v: Views) -> DataFrame:
+    """Both keys of the items, some of them broken."""
+    tables = _loaded(v)
+    whole = F.col("price") % 2 == 0
+    tables["receipt_items"] = tables["receipt_items"].withColumns({
+        "receipt_id": F.when(whole, -F.col("receipt_id")).otherwise(F.col("receipt_id")),
+        "purchase_history_id": F.when(~whole, -F.col("purchase_history_id")).otherwise(F.col("purchase_history_id")),
+    })
+    return quality.check_all(tables).groupBy("table_name", "rule").agg(F.count("*").alias("n"))
+
+
+def scanned_receipts(v: Views) -> DataFrame:
+    """OCR results written as JSON lines and scanned from there."""
+    folder = scratch_dir(v.spark)
+    scans = _scans(v)
+    words = F.transform("confidences", lambda c: F.struct(F.lit("w").alias("text"), c.alias("conf")))
+    scans.select("image_path", "image_hash", "ocr_text", words.alias("words")).write.json(folder)
+    return receipts.extract(read_ocr_results(v.spark, folder)).select(
+        "image_path", "image_hash", "store_name", "receipt_date", "total_amount", "currency", F.size("items").alias("n_items"),
+        F.round("ocr_confidence", 6).alias("ocr_confidence"), "status")
+
+
 # --- detections -------------------------------------------------------------------------------
 
 def detected_items(v: Views) -> DataFrame:
@@ -564,6 +616,7 @@ QUERIES = {
     "item_lines": item_lines,
     "item_line_rejects": item_line_rejects,
     "item_line_statistics": item_line_statistics,
+    "scanned_item_lines": scanned_item_lines,
     "new_possessions": new_possessions,
     "consumable_defaults": consumable_defaults,
     # headers
@@ -594,6 +647,9 @@ QUERIES = {
     "new_receipts": new_receipts,
     "receipt_purchases": receipt_purchases,
     "receipt_tables": receipt_tables,
+    "loaded_receipts": loaded_receipts,
+    "receipt_key_violations": receipt_key_violations,
+    "scanned_receipts": scanned_receipts,
     # detections
     "detected_items": detected_items,
     "unreadable_detections": unreadable_detections,

@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from cupboard.operators.receipts import accept_scans, extract, fan_out
+from cupboard.operators.receipts import accept_scans, extract, fan_out, load_receipts, read_receipts
 from cupboard.sources.scans import parse_detections, read_images, read_item_lines, read_ocr_results
 from cupboard.operators.detections import consolidate
 from cupboard.operators.normalize import lifespan_of_kind, parse_item_lines
@@ -77,6 +77,25 @@ def test_fan_out(spark):
     assert (receipts.count(), items.count(), purchases.count()) == (1, 4, 4)
     row = purchases.filter("item_name = 'Rice ball'").first()
     assert (row.source, row.raw_data, row.purchase_date) == ("receipt", "receipt_id=7,store=ABC Mart", date(2026, 3, 10))
+    assert {r.purchase_history_id for r in items.collect()} == {r.id for r in purchases.collect()} == {1, 2, 3, 4}
+
+
+def test_load_receipts(spark, tmp_path):
+    now = F.lit("2026-03-11 00:00:00").cast("timestamp")
+
+    def load(batch, *names):
+        rows = spark.createDataFrame([(n, n, TEXT, ["80"]) for n in names], "image_path string, image_hash string, ocr_text string, confidences array<string>")
+        load_receipts(extract(rows), str(tmp_path), batch, now)
+        return read_receipts(spark, str(tmp_path))
+
+    load("1", "a", "b")
+    load("2", "c")
+    tables = load("1", "a")
+    scans = {r.id: r.image_path for r in tables["receipt_scans"].collect()}
+    bought = {r.id: (r.item_name, r.price) for r in tables["purchase_history"].collect()}
+    items = tables["receipt_items"].collect()
+    assert sorted(scans.values()) == ["a", "c"] and len(items) == len(bought) == 8
+    assert all(bought[i.purchase_history_id] == (i.item_name, i.price) and i.receipt_id in scans for i in items)
 
 
 def test_image_and_ocr_scans(spark, tmp_path):
