@@ -218,7 +218,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     by_text = new.groupBy("doc_id", "text_hash").agg(parts.alias("__parts"))
     by_text = write_and_reload(by_text.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__of"}))
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = hashed.join(by_text, hashed["doc_id"].eqNullSafe(by_text["__doc"]) & (hashed["__hash"] == by_text["__of"]), "left")
+    # Always a sort-merge join: the texts' surrogates grow with the corpus, and the plan stays the same at every size.
+    joined = hashed.join(by_text.hint("merge"), hashed["doc_id"].eqNullSafe(by_text["__doc"]) & (hashed["__hash"] == by_text["__of"]), "left")
     # The parts of one mention share "at"; a gap of the text goes before the first part of each.
     changed, none = F.col("__parts").isNotNull(), F.array().cast(by_text.schema["__parts"].dataType)
     rows = joined.withColumn("__gaps", F.when(changed, F.split("text", ANY))).withColumn(
