@@ -164,10 +164,12 @@ def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFram
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = grouped.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(first).alias("first")).where("first")
     ids = write_and_reload(ids.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")))
+    shared = write_and_reload(ids.where("__n > 1").select("__id"))  # normally empty, so its join costs no shuffle
     rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
 
     def named_in(chosen: DataFrame) -> DataFrame:
         return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
 
-    repeated = named_in(ids.where("__n > 1")).withColumn("__nth", F.row_number().over(rank))
-    return named_in(ids.where("__n = 1")).unionByName(repeated.where("__nth = 1").drop("__nth"))
+    repeated = named_in(shared).withColumn("__nth", F.row_number().over(rank))
+    # The kept ids grow with the corpus: a sort-merge join at every size.
+    return named_in(ids.where("__n = 1").hint("merge")).unionByName(repeated.where("__nth = 1").drop("__nth"))
