@@ -71,6 +71,18 @@ def test_scans_against_a_sequential_load(spark):
         assert sorted(r.i for r in got.collect()) == sequential(scans, stored)
 
 
+def test_chain_of_scans(spark, monkeypatch):
+    """Each scan shares its hash with one neighbour and its path with the other: rounds grow with the logarithm."""
+    from cupboard.operators import components
+
+    scans = [(i, f"p{(i + 1) // 2}", f"h{i // 2}", 1) for i in range(60)]
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    rows = spark.createDataFrame(scans, "i int, image_path string, image_hash string, n int").withColumn("items", F.array(F.lit("x")))
+    got = accept_scans(rows, spark.createDataFrame([], "image_path string, image_hash string"), "i")
+    assert sorted(r.i for r in got.collect()) == sequential(scans, []) and len(rounds) <= 8
+
+
 def test_fan_out(spark):
     rows = spark.createDataFrame([(7, "p", "h", TEXT, ["80"])], "receipt_id long, image_path string, image_hash string, ocr_text string, confidences array<string>")
     receipts, items, purchases = fan_out(extract(rows), F.lit("2026-03-11 00:00:00").cast("timestamp"))
