@@ -25,18 +25,21 @@ BROADCAST_BYTES = 4 << 20
 
 def normal_words(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def shingle_hashes(words: Column, n: int) -> Column:
-    """One hash per run of ``n`` words; fewer words have none."""
-    def runs(hashed):
-        return F.transform(F.sequence(F.lit(0), F.size(hashed) - n), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(n)]))
+def shingle_hashes(word_hashes: Column, n: int) -> Column:
+    """One hash per run of ``n`` words, from an array column with one hash per word; fewer words have none."""
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size(word_hashes) - n), lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(n)]))
+    return F.when(F.size(word_hashes) >= n, runs).otherwise(F.array().cast("array<bigint>"))
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    made = F.get(F.transform(F.array(hashed), runs), 0)
-    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<bigint>"))
+
+def _hashed(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The key columns and ``hashes``; each step is a column of its own, so that none is computed twice."""
+    words = rows.select(*key, F.transform(normal_words(F.col("text")), lambda w: F.xxhash64(w)).alias("word_hashes"))
+    return words.select(*key, shingle_hashes(F.col("word_hashes"), n).alias("hashes"))
 
 
 def shingles(words: Column, n: int) -> Column:
@@ -50,10 +53,10 @@ def item_sketches(items: DataFrame, n: int, threshold: float) -> DataFrame:
 
     ``need`` is the least number of shared shingles; ``size_class`` the binary logarithm of ``need``.
     """
-    hashes = F.array_sort(F.array_distinct(shingle_hashes(F.col("words"), n)))
+    hashes = F.array_sort(F.array_distinct("hashes"))
     need = F.ceil(F.lit(threshold) * F.size("hashes") - F.lit(1e-9)).cast("int")
     return (
-        items.select("item_id", normal_words(F.col("text")).alias("words")).select("item_id", hashes.alias("hashes"))
+        _hashed(items, ["item_id"], n).select("item_id", hashes.alias("hashes"))
         .where(F.size("hashes") > 0).withColumn("need", need)
         .withColumn("size_class", F.floor(F.log2("need")).cast("int"))
         .withColumn("kept", F.slice("hashes", F.lit(1), F.size("hashes") - F.col("need") + 1))
@@ -64,10 +67,11 @@ def item_sketches(items: DataFrame, n: int, threshold: float) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
     """(doc_id, text_hash, item_id) that share a sketch hash, sizes permitting."""
     sketch = small_side(write_and_reload(item_sketches(items, n, threshold)), BROADCAST_ROWS)
-    sized = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), shingle_hashes(normal_words(F.col("text")), n).alias("hashes")
-    ).withColumn("doc_class", F.floor(F.log2(F.size("hashes"))).cast("int"))
-    probes = sized.select("doc_id", "text_hash", "doc_class", F.explode("hashes").alias("hash"))
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    sized = _hashed(keyed, ["doc_id", "text_hash"], n).withColumn(
+        "doc_class", F.coalesce(F.floor(F.log2(F.size("hashes"))).cast("int"), F.lit(-1)))
+    # The outer form: for the inner one Spark adds a filter that would compute the hashes once more.
+    probes = sized.select("doc_id", "text_hash", "doc_class", F.explode_outer("hashes").alias("hash"))
     met = probes.join(sketch, "hash").where("size_class <= doc_class")
     return met.select("doc_id", "text_hash", "item_id").distinct()
 
@@ -80,7 +84,8 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     found = write_and_reload(candidates(docs, items, n, threshold))
-    wanted = items.select("item_id", shingles(normal_words(F.col("text")), n).alias("item_shingles"))
+    wanted = items.select("item_id", normal_words(F.col("text")).alias("words")).select(
+        "item_id", shingles(F.col("words"), n).alias("item_shingles"))
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
@@ -88,7 +93,8 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     hits = write_and_reload(hits)
     checked = (
         texts.join(hits, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-        .select("doc_id", "item_ids", shingles(normal_words(F.col("text")), n).alias("doc_shingles"))
+        .select("doc_id", "item_ids", normal_words(F.col("text")).alias("words"))
+        .select("doc_id", "item_ids", shingles(F.col("words"), n).alias("doc_shingles"))
         .select("doc_id", "doc_shingles", F.explode("item_ids").alias("item_id"))
         .join(wanted, "item_id")
         .select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"),
