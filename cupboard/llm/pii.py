@@ -161,7 +161,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     the same surname in a full name are thereby one entity.
     """
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
-    each = found.select("doc_id", "text_hash", F.posexplode("found").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
+    # The outer form: for the inner one Spark adds a filter that would search every text once more.
+    each = found.select("doc_id", "text_hash", F.posexplode_outer("found").alias("at", "mention"))
+    each = each.where("mention is not null").withColumn("kind", _kind(F.col("mention")))
     title = F.regexp_extract("mention", rf"^({_TITLE}\.? )", 1)
     gender = F.when(title.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? $"), "f").otherwise("m")
     parts = F.split(F.substr(F.col("mention"), F.length(title) + 1), " ")
