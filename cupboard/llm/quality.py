@@ -117,13 +117,13 @@ def thresholds(parts: DataFrame, rules: tuple[Rule, ...] = RULES, min_group: int
         keys = [c for c in ("lang", "source") if c in sketched.columns]
         return sketched.select(*keys, F.col("n").alias(f"{prefix}_n"), *[bound(r) for r in rules])
 
-    own, lang, table = bounds(parts, "own"), bounds(by_lang, "lang"), bounds(by_all, "all")
+    own, lang, table = bounds(parts, "own"), bounds(by_lang, "lang"), bounds(by_all, "all").first()
     lang = lang.withColumnRenamed("lang", "_lang")
-    joined = own.join(lang, own.lang.eqNullSafe(lang._lang)).join(F.broadcast(table))  # one row
+    joined = own.join(lang, own.lang.eqNullSafe(lang._lang))
     return joined.select("lang", "source", *[
         F.when(F.col("own_n") >= min_group, F.col(f"own_{r.metric}"))
         .when(F.col("lang_n") >= min_group, F.col(f"lang_{r.metric}"))
-        .otherwise(F.col(f"all_{r.metric}")).alias(f"max_{r.metric}") for r in rules])
+        .otherwise(F.lit(table[f"all_{r.metric}"])).alias(f"max_{r.metric}") for r in rules])
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30,
