@@ -31,7 +31,8 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
     "number": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-              r"|(?<=(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,256}",
+              # The short look-behinds fail first nearly everywhere.
+              r"|(?<=[=:\"'\s])(?<=[=:\"']|[=:]\s{1,3})(?<=(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,256}",
     "name": rf"(?<!\p{{L}}){_TITLE}\.? {_WORD}(?: {_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
