@@ -111,7 +111,8 @@ def thresholds(parts: DataFrame, rules: tuple[Rule, ...] = RULES, min_group: int
 
     def bounds(sketched: DataFrame, prefix: str) -> DataFrame:
         def bound(r: Rule) -> Column:
-            low, high = (F.kll_sketch_get_quantile_double(F.col(r.metric), F.lit(q)) for q in (0.25, 0.75))
+            # Without documents the merged sketch is empty and has no quantiles.
+            low, high = (F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(r.metric), F.lit(q))) for q in (0.25, 0.75))
             return (high + F.lit(r.ranges) * (high - low) + F.lit(r.gap)).alias(f"{prefix}_{r.metric}")
 
         keys = [c for c in ("lang", "source") if c in sketched.columns]
