@@ -20,7 +20,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: three-word shingles, at most three differing bits."""
-    return simhash.keep_first(docs, shingle=3, max_bits=3)
+    return simhash.first_of_groups(docs, shingle=3, max_bits=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,17 +42,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and signed ``bits`` of every row. A-Z are lower-cased; words are separated by ASCII blanks.
+    """doc_id, ``text_hash`` and signed ``bits`` of every row. A-Z are lower-cased; words are separated by ASCII blanks.
 
     A text with fewer words than ``shingle`` hashes as a whole; NULL and blank texts have fingerprint 0.
     """
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+            bits = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], names=["doc_id", "text_hash", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, bits long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, text_hash long, bits long")
 
 
 def embedded(bits: np.ndarray) -> np.ndarray:
@@ -134,41 +135,69 @@ def links(distinct: DataFrame, max_bits: int = 3, cell_rows: int = 4096) -> Data
     return placed.select("mask", "cell", "i", "j", "bits").mapInArrow(joined, "a long, b long")
 
 
+def _named(smallest: DataFrame, max_bits: int) -> DataFrame:
+    """(bits, least, root): the rows of ``smallest`` (every value of ``bits`` once) with the root of their group."""
+    roots = smallest_reachable(links(smallest.select("bits"), max_bits))
+    return smallest.join(roots, smallest.bits == roots.node, "left").select(
+        "bits", "least", F.coalesce("root", "bits").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, ``fingerprint`` (16 lowercase hexadecimal digits) and ``component_id`` of every row of ``docs``.
 
     The component is named by the smallest doc_id that links lead to; a NULL id counts only if there is no other.
     Rows with equal fingerprints, copies included, take part in the search as one. Empty tables give no rows.
     """
-    hashed = write_and_reload(fingerprints(docs, shingle))
+    hashed = write_and_reload(fingerprints(docs, shingle).select("doc_id", "bits"))
     smallest = hashed.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    found = links(smallest.select("bits"), max_bits)
-    roots = smallest_reachable(found)
-    named = smallest.join(roots, smallest.bits == roots.node, "left").select(
-        "bits", "least", F.coalesce("root", "bits").alias("root"))
-    named = write_and_reload(named)
+    named = write_and_reload(_named(smallest, max_bits))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_bits = write_and_reload(named.join(groups, "root").select("bits", "component_id"))
     return hashed.join(of_bits, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each group: the one its component is named by. All columns are returned unchanged.
+def _firsts(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(__id, __hash, __n) of each group: its smallest (doc_id, text hash), NULL ids last, and the rows that have both."""
+    hashed = write_and_reload(fingerprints(docs, shingle))
+    counted = hashed.groupBy("bits", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+    smallest = write_and_reload(counted.groupBy("bits").agg(F.min(order).alias("least")))
+    firsts = _named(smallest, max_bits).groupBy("root").agg(F.min("least").alias("least"))
+    return write_and_reload(firsts.select(
+        F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"), F.col("least.n").alias("__n")))
 
-    Rows that share an id count as one document: of those the one with the smallest text hash stays. A NULL id
-    stays only in a group without another id.
-    """
-    grouped = write_and_reload(near_duplicates(docs, shingle, max_bits))
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = grouped.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(first).alias("first")).where("first")
-    ids = write_and_reload(ids.select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")))
-    shared = write_and_reload(ids.where("__n > 1").select("__id"))  # normally empty, so its join costs no shuffle
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+
+def _rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row of ``firsts``."""
+    shared = write_and_reload(firsts.where("__n > 1").drop("__n"))  # normally empty, so its join costs no shuffle
+    rank = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
 
     def named_in(chosen: DataFrame) -> DataFrame:
-        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
+        same = docs["doc_id"].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs["text"]) == chosen["__hash"])
+        return docs.join(chosen, same, "left_semi")
 
     repeated = named_in(shared).withColumn("__nth", F.row_number().over(rank))
-    # The kept ids grow with the corpus: a sort-merge join at every size.
-    return named_in(ids.where("__n = 1").hint("merge")).unionByName(repeated.where("__nth = 1").drop("__nth"))
+    # The kept rows grow with the corpus: a sort-merge join at every size.
+    return named_in(firsts.where("__n = 1").hint("merge")).unionByName(repeated.where("__nth = 1").drop("__nth"))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """Exactly one row of each group: the one with the smallest (doc_id, text hash). All columns are returned unchanged.
+
+    Ids only choose inside a group, so repeated and NULL ids lose no group. A NULL id stays only in a group without
+    another id.
+    """
+    return _rows_of(docs, _firsts(docs, shingle, max_bits))
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``first_of_groups`` for tables in which an id stands for one document, whatever texts it has.
+
+    Of several groups whose first rows share an id, the one with the smallest text hash stays. Rows without an id
+    are documents of their own.
+    """
+    firsts = _firsts(docs, shingle, max_bits)
+    named = firsts.where("__id is not null").groupBy("__id").agg(F.min(F.struct("__hash", "__n")).alias("least"))
+    return _rows_of(docs, write_and_reload(
+        firsts.where("__id is null").unionByName(named.select("__id", "least.*"))))

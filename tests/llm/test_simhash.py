@@ -110,3 +110,25 @@ def test_repeated_null_ids_clashing_names_and_empty_table(docs):
 def test_very_long_text():
     text = "A b C " * 200_000
     assert simhash.fingerprint(text, 3) == simhash.fingerprint("a b c " * 200_000, 3)
+
+
+def test_one_row_of_each_group_whatever_the_ids(docs):
+    """Groups that share an id or have none all stay; an id that is a copy elsewhere does not displace its own group."""
+    rows = [(None, "alone in the world"), (None, "second text without any id"), (None, "second text without any id"),
+            (9, "two texts one"), (9, "id of both rows"), (3, "same words here"), (5, "same words here"),
+            (5, "own words of five"), (6, "own words of five"), (None, "own words of five"), (4, None), (4, "")]
+    want = [(None, "alone in the world"), (None, "second text without any id"), (9, "two texts one"), (9, "id of both rows"),
+            (3, "same words here"), (5, "own words of five")]
+    table = docs(rows)
+    kept = simhash.first_of_groups(table)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((r for r in got if r[0] != 4), key=repr) == sorted(want, key=repr) and len(got) == len(want) + 1
+    assert kept.columns == table.columns and simhash.first_of_groups(table.where("false")).count() == 0
+    assert sum(r.doc_id is None for r in simhash.keep_first(table).collect()) == 2
+
+
+def test_pipeline_stage_keeps_groups_without_ids(spark, docs):
+    import corpus_pipeline
+
+    table = docs([(None, "first of the texts"), (None, "another one of them"), (7, "left over words"), (7, "not the same at all")])
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, table, "").count() == 4
