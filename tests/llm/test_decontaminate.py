@@ -67,3 +67,16 @@ def test_repeated_null_ids_clashing_names_and_empty_tables(spark, docs):
     assert decontaminate.contained_items(rows, table.where("false")).count() == 0
     assert decontaminate.without_items(rows, table.where("false")).count() == 5
     assert decontaminate.contained_items(rows.where("false"), table).count() == 0
+
+
+def test_null_and_shared_ids_exactly(spark, docs):
+    """Items without an id are found; of rows that share an id, or have none, only those with an item go."""
+    table = spark.createDataFrame(
+        [(1, "a b c d e f"), (None, "q r s t u"), (None, "v w x y z"), (4, "k l m n o"), (4, "one two three four five")],
+        "item_id long, text string")
+    leaks = [(1, "a b c d e f"), (None, "q r s t u"), (None, "so v w x y z"), (2, "V, W x y z"), (6, "one two three four five")]
+    clean = [(1, "clean text of five words"), (None, "clean too and without id"), (None, None), (2, "short"), (7, "k l m n")]
+    got = decontaminate.contained_items(docs(leaks + clean), table).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted([(1, 1), (None, None), (2, None), (6, 4)], key=repr)
+    kept = decontaminate.without_items(docs(leaks + clean), table).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(clean, key=repr)
