@@ -99,3 +99,55 @@ def test_very_long_text(docs):
     text = ("word " * 40_000) + "x@y.example.org " + "9" * 100_000
     row = pii.replaced(docs([(1, text)]), "k").first()
     assert row.n_entities == 1 and len(row.text) == len(text) and "x@y.example.org" not in row.text
+
+
+def one(spark, text):
+    return pii.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+
+
+def test_more_forms_go_whole(spark):
+    clear = {
+        "phone": ["+14155552671", "+44 7911 123456", "+33 6 12 34 56 78", "415.555.2671", "(415) 555 2671", "020 7946 0958", "415 555 2671"],
+        "ssn": ["123-45-6789"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"],
+        "secret": ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmN"],
+    }
+    rows = [(kind, value) for kind, values in clear.items() for value in values]
+    table = spark.createDataFrame([(i, f"It is {value}, so they say.") for i, (_, value) in enumerate(rows)], "doc_id long, text string")
+    for r in pii.replaced(table, "k").collect():
+        kind, value = rows[r.doc_id]
+        new = re.fullmatch("It is (.*), so they say[.]", r.text)[1]
+        assert dict(r.entity_types) == {kind: 1} and shape(new) == shape(value), (value, r.text)
+        # Country code, issuer and prefixes may stay; the rest is drawn anew.
+        assert new != value and new[-4:] != value[-4:]
+        if kind == "iban":
+            plain = new.replace(" ", "")
+            assert new[:2] == value[:2] and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_secrets_in_more_notations(spark):
+    long = "aB3" * 200
+    rows = [('"password": "hunter2hunter2"', "hunter2hunter2"), ("secret_key = abcd1234efgh", "abcd1234efgh"), ("password=p@ssw0rd!xyz", "ssw0rd!xyz"),
+            (f"token={long}", long[300:]), ("token: abcdefgh.ijklmnop.qrstuvwx", "ijklmnop"), ("apiKey='0123456789abcdef'", "9abcdef"),
+            ("password=+14155552671!abc", "2671!abc")]
+    table = spark.createDataFrame([(i, f"x {t} y.") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    for r in pii.replaced(table, "k").collect():
+        text, gone = rows[r.doc_id]
+        assert gone not in r.text and len(r.text) == len(text) + 5 and dict(r.entity_types) == {"secret": 1}, r.text
+    assert one(spark, "token: https://example.org/page and tokenizer: something").n_entities == 0
+
+
+def test_long_names_and_bare_repeats(spark):
+    r = one(spark, "Mr John Ronald Tolkien wrote. Later Tolkien's son met Mrs Anne-Marie O'Neil; O'Neil and Tolkien left Tolkienheim. Herr Ludwig van Beethoven.")
+    for word in ("John", "Ronald", "Tolkien ", "Tolkien'", "Anne", "Marie", "Neil", "Ludwig", "Beethoven"):
+        assert word not in r.text, r.text
+    found = re.fullmatch(r"Mr \w+ \w+ (\w+) wrote\. Later (\w+)'s son met Mrs \w+ (\w+); (\w+) and (\w+) left Tolkienheim\. Herr \w+ van \w+\.", r.text).groups()
+    assert found[0] == found[1] == found[4] and found[2] == found[3] != found[0]
+    assert dict(r.entity_types) == {"name": 6}
+    assert "Smith" not in one(spark, "Mr J. R. Smith left").text
+
+
+def test_dates_versions_and_counts_stay(spark):
+    text = "On 2024-01-02, 01.02.2024 and 01-02-2024 10:30 we had 12345678 rows, 3.14159265358 and 1,234,567 of 0.123456789 at 10:20:30, v1.2.3-4, 555-0100."
+    r = one(spark, text)
+    assert (r.text, r.n_entities) == (text, 0)
