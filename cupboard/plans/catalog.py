@@ -216,21 +216,28 @@ def import_shop_a_rejects(v: Views) -> DataFrame:
 
 
 def import_short_rows(v: Views) -> DataFrame:
+    """The whole folder is imported; shown are the store's counts, whose files have short rows."""
     importer = normalize.registry_importer(registry.FORMATS, registry.SYMBOLS)
     done = load.import_exports(v.spark, exports.short_row_folder(v), None, importer)
-    return done.statistics.groupBy("format_key").agg(
+    return done.statistics.filter("format_key = 'shopify'").groupBy("format_key").agg(
         F.sum("imported").alias("imported"), F.sum("skipped").alias("skipped"), F.sum("errors").alias("errors")
     )
 
 
+def _of_folders(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.filter(F.element_at(F.split("file_path", "/"), -2).isin(*names))
+
+
 def import_shop_b(v: Views) -> DataFrame:
-    folder = exports.other_shop_folder(v)
-    return load.import_exports(v.spark, folder, None, normalize.shop_b_importer()).accepted.select(*IMPORTED[:-1])
+    """Foreign files are imported too as far as their headers allow; shown are the rows of the shop's folders."""
+    done = load.import_exports(v.spark, exports.other_shop_folder(v), None, normalize.shop_b_importer())
+    return _of_folders(done.accepted, *[exports.LAYOUTS[i][0] for i in (1, 5, 6)]).select(*IMPORTED[:-1])
 
 
 def import_statement(v: Views) -> DataFrame:
-    folder = exports.landing_folder(v, (4,))
-    return load.import_exports(v.spark, folder, None, normalize.statement_importer()).accepted.select(*IMPORTED[:-1])
+    """Foreign files are imported too as far as their headers allow; shown are the rows of the statement's folder."""
+    done = load.import_exports(v.spark, exports.landing_folder(v), None, normalize.statement_importer())
+    return _of_folders(done.accepted, exports.LAYOUTS[4][0]).select(*IMPORTED[:-1])
 
 
 def appended_purchases(v: Views) -> DataFrame:
@@ -433,13 +440,14 @@ def updated_possessions(v: Views) -> DataFrame:
 def refused_changes(v: Views) -> DataFrame:
     """Every seventh order names a column that does not exist or sends a value its column must not hold."""
     order = F.floor(F.col("seq") / 100_000_000)
-    faulty = _changes(v).filter(order % 7 == 0).withColumns({
-        "id": F.when(order % 2 == 0, F.col("id")).otherwise(-F.col("id")),
-        "column_name": F.when(order % 5 == 0, "colour").when(order % 5 == 1, "condition").when(order % 5 == 2, "name")
+    fault = F.when(order % 7 == 0, order % 5)  # NULL for the changes sent as they are
+    sent = _changes(v).withColumns({
+        "id": F.when((order % 7 == 0) & (order % 2 == 1), -F.col("id")).otherwise(F.col("id")),
+        "column_name": F.when(fault == 0, "colour").when(fault == 1, "condition").when(fault == 2, "name")
         .otherwise(F.col("column_name")),
-        "value": F.when(order % 5 == 1, "broken").when(order % 5 == 2, F.lit(None)).when(order % 5 == 3, "a few").otherwise(F.col("value")),
+        "value": F.when(fault == 1, "broken").when(fault == 2, F.lit(None)).when(fault == 3, "a few").otherwise(F.col("value")),
     })
-    return state.update(v.possessions, faulty)[1].select("id", "column_name", "value", "seq", "reason")
+    return state.update(v.possessions, sent)[1].select("id", "column_name", "value", "seq", "reason")
 
 
 def remaining_possessions(v: Views) -> DataFrame:

@@ -191,3 +191,30 @@ def test_encoding_order_from_a_file(spark, tmp_path):
     write(tmp_path / "in" / "a.csv", ["Item title", "Sale price", "Sale date", "Order number"], [["Café", "$4", "Mar-10-26", "1"]], "cp1252")
     rows, _, _ = load(spark, tmp_path / "in", registry_importer(registry.FORMATS, registry.SYMBOLS, charsets=charsets))
     assert rows[0]["item_name"] == "Café"
+
+
+def test_registered_imports_and_changes_are_whole(spark, monkeypatch):
+    """The operators get every layout and every change, not the part that the results show."""
+    from cupboard.operators import load as loading
+    from cupboard.operators import state
+    from cupboard.plans import catalog
+    from cupboard.plans.views import Views
+
+    views, seen = Views(spark, "/root/testdata/sf0.001"), []
+    imported, updated = loading.import_exports, state.update
+    monkeypatch.setattr(loading, "import_exports", lambda s, path, *rest: (seen.append(path), imported(s, path, *rest))[1])
+    monkeypatch.setattr(state, "update", lambda rows, changes: (seen.append(changes.count()), updated(rows, changes))[1])
+
+    def rows_of(query):
+        seen.clear()
+        query(views)
+        lines = spark.read.csv(seen[0], header=False, multiLine=True, escape='"').select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("f"))
+        return {r.f for r in lines.distinct().collect()}
+
+    shops = {"a-shop-utf8", "b-shop-sjis", "c-auction", "d-store", "e-statement"}
+    assert rows_of(catalog.import_statement) == shops
+    assert rows_of(catalog.import_short_rows) == shops
+    assert rows_of(catalog.import_shop_b) == shops - {"a-shop-utf8"} | {"f-other-shop-utf8", "g-other-shop-sjis"}
+    seen.clear()
+    catalog.refused_changes(views)
+    assert seen == [catalog._changes(views).count()]
