@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, pii, quality, repeats, sharding, simhash, urls
+from . import chat, decontaminate, fingerprints, language, negatives, packing, pii, quality, repeats, sharding, simhash, urls, whitening
 from .common import read
 
 
@@ -84,9 +84,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whitened(read(spark, sf_dir, "embeddings"), components=4, scale=256)
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_of_edits(read(spark, sf_dir, "documents"), shingle=5, parts=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontamination, op3_pii_surrogates, op4_language_id, op5_best_fit_packing, op6_url_filter, op7_byte_shards,
-    op8_chat_windows, op9_quality_rules, op10_simhash)}
+    op8_chat_windows, op9_quality_rules, op10_simhash, op11_whitening, op12_fingerprints, op13_hard_negatives)}
 
 ORACLES = {
     "op2_decontamination": """
@@ -107,5 +122,61 @@ WITH plain AS (
 )
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE n_shared / n_shingles >= 0.8 - 1e-9
+""",
+    "op13_hard_negatives": """
+WITH numbers AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM numbers a JOIN numbers b ON a.id <> b.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER best <= 10
+""",
+    "op12_fingerprints": f"""
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM documents
+), edits AS (
+  SELECT a.place, a.doc_id, a.text, b.place AS next, length(a.text) AS n_chars,
+    substr(a.text, 1, length(a.text) - length(a.text) // 2) || substr(b.text, 1, length(a.text) // 2) AS edited
+  FROM rows a JOIN rows b ON b.place = a.place % a.n + 1
+), plain AS (
+  SELECT 'own' AS kind, place, text AS t FROM edits UNION ALL SELECT 'edited', place, edited FROM edits
+), listed AS (
+  SELECT kind, place, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM plain
+), hashed AS (
+  SELECT kind, place, list_transform(w, lambda x: CAST('0x' || substr(md5(x), 1, 15) AS HUGEINT)) AS h FROM listed
+), shingles AS (
+  SELECT DISTINCT kind, place, (
+    {" + ".join(f"coalesce(h[i + {k}] * {number}, 0)" for k, number in enumerate(fingerprints.factors(5)))}
+    ) % 18446744073709551616 AS s
+  FROM (SELECT kind, place, h, unnest(range(1, greatest(2, len(h) - 3))) AS i FROM hashed WHERE len(h) > 0)
+), kept AS (
+  SELECT kind, place, s FROM shingles
+  QUALIFY s < 4611686018427387904 OR s = min(s) OVER (PARTITION BY kind, place)
+), sketches AS (
+  SELECT kind, place, count(*) AS size, string_agg(printf('%016x', CAST(s AS UBIGINT)), '' ORDER BY s) AS f,
+    list(s) AS hashes FROM kept GROUP BY kind, place
+), judged AS (
+  SELECT e.*, coalesce(o.f, '') AS fingerprint, coalesce(c.f, '') AS edited_fingerprint,
+    CASE WHEN o.size IS NULL OR c.size IS NULL THEN CAST(o.size IS NULL AND c.size IS NULL AS DOUBLE)
+      ELSE len(list_intersect(o.hashes, c.hashes)) / least(o.size, c.size) END AS near_edited,
+    CASE WHEN o.size IS NULL OR x.size IS NULL THEN CAST(o.size IS NULL AND x.size IS NULL AS DOUBLE)
+      ELSE len(list_intersect(o.hashes, x.hashes)) / least(o.size, x.size) END AS near_next
+  FROM edits e LEFT JOIN sketches o ON o.kind = 'own' AND o.place = e.place
+    LEFT JOIN sketches c ON c.kind = 'edited' AND c.place = e.place
+    LEFT JOIN sketches x ON x.kind = 'own' AND x.place = e.next
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next FROM judged
 """,
 }
