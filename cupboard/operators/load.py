@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cupboard.operators.dedupe import accept_by_order, accept_new, is_blank
 from cupboard.operators.normalize import Importer, to_purchases
 from cupboard.session import prepare, scratch_dir, write_and_reload
-from cupboard.sources.exports import ROW_ORDER, file_headers, number_files, profile_files, read_cells
+from cupboard.sources.exports import ROW_ORDER, broken_records, file_headers, number_files, profile_files, read_cells
 
 
 @dataclass(frozen=True)
@@ -33,15 +33,15 @@ def stage_exports(spark: SparkSession, path: str | list[str], importer: Importer
     prepare(spark)
     base = scratch_dir(spark)
     profiles = write_and_reload(profile_files(spark, path, importer.charsets), f"{base}/profiles")
-    files = importer.map_headers(file_headers(spark, profiles, importer.charsets))
+    records = broken_records(spark, path, profiles, importer.charsets)
+    files = importer.map_headers(file_headers(profiles, records, importer.charsets))
     known = F.col("charset").isNotNull() & F.col("header").isNotNull()
     if importer.needs_known_header:
         known = known & F.col("variant").isNotNull()
     files = write_and_reload(number_files(files.withColumn("is_error", ~known)), f"{base}/files")
-    usable = files.filter("NOT is_error")
-    mapping = usable.drop("path", "file_size", "charset", "multi_line", "is_error", "names")
     # One row per file; broadcast only below Spark's size threshold, else joined with skew splitting.
-    rows = read_cells(spark, usable).join(mapping, "file_path")
+    usable = files.filter("NOT is_error").drop("is_empty", "bare_cr", "single", "is_error", "names")
+    rows = read_cells(spark, path, usable, records, importer.charsets).drop("charset", "multi_line")
     return files, write_and_reload(to_purchases(rows, importer), f"{base}/rows")
 
 
@@ -75,7 +75,7 @@ def import_exports(
     rejected = staged.filter("is_error").select("file_path", F.lit("short_row").alias("reason"), "raw_data").unionByName(
         files.filter("is_error").select(
             "file_path",
-            F.when(F.col("file_size") == 0, "empty_file").when(F.col("charset").isNull(), "undecodable")
+            F.when(F.col("is_empty"), "empty_file").when(F.col("charset").isNull(), "undecodable")
             .otherwise("unknown_header").alias("reason"),
             F.lit(None).cast("string").alias("raw_data"),
         )
