@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cupboard.session import write_and_reload
+
 # The most telling column leads: sorting compares the first column's prefix before anything else.
 ORDER_KEY = ("order_id", "source")
 COMPOSITE_KEY = ("item_name", "purchase_date", "price", "source")
@@ -75,7 +77,8 @@ def accept_new(rows: DataFrame, target: DataFrame | None, order: Sequence[str])
       order id, the rows accepted above, and the target;
     * no order id and a part of the composite key missing: always accepted, since NULL equals nothing.
     """
-    by_order = _order_firsts(rows, target, order)
+    # Written: the first rule's winners go into the second rule and into the result.
+    by_order = write_and_reload(_order_firsts(rows, target, order))
     no_id = rows.filter(is_blank("order_id"))
     comparable = ~is_blank("item_name") & F.col("purchase_date").isNotNull() & F.col("price").isNotNull()
     keyed = no_id.filter(comparable)

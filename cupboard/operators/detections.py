@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cupboard.functions.text import SPACE, strip
+from cupboard.operators.similar import connected_names
+from cupboard.session import write_and_reload
 
 
 def normal_form(text: Column) -> Column:
@@ -50,6 +52,55 @@ def consolidate(items: DataFrame, sessions: DataFrame) -> DataFrame:
     ).drop("location_key")
 
 
+def spoken_names(names: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The (session_id, name_key) of ``names`` that the session's audio says, as whole words in any case.
+
+    ``name_key`` is a normal form. The transcript's runs of words, as long as names of the session are, are matched with
+    the names as a join, so the work follows the words said and the names, not their product.
+    """
+    lengths = write_and_reload(
+        names.select("session_id", "name_key").distinct().withColumn("n_words", F.size(F.split("name_key", " "))))
+    asked = lengths.groupBy("session_id").agg(F.collect_set("n_words").alias("lengths"))  # different lengths only
+    words = F.split(normal_form(F.col("audio_transcript")), " ")
+    said = sessions.select("session_id", words.alias("words")).join(asked, "session_id")
+    runs = said.withColumn("n_words", F.explode("lengths")).where(F.size("words") >= F.col("n_words"))
+    places = F.sequence(F.lit(1), F.size("words") - F.col("n_words") + 1)
+    texts = F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("words", i, F.col("n_words")), " ")))
+    spoken = runs.select("session_id", F.explode(texts).alias("name_key"))
+    return lengths.select("session_id", "name_key").join(spoken, ["session_id", "name_key"], "left_semi")
+
+
+def consolidate_similar(items: DataFrame, sessions: DataFrame, share: str = "0.2") -> DataFrame:
+    """One row per item of a session: similar names (``similar.connected_names``) of equal category and location.
+
+    The spelling used is one whose words are said in the session's audio, else the most frequent, else the last in
+    alphabetical order; ``n_names`` counts the different names that went into the row. NULL categories are one.
+    """
+    seen = items.groupBy("session_id", "name", "category", "condition", "location").agg(
+        F.count("*").alias("n"), F.min("frame").alias("frame"))
+    keyed = seen.withColumns({
+        "name_key": normal_form(F.col("name")), "location_key": normal_form(F.col("location")),
+        "category_key": F.coalesce("category", F.lit("")), "category": F.col("category")})
+    spelled = write_and_reload(
+        keyed.groupBy("session_id", "category_key", "location_key", "name_key", "name").agg(
+            F.max(F.length("name_key")).alias("key_length"), F.sum("n").alias("n"), F.min("location").alias("location"),
+            F.min("category").alias("category"), F.min(F.struct("frame", "condition")).alias("first_seen"))
+        .filter("key_length > 0"))
+    group = ("session_id", "category_key", "location_key")
+    names = spelled.select(*group, "name_key").distinct().select(*group, F.col("name_key").alias("name"))
+    names = write_and_reload(names.withColumn("id", F.monotonically_increasing_id()))
+    roots = write_and_reload(connected_names(names, group, share)).withColumnRenamed("name", "name_key")
+    said = spoken_names(spelled.select("session_id", "name_key"), sessions).withColumn("said", F.lit(True))
+    joined = spelled.join(roots, [*group, "name_key"]).join(said, ["session_id", "name_key"], "left")
+    marked = joined.withColumn("said", F.coalesce("said", F.lit(False)))
+    return marked.groupBy("session_id", "root").agg(
+        F.max(F.struct("said", "n", "name")).getField("name").alias("name"),
+        F.min("category").alias("category"), F.min("location").alias("location"),
+        F.min("first_seen").getField("condition").alias("condition"),
+        F.sum("n").alias("frames"), F.max("said").alias("from_audio"), F.countDistinct("name_key").alias("n_names"),
+    ).drop("root")
+
+
 def session_records(sessions: DataFrame, as_of: Column) -> DataFrame:
     """Session rows as stored: counters start at zero."""
     return sessions.select(

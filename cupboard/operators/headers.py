@@ -49,12 +49,13 @@ def _registry(formats: dict) -> Column:
         meanings = [*MEANINGS, *[m for m in columns if m not in MEANINGS]]
         rows.append({
             "key": key,
+            "name": definition.get("name", key),
             "source": definition.get("source_key", DEFAULT_SOURCE),
             "meanings": [
                 {"names": columns.get(m, []), "lowered": [c.lower() for c in columns.get(m, [])]} for m in meanings
             ],
         })
-    schema = "array<struct<key: string, source: string, meanings: array<struct<names: array<string>, lowered: array<string>>>>>"
+    schema = "array<struct<key: string, name: string, source: string, meanings: array<struct<names: array<string>, lowered: array<string>>>>>"
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema)
 
 
@@ -63,7 +64,7 @@ def match_formats(names: Column, lowered: Column, formats: dict) -> Column:
     def matched(f: Column) -> Column:
         positions = F.transform(f["meanings"], lambda m: match_column(names, lowered, m["names"], m["lowered"]))
         return F.struct(
-            f["key"].alias("key"), f["source"].alias("source"), positions.alias("positions"),
+            f["key"].alias("key"), f["name"].alias("name"), f["source"].alias("source"), positions.alias("positions"),
             F.size(F.filter(positions, lambda p: p.isNotNull())).alias("score"),
         )
 
@@ -119,6 +120,7 @@ def map_by_registry(
     chosen = files.withColumn("chosen", F.get("matches", index))
     return chosen.withColumns({
         "format_key": F.col("chosen.key"),
+        "format_name": F.col("chosen.name"),
         "source": F.lit(source) if source else F.col("chosen.source"),
         **{f"{m}_at": F.get("chosen.positions", F.lit(i)).cast("int") for i, m in enumerate(MEANINGS)},
     }).drop("matches", "detected", "chosen")

@@ -66,7 +66,7 @@ def import_exports(
     imported = F.coalesce("kept", zero)
     statistics = (
         files.join(seen, "file_path", "left").join(kept, "file_path", "left").select(
-            "file_path", "format_key",
+            "file_path", "format_key", *[c for c in ("format_name",) if c in files.columns],
             imported.alias("imported"),
             (F.coalesce("rows", zero) - imported).alias("skipped"),
             (F.coalesce("row_errors", zero) + F.col("is_error").cast("long")).alias("errors"),
@@ -156,7 +156,8 @@ def append_batch(
     broken = reduce(Column.__or__, [F.col(c).isNull() for c in required], F.lit(False))
     if partition:
         broken = broken | F.col(partition).isNull() | (F.trim(F.col(partition).cast("string")) == "")
-    found = batch.agg(F.count_if(broken), F.max("id")).first()
+    highest = F.max("id") if "id" in schema.fieldNames() else F.lit(None).cast("long")
+    found = batch.agg(F.count_if(broken), highest).first()
     if found[0]:
         raise ConstraintError(f"{found[0]} rows of batch {batch_id} lack a required value")
     keys = ["batch_id", "version"] + ([partition] if partition else [])

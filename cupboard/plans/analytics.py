@@ -47,13 +47,20 @@ def _money(total: Column) -> Column:
     return F.round(total, 2)
 
 
+def _counted(purchases: DataFrame) -> DataFrame:
+    """Purchases, or sums of them (``rollups.sums_of``), with the number ``n`` and the sum ``s`` of what a row stands for."""
+    if "s" in purchases.columns:
+        return purchases
+    return purchases.withColumns({"n": F.lit(1), "s": F.col("price")})
+
+
 # --- spending ---------------------------------------------------------------------------------
 
 def spend_by_source_month(purchases: DataFrame, as_of: datetime) -> DataFrame:
     return (
-        _since(purchases, month_start(as_of))
+        _since(_counted(purchases), month_start(as_of))
         .groupBy("source", "currency")
-        .agg(F.count("*").alias("items"), _money(F.sum("price")).alias("total"))
+        .agg(F.sum("n").alias("items"), _money(F.sum("s")).alias("total"))
         .select("source", "items", "total", "currency")
         .orderBy(F.desc("total"), "source", "currency")
     )
@@ -65,13 +72,13 @@ def spend_by_category(purchases: DataFrame, possessions: DataFrame, first: date,
     Purchases are summed per (category, possession) before the join: a possession named by a third of
     all purchases, or by none of them, then brings one row.
     """
-    rows = _since(purchases, first)
+    rows = _since(_counted(purchases), first)
     if last is not None:
         rows = rows.filter(F.col("purchase_date") <= F.lit(last))
     sums = (
-        rows.select("category", F.when(F.col("category").isNull(), F.col("possession_id")).alias("possession_id"), "price")
+        rows.select("category", F.when(F.col("category").isNull(), F.col("possession_id")).alias("possession_id"), "n", "s")
         .groupBy("category", "possession_id")
-        .agg(F.count("*").alias("n"), F.sum("price").alias("s"))
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     )
     owned = possessions.select(F.col("id").alias("possession_id"), F.col("category").alias("owned_category"))
     return (
@@ -90,19 +97,19 @@ def spend_by_category_month(purchases: DataFrame, possessions: DataFrame, as_of:
 
 def spend_monthly_trend(purchases: DataFrame, as_of: datetime, months: int = 6) -> DataFrame:
     return (
-        _since(purchases, months_back(as_of, months))
+        _since(_counted(purchases), months_back(as_of, months))
         .groupBy(F.date_format("purchase_date", "yyyy-MM").alias("month"))
-        .agg(F.count("*").alias("items"), _money(F.sum("price")).alias("total"))
+        .agg(F.sum("n").alias("items"), _money(F.sum("s")).alias("total"))
         .orderBy("month")
     )
 
 
 def health_spend_month(purchases: DataFrame, as_of: datetime) -> DataFrame:
     return (
-        _since(purchases, month_start(as_of))
+        _since(_counted(purchases), month_start(as_of))
         .filter(F.col("category").isin(*HEALTH))
         .groupBy("currency")
-        .agg(F.count("*").alias("items"), _money(F.sum("price")).alias("total"))
+        .agg(F.sum("n").alias("items"), _money(F.sum("s")).alias("total"))
     )
 
 
@@ -119,9 +126,9 @@ def weekly_spend_report(purchases: DataFrame, as_of: datetime) -> DataFrame:
     """
     first, last = week_of(as_of)
     sums = (
-        purchases.filter(F.col("purchase_date").between(F.lit(first), F.lit(last)))
+        _counted(purchases).filter(F.col("purchase_date").between(F.lit(first), F.lit(last)))
         .groupBy("source", "currency")
-        .agg(F.count("*").alias("n"), F.sum("price").alias("s"))
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     )
     return (
         sums.groupingSets([[F.col("currency"), F.col("source")], [F.col("currency")]], "currency", "source")
@@ -140,13 +147,13 @@ def month_over_month(purchases: DataFrame, as_of: datetime) -> DataFrame:
     day = F.col("purchase_date")
     is_current = day >= F.lit(current)
     return (
-        purchases.filter(day.between(F.lit(previous), F.lit(as_of.date())))
+        _counted(purchases).filter(day.between(F.lit(previous), F.lit(as_of.date())))
         .groupBy("currency")
         .agg(
-            _money(F.sum(F.when(~is_current, F.col("price")))).alias("previous_total"),
-            F.count_if(~is_current).alias("previous_items"),
-            _money(F.sum(F.when(is_current, F.col("price")))).alias("current_total"),
-            F.count_if(is_current).alias("current_items"),
+            _money(F.sum(F.when(~is_current, F.col("s")))).alias("previous_total"),
+            F.sum(F.when(~is_current, F.col("n")).otherwise(0)).alias("previous_items"),
+            _money(F.sum(F.when(is_current, F.col("s")))).alias("current_total"),
+            F.sum(F.when(is_current, F.col("n")).otherwise(0)).alias("current_items"),
         )
     )
 
@@ -172,17 +179,17 @@ def recurring_purchases(purchases: DataFrame, as_of: datetime, min_count: int =
     )
 
 
-def price_bounds(prices: DataFrame, quantile: str, rounds: int = 3, buckets: int = 1000) -> DataFrame:
+def price_bounds(counts: DataFrame, quantile: str, parts: int = 64, sort_rows: int = 100_000) -> DataFrame:
     """Per currency the exact ``price_bound``: the price of rank ``ceil(quantile * n)`` among all prices.
 
-    Prices are counted first. Each round cuts the range that holds the rank into ``buckets`` equal parts and keeps
-    the part with the rank, so no window sees more than ``buckets`` rows of a currency; the last one sees the
-    distinct prices of a part a billionth of the range wide.
+    ``counts`` (a written table) has currency, price and ``n``; a price may occur in several rows. While a currency's
+    range holds more than ``sort_rows`` rows, splitters from quantile sketches cut it into ``parts`` ranges, one pass
+    counts each, and the range that holds the rank stays. Only that one is sorted.
     """
-    counts = write_and_reload(prices.groupBy("currency", "price").agg(F.count("*").alias("n")))
     rank = F.ceil(F.lit(quantile).cast("decimal(10,9)") * F.sum("n")).cast("long")
-    state = counts.groupBy("currency").agg(
-        F.min("price").alias("low"), F.max("price").alias("high"), F.lit(0).cast("long").alias("below"), rank.alias("rank"))
+    state = write_and_reload(counts.groupBy("currency").agg(
+        F.min("price").alias("low"), F.max("price").alias("high"), F.lit(0).cast("long").alias("below"), rank.alias("rank"),
+        F.count("*").alias("rows")))
 
     def first_reaching(rows: DataFrame, order: str) -> DataFrame:
         """The first row at which the counts reach the rank, with the count before it."""
@@ -191,26 +198,34 @@ def price_bounds(prices: DataFrame, quantile: str, rounds: int = 3, buckets: int
         return reached.groupBy("currency").agg(F.min_by(F.struct(*reached.columns), order).alias("r")).select("r.*")
 
     inside = F.col("price").between(F.col("low"), F.col("high"))
-    width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))
-    for _ in range(rounds):
-        part = F.least(F.floor((F.col("price") - F.col("low")) / width * buckets), F.lit(buckets - 1))
-        parts = counts.join(state, "currency").filter(inside).groupBy("currency", "below", "rank", part.alias("part")).agg(
-            F.sum("n").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
-        state = first_reaching(parts, "part").select("currency", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "rank")
-    last = counts.join(state, "currency").filter(inside)
+    while (state.agg(F.max(F.when(F.col("low") < F.col("high"), F.col("rows")))).first()[0] or 0) > sort_rows:
+        held = counts.join(state.drop("rows"), "currency").filter(inside)
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        cuts = held.groupBy("currency").agg(F.percentile_approx("price", shares, F.lit(100 * parts)).alias("cuts"))
+        part = F.size(F.filter("cuts", lambda cut: cut < F.col("price")))
+        ranges = held.join(write_and_reload(cuts), "currency").groupBy("currency", "below", "rank", part.alias("part")).agg(
+            F.sum("n").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("rows"))
+        state = write_and_reload(first_reaching(ranges, "part").select(
+            "currency", "low", "high", (F.col("upto") - F.col("n")).alias("below"), "rank", "rows"))
+    held = counts.join(state.drop("rows"), "currency").filter(inside)
+    last = held.groupBy("currency", "below", "rank", "price").agg(F.sum("n").alias("n"))
     return first_reaching(last, "price").select("currency", F.col("price").alias("price_bound"))
 
 
 def wasteful_purchases(purchases: DataFrame, as_of: datetime, quantile: str = "0.9", max_count: int = 1) -> DataFrame:
-    """Items bought at most ``max_count`` times in a year at a price in the currency's top share, exactly."""
+    """Items bought at most ``max_count`` times in a year at a price in the currency's top share, exactly.
+
+    Purchases are counted by item and price once; items and price bounds come from the counts.
+    """
     year = _since(purchases, months_back(as_of, 12)).filter(F.col("price").isNotNull())
-    per_item = year.groupBy("currency", "item_name").agg(
-        F.count("*").alias("purchase_count"), F.max("price").alias("price"), F.max("purchase_date").alias("last_purchased")
-    )
+    counts = write_and_reload(year.groupBy("currency", "item_name", "price").agg(
+        F.count("*").alias("n"), F.max("purchase_date").alias("last_purchased")))
+    per_item = counts.groupBy("currency", "item_name").agg(
+        F.sum("n").alias("purchase_count"), F.max("price").alias("price"), F.max("last_purchased").alias("last_purchased"))
     # One row per currency code, and the size check of the planner decides how it travels.
     return (
         per_item.filter(F.col("purchase_count") <= max_count)
-        .join(write_and_reload(price_bounds(year, quantile)), "currency")
+        .join(write_and_reload(price_bounds(counts, quantile)), "currency")
         .filter(F.col("price") >= F.col("price_bound"))
         .select("item_name", "currency", "price", "purchase_count", "last_purchased")
         .orderBy(F.desc("price"), "item_name", "currency")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cupboard import registry, schemas
 from cupboard.functions.dates import date_text, parse_clean_date
 from cupboard.functions.money import amount_of, currency_of, shop_a_amount, shop_b_amount
 from cupboard.functions.text import row_json
-from cupboard.operators import dedupe, detections, headers, load, normalize, quality, receipts, state
+from cupboard.operators import dedupe, detections, headers, load, normalize, quality, receipts, rollups, state
 from cupboard.plans import analytics as Q
 from cupboard.plans import exports, reports
 from cupboard.plans.views import ROW_KEY, VIEWS, Views
@@ -229,9 +230,30 @@ def _of_folders(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def import_shop_b(v: Views) -> DataFrame:
-    """Foreign files are imported too as far as their headers allow; shown are the rows of the shop's folders."""
+    """Every purchase in the shop's own files; foreign files are imported too as far as their headers allow, shown are
+    those of the two folders that share headers with the shop's."""
     done = load.import_exports(v.spark, exports.other_shop_folder(v), None, normalize.shop_b_importer())
-    return _of_folders(done.accepted, *[exports.LAYOUTS[i][0] for i in (1, 5, 6)]).select(*IMPORTED[:-1])
+    return _of_folders(done.accepted, *[exports.LAYOUTS[i][0] for i in (0, 1, 5, 6)]).select(*IMPORTED[:-1])
+
+
+def import_shop_a_english(v: Views) -> DataFrame:
+    """Japanese and English files of one shop beside foreign, undecodable and empty ones."""
+    done = load.import_exports(v.spark, exports.mixed_folder(v), None, normalize.shop_a_importer())
+    return done.accepted.select(*IMPORTED[:-1])
+
+
+def import_mixed_rejects(v: Views) -> DataFrame:
+    """Folders whose files are set aside, with the reason."""
+    done = load.import_exports(v.spark, exports.mixed_folder(v), None, normalize.shop_a_importer())
+    folder = F.element_at(F.split("file_path", "/"), -2)
+    return done.rejected.select(folder.alias("folder"), "reason").distinct()
+
+
+def import_format_names(v: Views) -> DataFrame:
+    """Rows imported per format, by the name the registry shows."""
+    importer = normalize.registry_importer(registry.FORMATS, registry.SYMBOLS)
+    done = load.import_exports(v.spark, exports.landing_folder(v), None, importer)
+    return done.statistics.groupBy("format_name").agg(F.sum("imported").alias("imported"))
 
 
 def import_statement(v: Views) -> DataFrame:
@@ -254,6 +276,32 @@ def appended_purchases(v: Views) -> DataFrame:
     )
 
 
+def spending_kept_up(v: Views) -> DataFrame:
+    """Spending from the sums kept with each batch; the second batch is first published wrong, then replaced."""
+    path = f"{scratch_dir(v.spark)}/purchase_history"
+    rows, now = v.purchases, Q.at(AS_OF)
+    early = F.col("purchase_date") < F.lit("2001-06-01").cast("date")
+    wrong = rows.filter(~early).withColumn("price", F.col("price") * 2)
+    for batch_id, part in (("b1", rows.filter(early)), ("b2", wrong), ("b2", rows.filter(~early))):
+        rollups.append_with_sums(part, path, batch_id, now)
+    sums = rollups.read_sums(v.spark, path)
+    none = F.lit(None).cast("string")
+
+    def section(rows: DataFrame, name: str, label: Column, unit: Column, items: str = "items", total: str = "total") -> DataFrame:
+        return rows.select(F.lit(name).alias("section"), label.alias("label"), unit.alias("unit"), F.col(items).alias("items"), F.col(total).alias("total"))
+
+    trend = Q.month_over_month(sums, AS_OF)
+    return reduce(DataFrame.unionByName, [
+        section(Q.spend_by_source_month(sums, AS_OF), "source", F.col("source"), F.col("currency")),
+        section(Q.spend_by_category_month(sums, v.possessions, AS_OF), "category", F.col("category"), none),
+        section(Q.spend_monthly_trend(sums, AS_OF), "month", F.col("month"), none),
+        section(Q.health_spend_month(sums, AS_OF), "health", none, F.col("currency")),
+        section(Q.weekly_spend_report(sums, AS_OF), "week", F.col("source"), F.col("currency")),
+        section(trend, "previous month", none, F.col("currency"), "previous_items", "previous_total"),
+        section(trend, "current month", none, F.col("currency"), "current_items", "current_total"),
+    ])
+
+
 # --- receipts ---------------------------------------------------------------------------------
 
 def _scans(v: Views) -> DataFrame:
@@ -378,6 +426,19 @@ def consolidated_items(v: Views) -> DataFrame:
     return detections.consolidate(items, v.view("sessions"))
 
 
+def _misread_items(v: Views) -> DataFrame:
+    return parse_detections(v.view("misread_frames"))[0]
+
+
+def similar_items(v: Views) -> DataFrame:
+    return detections.consolidate_similar(_misread_items(v), v.view("talking_sessions"))
+
+
+def spoken_items(v: Views) -> DataFrame:
+    names = _misread_items(v).select("session_id", detections.normal_form(F.col("name")).alias("name_key"))
+    return detections.spoken_names(names, v.view("talking_sessions"))
+
+
 def video_sessions(v: Views) -> DataFrame:
     return _plain_times(detections.session_records(v.view("sessions"), Q.at(AS_OF)))
 
@@ -576,6 +637,15 @@ def backfilled_purchases(v: Views) -> DataFrame:
     return twice.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+def recorded_versions(v: Views) -> DataFrame:
+    """A version for each ship year; years before 1997 were recorded before, at their first day of shipping."""
+    shipped = v.table("lineitem").select(
+        F.concat(F.lit("v"), F.year("l_shipdate").cast("string")).alias("version"), F.col("l_shipdate").cast("timestamp_ntz").alias("applied_at"))
+    old = shipped.filter(F.col("version") < "v1997").groupBy("version").agg(F.min("applied_at").alias("applied_at"))
+    once = quality.record_versions(old, shipped.withColumn("applied_at", F.col("applied_at") + F.expr("INTERVAL 1 DAY")))
+    return quality.record_versions(once, shipped)
+
+
 def evolved_scans(v: Views) -> DataFrame:
     old = v.view("ocr").filter("row_id >= 0").select("row_id", "image_path")
     new = _scans(v).filter("row_id < 0").select("row_id", "image_path", "image_hash")
@@ -643,10 +713,14 @@ QUERIES = {
     "import_folder_statistics": import_folder_statistics,
     "import_shop_a": import_shop_a,
     "import_shop_a_rejects": import_shop_a_rejects,
+    "import_shop_a_english": import_shop_a_english,
+    "import_mixed_rejects": import_mixed_rejects,
+    "import_format_names": import_format_names,
     "import_shop_b": import_shop_b,
     "import_short_rows": import_short_rows,
     "import_statement": import_statement,
     "appended_purchases": appended_purchases,
+    "spending_kept_up": spending_kept_up,
     # receipts
     "receipt_fields": receipt_fields,
     "receipt_items": receipt_items,
@@ -662,6 +736,8 @@ QUERIES = {
     "detected_items": detected_items,
     "unreadable_detections": unreadable_detections,
     "consolidated_items": consolidated_items,
+    "similar_items": similar_items,
+    "spoken_items": spoken_items,
     "video_sessions": video_sessions,
     # state
     "registered_possessions": registered_possessions,
@@ -685,5 +761,6 @@ QUERIES = {
     "filled_defaults": filled_defaults,
     "custom_sources": custom_sources,
     "backfilled_purchases": backfilled_purchases,
+    "recorded_versions": recorded_versions,
     "evolved_scans": evolved_scans,
 }

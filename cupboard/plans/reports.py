@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cupboard.operators.rollups import sums_of
 from cupboard.plans import analytics as Q
+from cupboard.session import write_and_reload
 
 
 def _section(df: DataFrame, section: str, label: Column, number: Column, unit: Column, detail: Column) -> DataFrame:
@@ -28,12 +30,15 @@ def weekly_life_report(
     """Spending, new items, items used up, items due and the month's trend, as rows of named sections."""
     first, last = Q.week_of(as_of)
     none = F.lit(None)
-    spend = Q.weekly_spend_report(purchases, as_of)
-    categories = Q.spend_by_category(purchases, possessions, first, last)
+    # The purchases are read once: three sections come from their sums by day.
+    earliest = min(first, Q.months_back(as_of.replace(day=1), 1))
+    sums = write_and_reload(sums_of(purchases.filter(F.col("purchase_date") >= F.lit(earliest))))
+    spend = Q.weekly_spend_report(sums, as_of)
+    categories = Q.spend_by_category(sums, possessions, first, last)
     added = Q.weekly_new_items(possessions, as_of)
     consumed = Q.weekly_consumed(log, possessions, log_as_of or as_of)
     due = Q.consumables_due_week(possessions, as_of)
-    trend = Q.month_over_month(purchases, as_of)
+    trend = Q.month_over_month(sums, as_of)
     return reduce(DataFrame.unionByName, [
         _section(spend, "spend", F.coalesce("source", F.lit("total")), F.col("total"), F.col("currency"), F.col("items")),
         _section(categories, "category", F.col("category"), F.col("total"), none, F.col("items")),

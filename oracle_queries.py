@@ -380,20 +380,35 @@ O["import_folder_statistics"] = FULL.replace("(SELECT * FROM by_order UNION ALL
 SELECT format_key, imported, n - imported AS skipped, 0::BIGINT AS errors
 FROM (SELECT format_key, count(*) AS n FROM batch GROUP BY format_key)
 JOIN (SELECT format_key, count(*) AS imported FROM accepted GROUP BY format_key) USING (format_key)"""
+NAMES = " ".join(f"WHEN {text(k)} THEN {text(f['name'])}" for k, f in registry.FORMATS.items())
+O["import_format_names"] = f"""
+SELECT CASE format_key {NAMES} END AS format_name, imported FROM ({O["import_folder_statistics"]})"""
 O["import_shop_a"] = exported("0, 1", GENERAL.replace(", cat AS category", "")).replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", "(SELECT 1)") + f"""
 SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM no_id"""
 O["import_shop_a_rejects"] = with_views("export_rows") + """
 SELECT DISTINCT CASE layout WHEN 2 THEN 'c-auction' WHEN 3 THEN 'd-store' ELSE 'e-statement' END AS folder, 'unknown_header' AS reason
 FROM export_rows WHERE layout > 1"""
-# The importer's own layouts are copies of layout 1 with order ids of their own; layout 1 itself has neither its price nor its date.
-O["import_shop_b"] = exported("1", """'rakuten' AS source, item AS item_name, CASE WHEN layout > 1 THEN CAST(amount AS DOUBLE) END AS price,
+# The importer's own layouts are copies of every row with order ids of their own; layouts 0 and 1 have neither its price nor its date.
+O["import_shop_b"] = exported("0, 1", """'rakuten' AS source, item AS item_name, CASE WHEN layout > 1 THEN CAST(amount AS DOUBLE) END AS price,
     'JPY' AS currency, CASE WHEN layout > 1 THEN day END AS purchase_date, ord AS order_id""").replace(
-    "FROM export_rows WHERE layout IN (1)", """FROM (SELECT * FROM export_rows WHERE layout = 1 UNION ALL
-        SELECT * REPLACE (CAST(5 + l_orderkey % 2 AS INT) AS layout, CASE WHEN order_text = '' THEN '' ELSE 'B' || order_text END AS order_text)
-        FROM export_rows WHERE layout = 1)""").replace("layout < 4 THEN nullif(order_text", "TRUE THEN nullif(order_text").replace(
+    "FROM export_rows WHERE layout IN (0, 1)", """FROM (SELECT * FROM export_rows WHERE layout < 2 UNION ALL
+        SELECT * REPLACE (CAST(5 + l_orderkey % 2 AS INT) AS layout, CASE WHEN order_text = '' THEN '' ELSE 'B' || order_text END AS order_text,
+            item_text AS quoted_name) FROM export_rows)""").replace("layout < 4 THEN nullif(order_text", "TRUE THEN nullif(order_text").replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", "(SELECT 1)") + f"""
 SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM no_id"""
+O["import_shop_a_english"] = exported("0, 1", """'amazon' AS source, item AS item_name,
+    CASE WHEN layout < 2 THEN amount WHEN l_partkey % 3 > 0 THEN units / 100.0 END AS price,
+    CASE WHEN layout < 2 THEN 'JPY' ELSE 'USD' END AS currency, day AS purchase_date, ord AS order_id""").replace(
+    "FROM export_rows WHERE layout IN (0, 1)", """FROM (SELECT * FROM export_rows WHERE layout < 2 UNION ALL
+        SELECT * REPLACE (7 AS layout, item_text AS quoted_name) FROM export_rows)""").replace("layout < 4 THEN nullif(order_text", "TRUE THEN nullif(order_text").replace(
+    "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", "(SELECT 1)") + f"""
+SELECT source, item_name, CAST(price AS DOUBLE) AS price, currency, purchase_date, order_id
+FROM (SELECT {IMPORTED} FROM by_order UNION ALL SELECT {IMPORTED} FROM no_id)"""
+O["import_mixed_rejects"] = with_views("export_rows") + """
+SELECT DISTINCT CASE layout WHEN 2 THEN 'c-auction' WHEN 3 THEN 'd-store' ELSE 'e-statement' END AS folder, 'unknown_header' AS reason
+FROM export_rows WHERE layout > 1
+UNION ALL SELECT 'i-undecodable', 'undecodable' WHERE EXISTS (SELECT 1 FROM export_rows) UNION ALL SELECT 'j-empty', 'empty_file'"""
 SHORT = "l_partkey % 5 = 0"
 O["import_short_rows"] = exported("3", GENERAL, f"NOT ({SHORT}) AND NOT (item = '' AND amount IS NULL)").replace(
     "(SELECT * FROM by_order UNION ALL SELECT * FROM by_composite)", """(
@@ -409,6 +424,15 @@ O["appended_purchases"] = PURCHASES + """
 SELECT CASE WHEN purchase_date < DATE '1998-01-01' THEN 'b1' ELSE 'b2' END AS batch_id, source, count(*) AS n, count(*) AS n_ids,
     round(sum(price), 2) AS total FROM purchases GROUP BY 1, 2"""
 
+O["spending_kept_up"] = f"""
+SELECT 'source' AS section, source AS label, currency AS unit, items, total FROM ({O["spend_by_source_month"]})
+UNION ALL SELECT 'category', category, NULL, items, total FROM ({O["spend_by_category_month"]})
+UNION ALL SELECT 'month', month, NULL, items, total FROM ({O["spend_monthly_trend"]})
+UNION ALL SELECT 'health', NULL, currency, items, total FROM ({O["health_spend_month"]})
+UNION ALL SELECT 'week', source, currency, items, total FROM ({O["weekly_spend_report"]})
+UNION ALL SELECT 'previous month', NULL, currency, previous_items, previous_total FROM ({O["month_over_month"]})
+UNION ALL SELECT 'current month', NULL, currency, current_items, current_total FROM ({O["month_over_month"]})"""
+
 # --- receipts ---------------------------------------------------------------------------------
 PRICES = ["[¥￥][ \\t]*([0-9][0-9,]+)", "([0-9][0-9,]+)[ \\t]*円", "\\$[ \\t]*([0-9][0-9,]*\\.[0-9]{2})", "([0-9][0-9,]*\\.[0-9]{2})"]
 TOTALS = "合計|小計|総計|お支払い|お買上|tax[ \\t]*incl|total|amount[ \\t]*due|balance"
@@ -518,6 +542,32 @@ conditions AS (SELECT * FROM (SELECT session_id, name_key, category, location_ke
 SELECT session_id, name_key, category, c.name, f.location, d.condition, f.frames, c.said AS from_audio
 FROM chosen c JOIN facts f USING (session_id, name_key, category, location_key)
 JOIN conditions d USING (session_id, name_key, category, location_key)"""
+MISREAD = with_views("misread_frames", "talking_sessions", extra=SEEN.replace("FROM frames", "FROM misread_frames") + f""",
+keyed AS (SELECT *, trim(regexp_replace(lower(name), '{PUNCT}', ' ', 'g')) AS name_key,
+    trim(regexp_replace(lower(location), '{PUNCT}', ' ', 'g')) AS location_key FROM seen),
+heard AS (SELECT session_id, ' ' || trim(regexp_replace(lower(coalesce(audio_transcript, '')), '{PUNCT}', ' ', 'g')) || ' ' AS words
+    FROM talking_sessions),
+named AS (SELECT DISTINCT session_id, name_key FROM keyed),
+spoken AS (SELECT session_id, name_key FROM named JOIN heard USING (session_id) WHERE contains(words, ' ' || name_key || ' '))""")
+O["spoken_items"] = MISREAD + "SELECT session_id, name_key FROM spoken"
+O["similar_items"] = MISREAD.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+places AS (SELECT session_id, category, location_key, name_key, row_number() OVER () AS id
+    FROM (SELECT DISTINCT session_id, category, location_key, name_key FROM keyed)),
+near AS (SELECT a.id AS a, b.id AS b FROM places a JOIN places b USING (session_id, category, location_key)
+    WHERE regexp_replace(a.name_key, '[^0-9]', '', 'g') = regexp_replace(b.name_key, '[^0-9]', '', 'g')
+    AND 10 * levenshtein(a.name_key, b.name_key) <= 2 * greatest(length(a.name_key), length(b.name_key))),
+reach AS (SELECT id, id AS far FROM places UNION SELECT r.id, n.b FROM reach r JOIN near n ON r.far = n.a),
+roots AS (SELECT id, min(far) AS root FROM reach GROUP BY id),
+placed AS (SELECT k.*, root, s.name_key IS NOT NULL AS said FROM keyed k
+    JOIN places p USING (session_id, category, location_key, name_key) JOIN roots USING (id)
+    LEFT JOIN spoken s ON s.session_id = k.session_id AND s.name_key = k.name_key),
+chosen AS (SELECT root, name FROM (SELECT root, name, row_number() OVER (PARTITION BY root ORDER BY said DESC, n DESC, name DESC) AS nth
+    FROM (SELECT root, name, said, count(*) AS n FROM placed GROUP BY root, name, said)) WHERE nth = 1),
+conditions AS (SELECT root, condition FROM (SELECT root, condition, row_number() OVER (PARTITION BY root ORDER BY frame, condition) AS nth
+    FROM placed) WHERE nth = 1)
+SELECT session_id, c.name, category, min(location) AS location, d.condition, count(*) AS frames, bool_or(said) AS from_audio,
+    count(DISTINCT name_key) AS n_names
+FROM placed p JOIN chosen c USING (root) JOIN conditions d USING (root) GROUP BY session_id, root, c.name, category, d.condition"""
 O["video_sessions"] = with_views("sessions") + f"""
 SELECT video_path, frame_count, has_audio, audio_transcript, 0 AS items_detected, 0 AS items_confirmed, {NOW} AS processed_at FROM sessions"""
 
@@ -622,6 +672,10 @@ O["custom_sources"] = exported("0, 1, 2, 3, 4", GENERAL.replace("src AS source",
     SELECT {IMPORTED}, category FROM by_order UNION ALL SELECT {IMPORTED}, category FROM by_composite)""") + f"""
 SELECT {IMPORTED}, category FROM accepted"""
 O["backfilled_purchases"] = PURCHASES + "SELECT source, count(*) AS n, round(sum(price), 2) AS total FROM purchases GROUP BY source"
+O["recorded_versions"] = """
+SELECT 'v' || CAST(year(l_shipdate) AS VARCHAR) AS version,
+    CAST(min(l_shipdate) + CASE WHEN year(l_shipdate) < 1997 THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END AS TIMESTAMP) AS applied_at
+FROM lineitem GROUP BY year(l_shipdate)"""
 O["evolved_scans"] = with_views("ocr") + """
 SELECT row_id, image_path, CASE WHEN row_id < 0 THEN sha256(ocr_text) END AS image_hash FROM ocr"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cupboard.functions.dates import days_between
 from cupboard.plans import analytics as Q
+from cupboard.session import write_and_reload
 from cupboard.schemas import POSSESSIONS
 
 AS_OF = datetime(2026, 3, 10, 9, 30)
@@ -128,11 +129,14 @@ def test_week_and_quantile(spark):
     assert got == sorted(f"item {i}" for i in range(92, 101))
 
 
-def test_price_bounds_are_exact(spark):
-    """More than 100,000 distinct prices, most of them close together beside a few far out; ties at the bound."""
+@pytest.mark.parametrize("sort_rows", [100_000, 50])
+def test_price_bounds_are_exact(spark, sort_rows):
+    """More than 100,000 distinct prices, most of them close together beside a few far out; ties at the bound, and one
+    price in many rows. With few rows to sort, splitters narrow the range again and again."""
     prices = [1 + i / 1e6 for i in range(120_000)] + [1e12, 5e8, -3.0] + [1.05] * 500
     rows = spark.createDataFrame([("JPY", p) for p in prices] + [("USD", 2.0), ("EUR", 1.0), ("EUR", 3.0)], "currency string, price double")
+    counts = write_and_reload(rows.withColumn("n", F.lit(1)).unionByName(spark.createDataFrame([("GBP", 7.0, 4), ("GBP", 8.0, 96)], "currency string, price double, n int")))
     for quantile in ("0.9", "0.5", "0.999999", "1"):
-        got = {r.currency: r.price_bound for r in Q.price_bounds(rows, quantile).collect()}
+        got = {r.currency: r.price_bound for r in Q.price_bounds(counts, quantile, sort_rows=sort_rows).collect()}
         rank = math.ceil(Decimal(quantile) * len(prices))
-        assert got == {"JPY": sorted(prices)[rank - 1], "USD": 2.0, "EUR": 3.0 if Decimal(quantile) > Decimal("0.5") else 1.0}
+        assert got == {"JPY": sorted(prices)[rank - 1], "USD": 2.0, "EUR": 3.0 if Decimal(quantile) > Decimal("0.5") else 1.0, "GBP": 8.0}
