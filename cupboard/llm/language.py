@@ -13,10 +13,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cupboard.session import write_and_reload
+
 UNKNOWN = "und"
 DIMENSIONS = 2048
 BLOCK_BYTES = 1 << 20
@@ -140,28 +142,58 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def fit(labelled: DataFrame, per_language: int = 800, max_languages: int = 200) -> Model:
-    """Model of the languages in ``labelled`` (doc_id, text, lang).
+def sample(usable: DataFrame, per_language: int, max_languages: int) -> DataFrame:
+    """(lang, vector): feature vectors of at most ``per_language`` different texts of each of the ``max_languages`` most
+    frequent languages, those with the smallest hashes.
 
-    About ``per_language`` documents of each of the ``max_languages`` most frequent languages are chosen by a hash
-    of their id; only their feature vectors reach the driver. Rows without text or label are left out.
+    A text is told by its hash, not by its id, so shared and NULL ids lose no language and copies count once. Every task
+    keeps that many hashes a language, so the shuffle is as small, and no share of a count is taken.
     """
-    usable = labelled.where("text is not null and lang is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return Model(Vote((), (), np.zeros((0, DIMENSIONS + 1), np.float32)), {})
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(1_000_000 * min(1, per_language / r["count"])))])
-    sample = usable.where(place < share[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    hashed = usable.select("lang", F.xxhash64(F.lit("sample"), F.col("text").cast("string")).alias("h"))
+
+    def smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, rows in batch.to_pandas().groupby("lang")["h"]:
+                kept[lang] = np.unique(np.concatenate([kept.get(lang, np.empty(0, np.int64)), rows.to_numpy()]))[:per_language]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, v in kept.items() for _ in v], pa.string()), pa.array([h for v in kept.values() for h in v.tolist()], pa.int64())],
+            names=["lang", "h"])
+
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    firsts = hashed.mapInArrow(smallest, "lang string, h long").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language)
+    chosen = write_and_reload(firsts.join(F.broadcast(counts), "lang").select("lang", "h"))
+    rows = usable.select("lang", F.xxhash64(F.lit("sample"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, int]] = set()  # as many as were chosen
         for batch in batches:
-            rows = [(lang, features(t).astype("<f4").tobytes()) for lang, t in
-                    zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary()))],
-                                             names=["lang", "vector"])
+            out = []
+            for lang, h, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (lang, h) not in done and has_letter(text):
+                    out.append((lang, h, features(text).astype("<f4").tobytes()))
+                done.add((lang, h))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))],
+                                             names=["lang", "h", "vector"])
+
+    # At most per_language * max_languages pairs of a label and a number.
+    matched = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text")
+    found = matched.mapInArrow(vectors, "lang string, h long, vector binary")
+    return found.groupBy("lang", "h").agg(F.first("vector").alias("vector")).select("lang", "vector")
 
-    rows = sorted((r["lang"], bytes(r["vector"])) for r in sample.mapInArrow(vectors, "lang string, vector binary").collect())
+
+def fit(labelled: DataFrame, per_language: int = 800, max_languages: int = 200) -> Model:
+    """Model of the languages in ``labelled`` (text, lang); other columns are ignored, rows without text or label left out.
+
+    Learned from ``sample``: at most ``per_language * max_languages`` feature vectors of 8 KB reach the driver. Languages
+    beyond the ``max_languages`` most frequent, and those without a letter in their sample, are not learned;
+    ``Model.families`` and ``Model.inside`` name those that are. An empty table gives a model that answers ``und``.
+    """
+    usable = labelled.where("text is not null and lang is not null")
+    rows = sorted((r["lang"], bytes(r["vector"])) for r in sample(usable, per_language, max_languages).collect())
+    if not rows:
+        return Model(Vote((), (), np.zeros((0, DIMENSIONS + 1), np.float32)), {})
     langs = np.array([lang for lang, _ in rows], object)
     x = np.frombuffer(b"".join(v for _, v in rows), "<f4").reshape(-1, DIMENSIONS)
     family = np.array([FAMILY_OF.get(lang, lang) for lang in langs], object)
@@ -169,7 +201,11 @@ def fit(labelled: DataFrame, per_language: int = 800, max_languages: int = 200)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced. Only ``text`` is looked at."""
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced. Only ``text`` is looked at.
+
+    A NULL text and one without a letter are ``und`` with score 0; texts are read whole, in blocks; repeated rows are
+    judged alike; an empty table stays empty.
+    """
     rows = docs.drop("lang_pred", "score")
     at = rows.columns.index("text")
     shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by languages and dimensions
