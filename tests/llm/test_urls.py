@@ -63,6 +63,35 @@ def test_trees_learn_the_rules(spark):
     assert len(free) > 200 and sum(a == b for a, b in free) / len(free) > 0.95
 
 
+def test_a_suffix_without_labels_decides_nothing(spark):
+    """Blocked and allowed URLs look alike but for their suffix: pages of other suffixes are allowed, of known ones judged."""
+    rng = random.Random(2)
+    urls_ = [f"http://h{rng.randrange(40)}.{rng.choice(['bad', 'gud', 'oth'])}/{rng.choice(['a', 'b'])}/{rng.randrange(10 ** 6)}" for _ in range(900)]
+    rules = [urls.Rule("block", "bad", "/a/"), urls.Rule("allow", "gud", "/")]
+    got = urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string"), rules).collect()
+    free = {}
+    for r in got:
+        if r.rule is None:
+            free.setdefault(r.host.rsplit(".", 1)[1], []).append(r.verdict)
+    assert set(free["oth"]) == {"allow"} and set(free["bad"]) == {"block"}
+
+
+def test_a_labelled_row_does_not_see_its_own_label(spark):
+    pages = spark.createDataFrame([(i, f"http://a.x{i}/p") for i in range(40)], "page_id long, url string")
+    rules = [urls.Rule("block", f"x{i}", "/") for i in range(0, 40, 2)] + [urls.Rule("allow", f"x{i}", "/") for i in range(1, 40, 2)]
+    rows, overall = urls.with_suffix_statistics(urls.lexical(pages, rules))
+    assert overall == 0.5 and {(r.suffix_known, r.suffix_blocked) for r in rows.collect()} == {(0.0, 0.5)}
+
+
+def test_a_rare_label_and_many_copies_keep_both_labels(spark):
+    rows = [(i, "http://a.good/same") for i in range(3000)] + [(5000 + i, f"http://a.good/{i}") for i in range(400)]
+    rows += [(9000 + i, f"http://a.bad/{'9' * 20}{i}") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found, overall = urls.with_suffix_statistics(urls.lexical(pages, [urls.Rule("block", "bad", "/"), urls.Rule("allow", "good", "/")]))
+    assert abs(overall - 12 / 413) < 1e-9
+    assert urls.fit(found, overall, max_rows=40) is not None
+
+
 def test_one_kind_of_label_repeated_rows_clashing_names_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.com/"), (2, None)], "page_id long, url string")
     pages = pages.withColumn("host", F.lit(1)).withColumn("label", F.lit("x")).withColumn("suffix", F.lit(2)).withColumn("html", F.lit(None))
