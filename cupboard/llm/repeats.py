@@ -10,6 +10,9 @@ same gram at the same distance in every equal suffix.
    the sort for grams that also have a run of which there is only one.
 3. Remaining digits: the suffixes of what is left, gram by gram, 40 bytes at a time (``suffixes.repeated_suffixes``).
 
+Digits are compared by 64-bit hashes of their bytes, whole runs by a hash of the whole: strings count as equal if all
+these agree, which two different ones do with a chance of 2^-64 for each pair that is compared.
+
 A gram with a third of all documents is counted with partial sums, joined with skew splitting, and enters the third
 pass with its distinct runs only; a gram with more of them than ``bucket_rows`` is sorted by single suffixes, which
 any number of tasks can share.
@@ -31,13 +34,17 @@ from .suffixes import GRAM, Hashes, repeated_suffixes, runs_of, within_text
 
 # Bits of the filter that spares the shuffle runs whose gram is alone; at most 16 MB however large the corpus is.
 FILTER_BITS = 1 << 27
-RUNS = "doc_id long, text_hash int, place long, gram long, whole long, twice boolean"
+RUNS = "id_hash long, text_hash long, place long, gram long, whole long, twice boolean"
+KEY = ("id_hash", "text_hash")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and text: together the first two tell rows apart unless they are equal in all."""
+    """doc_id, text and a key of two 64-bit numbers: one of id, length and CRC-32, one of the text alone. Rows that share an
+    id or have none are told apart by both; rows equal in id and text share their key."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("text_hash"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    id_hash = F.xxhash64(doc_id.isNull(), doc_id, F.octet_length(text), F.crc32(F.encode(text, "UTF-8")))
+    return docs.select(doc_id.alias("doc_id"), id_hash.alias("id_hash"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -84,55 +91,60 @@ def _runs(rows: DataFrame, depth: int, wanted=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(of), batch.column(1).take(of), pa.array(place), _signed(runs.gram[at]),
                  _signed(runs.whole[at]), pa.array(twice[at])],
-                names=["doc_id", "text_hash", "place", "gram", "whole", "twice"])
+                names=["id_hash", "text_hash", "place", "gram", "whole", "twice"])
 
-    return rows.mapInArrow(scan, RUNS)
+    return rows.select(*KEY, "text").mapInArrow(scan, RUNS)
 
 
 def _spans_of_runs(runs: DataFrame, depth: int) -> DataFrame:
     """The bytes that all suffixes of a run cover."""
     anchor = F.shiftright("place", 16)
     low, high = F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    return runs.select("doc_id", "text_hash", (anchor - high).alias("begin"), (anchor - low + depth).alias("end"))
+    return runs.select(*KEY, (anchor - high).alias("begin"), (anchor - low + depth).alias("end"))
 
 
 def _segments(rows: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
-    """Bytes of the chosen runs (doc_id, text_hash, place, gram, wide); a wide run gives a row per suffix instead,
+    """Bytes of the chosen runs (id_hash, text_hash, place, gram, wide); a wide run gives a row per suffix instead,
     with the hash of the whole suffix as its gram."""
-    lists = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "gram", "wide")).alias("runs"))
-    lists = lists.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    names = ["doc_id", "text_hash", "place", "gram", "wide", "bytes"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    lists = chosen.groupBy(*KEY).agg(F.collect_list(F.struct("place", "gram", "wide")).alias("runs"))
+    names = ["id_hash", "text_hash", "place", "gram", "wide", "bytes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text_hash, raw, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist()):
+            for id_hash, text_hash, raw, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist()):
                 for run in runs:
                     anchor, low, high = run["place"] >> 16, run["place"] >> 8 & 255, run["place"] & 255
                     segment = raw[anchor - high:anchor - low + depth]
                     if not run["wide"]:
-                        out.append((doc_id, text_hash, run["place"], run["gram"], False, segment))
+                        out.append((id_hash, text_hash, run["place"], run["gram"], False, segment))
                         continue
                     starts = np.arange(high - low + 1)
                     keys = Hashes(np.frombuffer(segment, np.uint8)).of(starts, depth).view(np.int64)
-                    out += [(doc_id, text_hash, anchor << 16 | d << 8 | d, int(key), True, None) for key, d in zip(keys, range(high, low - 1, -1))]
+                    out += [(id_hash, text_hash, anchor << 16 | d << 8 | d, int(key), True, None) for key, d in zip(keys, range(high, low - 1, -1))]
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    joined = rows.join(lists, same).select("doc_id", "text_hash", "text", "runs")
-    return joined.mapInArrow(cut, "doc_id long, text_hash int, place long, gram long, wide boolean, bytes binary")
+    joined = rows.join(lists, list(KEY)).select(*KEY, "text", "runs")
+    return joined.mapInArrow(cut, "id_hash long, text_hash long, place long, gram long, wide boolean, bytes binary")
 
 
 def _spans_in_buckets(segments: DataFrame, depth: int) -> DataFrame:
-    """Spans of the repeated suffixes among segments of equal gram."""
-    dealt = segments.select("gram", "doc_id", "text_hash", "place", "bytes").repartition("gram").sortWithinPartitions("gram")
+    """Spans of the repeated suffixes among segments of equal gram. Equal rows bring equal segments, which enter once."""
+    order = ("gram", *KEY, "place")
+    dealt = segments.select(*order, "bytes").repartition("gram").sortWithinPartitions(*order)
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            new = np.append(last is None or (names[0] != last).any(), (names[1:] != names[:-1]).any(axis=1))
+            last = names[-1]
+            table = pa.Table.from_batches([batch]).filter(pa.array(new))
             table = pa.concat_tables([held, table]) if held is not None else table
             gram = table["gram"].to_numpy()
             edge = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0  # the last bucket may go on
@@ -146,14 +158,14 @@ def _spans_in_buckets(segments: DataFrame, depth: int) -> DataFrame:
         row, begin, end = repeated_suffixes(
             table["gram"].to_numpy(), place >> 16, place >> 8 & 255, place & 255, table["bytes"].to_pylist(), depth)
         table = table.combine_chunks().take(pa.array(row))
-        columns = [table["doc_id"].combine_chunks(), table["text_hash"].combine_chunks(), pa.array(begin, pa.int64()), pa.array(end, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "begin", "end"])
+        columns = [table["id_hash"].combine_chunks(), table["text_hash"].combine_chunks(), pa.array(begin, pa.int64()), pa.array(end, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["id_hash", "text_hash", "begin", "end"])
 
-    return dealt.mapInArrow(sort, "doc_id long, text_hash int, begin long, end long")
+    return dealt.mapInArrow(sort, "id_hash long, text_hash long, begin long, end long")
 
 
 def repeated_spans(rows: DataFrame, depth: int, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id, text_hash, begin, end): spans of strings that another text holds too.
+    """(id_hash, text_hash, begin, end): spans of strings that another text holds too.
 
     What repeats within one text only is left to ``_removed``, which has the text.
     """
@@ -163,10 +175,10 @@ def repeated_spans(rows: DataFrame, depth: int, bucket_rows: int = 20_000) -> Da
     shared = write_and_reload(_runs(rows, depth, wanted).join(grams, "gram"))
 
     kinds = shared.where("not uniform").groupBy("gram", "whole").agg(
-        F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("one"))
+        F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("one"))
     kinds = write_and_reload(kinds)
-    whole = shared.where("uniform").select("doc_id", "text_hash", "place").unionByName(
-        shared.where("not uniform").join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("doc_id", "text_hash", "place"))
+    whole = shared.where("uniform").select(*KEY, "place").unionByName(
+        shared.where("not uniform").join(kinds.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select(*KEY, "place"))
     per_gram = write_and_reload(kinds.groupBy("gram").agg(F.min("n").alias("least"), (F.count("*") > bucket_rows).alias("wide")))
     chosen = kinds.join(per_gram.where("least = 1").select("gram", "wide"), "gram").select("one.*", "gram", "wide")
 
@@ -178,10 +190,9 @@ def repeated_spans(rows: DataFrame, depth: int, bucket_rows: int = 20_000) -> Da
 
 
 def _removed(rows: DataFrame, spans: DataFrame, depth: int, with_kept: bool) -> DataFrame:
-    lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    lists = lists.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    joined = rows.join(lists, same, "left").select("doc_id", "text", "begins", "ends")
+    # A set: equal rows find the same spans, so a list is as long as its text's different ones.
+    lists = spans.groupBy(*KEY).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    joined = rows.join(lists, list(KEY), "left").select("doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 

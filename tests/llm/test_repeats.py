@@ -67,6 +67,26 @@ def test_repeated_rows_and_ids(docs):
         ("None", 0, 0), ("None", len(other.encode()), len(other.encode()))])
 
 
+def test_rows_without_an_id_are_told_apart_by_their_texts(docs, monkeypatch):
+    """Two texts without ids whose text hashes agree, as far as they are looked at, do not take each other's spans."""
+    rng = random.Random(8)
+    shared, own = prose(rng, 60), prose(rng, 60)
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c, _real=F.xxhash64: _real(*c) if len(c) > 1 else F.lit(5).cast("long"))
+    rows = repeats.without_repeats(docs([(None, shared), (2, shared), (None, own)]), depth=200).collect()
+    monkeypatch.undo()
+    assert sorted((r.n_bytes, r.n_removed) for r in rows) == sorted([(len(shared.encode()),) * 2] * 2 + [(len(own.encode()), 0)])
+
+
+def test_lists_of_equal_rows_are_as_long_as_one_text(docs):
+    rng = random.Random(9)
+    text, other = prose(rng, 300), prose(rng, 300)
+    rows = repeats._identified(docs([(1, text)] * 60 + [(2, text[:len(text) // 2] + other)] * 60))
+    spans = repeats.repeated_spans(rows, 200)
+    per_row = spans.groupBy("id_hash", "text_hash").agg(F.size(F.collect_set(F.struct("begin", "end"))).alias("n"), F.count("*").alias("all")).collect()
+    assert len(per_row) == 2 and all(r.n < 60 for r in per_row)
+    assert {(r[0], r[1] == r[2]) for r in result(docs([(1, text)] * 60 + [(2, other)]), depth=200) if r[0] == 1} == {(1, True)}
+
+
 def test_empty_table_and_extra_columns(docs):
     empty = docs([(1, "a")]).where("false")
     assert result(empty) == []
