@@ -23,7 +23,8 @@ _CONTROL = re.compile(r"\\|(?<=<)(?=/?turn)")
 _ESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile(r"<turn ([^>\n]*)>\n(.*?)</turn>\n", re.DOTALL)
 
-WINDOWS = "conv_id long, window long, formatted string, loss array<struct<begin:long,end:long>>, repeated int"
+WINDOWS = ("conv_id long, window long, formatted string, loss array<struct<begin:long,end:long>>, repeated int, "
+           "n_tokens long, over_budget boolean")
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -50,9 +51,10 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
 class _Windows:
     """Windows of one conversation, fed turn by turn.
 
-    Prefix sums of turn tokens decide where a window ends: it takes new turns while the system turn, the repeated
-    history and the new turns fit the budget. Only one window and the history are held, however long the
-    conversation is. A turn that is longer than the budget gets a window without history.
+    Prefix sums of turn tokens, counted as the turns are written, decide where a window ends: it takes new turns while
+    the system turn, the repeated history and the new turns fit the budget. Only one window and the history are held,
+    however long the conversation is. A turn that does not fit beside the system turn gets a window of its own,
+    without history and over the budget.
     """
 
     def __init__(self, budget: int, history: int):
@@ -73,13 +75,13 @@ class _Windows:
         n = max(0, bisect_right(sums, room) - 1)
         return system + self.past[len(self.past) - n:]
 
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple[int, str, list, int]]:
+    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple[int, str, list, int, int, bool]]:
         if self.new and self.sums[-1] + tokens > self.budget - sum(t[2] for t in self._kept(self.new[0][2])):
             yield self._close()
         self.new.append((role, text, tokens))
         self.sums.append(self.sums[-1] + tokens)
 
-    def _close(self) -> tuple[int, str, list, int]:
+    def _close(self) -> tuple[int, str, list, int, int, bool]:
         kept = self._kept(self.new[0][2])
         pieces, loss, at = [], [], 0
         for i, (role, text, _) in enumerate([*kept, *self.new]):
@@ -93,10 +95,11 @@ class _Windows:
                 self.system = turn
             else:
                 self.past = [*self.past, turn][-self.history:] if self.history else []
+        tokens = sum(t[2] for t in kept) + self.sums[-1]
         number, self.new, self.sums, self.count = self.count, [], [0], self.count + 1
-        return number, "".join(pieces), loss, len(kept)
+        return number, "".join(pieces), loss, len(kept), tokens, tokens > self.budget
 
-    def finish(self) -> Iterator[tuple[int, str, list, int]]:
+    def finish(self) -> Iterator[tuple[int, str, list, int, int, bool]]:
         if self.new:
             yield self._close()
 
@@ -115,7 +118,8 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
     ``loss`` holds the code point spans of the assistant texts in ``formatted`` that are to be learned; a repeated
     assistant turn is left out of it, so every assistant turn is a target once. ``repeated`` counts the leading
     turns that an earlier window holds: the first system turn, which every window keeps, and up to ``history``
-    turns before the window. NULL role and text count as empty; a NULL conv_id is a conversation; no rows give none.
+    turns before the window. ``n_tokens`` counts the formatted text; ``over_budget`` marks windows of one new turn that is too
+    long for the budget beside the system turn; no other window exceeds it. NULL role and text count as empty; a NULL conv_id is a conversation; no rows give none.
     """
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
@@ -126,7 +130,7 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
                 if conv_id != conv:
                     out += [(conv, *w) for w in state.finish()]
                     conv, state = conv_id, _Windows(budget, history)
-                out += [(conv, *w) for w in state.add(role, text, len(encode(text)))]
+                out += [(conv, *w) for w in state.add(role, text, len(encode(write_turn(role, text)[0])))]
             yield _batch(out)
         yield _batch([(conv, *w) for w in state.finish()])
 
@@ -134,8 +138,8 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.string(), _SPANS, pa.int32())
-    names = ["conv_id", "window", "formatted", "loss", "repeated"]
+    types = (pa.int64(), pa.int64(), pa.string(), _SPANS, pa.int32(), pa.int64(), pa.bool_())
+    names = ["conv_id", "window", "formatted", "loss", "repeated", "n_tokens", "over_budget"]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
@@ -158,19 +162,23 @@ class _Digest:
         return (conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation, read from the windows as ``format_windows`` returns them."""
+def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """One row per conversation, read from its windows. Windows that come straight from ``format_windows`` are
+    ``in_order``; others, such as those of a table, are gathered and sorted first. A missing window raises ValueError."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = None, None
+        conv, state, due = None, None, 0
         for batch in batches:
             done = []
-            for conv_id, formatted, loss, repeated in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for conv_id, window, formatted, loss, repeated in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if state is None or conv_id != conv:
                     done += [state.row(conv)] if state else []
-                    conv, state = conv_id, _Digest()
+                    conv, state, due = conv_id, _Digest(), 0
+                if window != due:
+                    raise ValueError(f"conversation {conv_id}: window {window} where {due} was due")
+                due += 1
                 state.add(formatted, loss, repeated)
             yield rows(done)
         yield rows([state.row(conv)] if state else [])
@@ -179,4 +187,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=names)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return windows.select("conv_id", "formatted", "loss", "repeated").mapInArrow(digests, schema)
+    rows_in = windows.select("conv_id", "window", "formatted", "loss", "repeated")
+    if not in_order:
+        rows_in = rows_in.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return rows_in.mapInArrow(digests, schema)

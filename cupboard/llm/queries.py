@@ -71,7 +71,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_back(chat.format_windows(turns, vocabulary(), budget=512, history=2))
+    return chat.read_back(chat.format_windows(turns, vocabulary(), budget=512, history=2), in_order=True)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

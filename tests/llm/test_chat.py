@@ -48,8 +48,9 @@ def test_round_trip_budget_and_mask(spark, vocab):
             assert len(old) <= 3 and all(t in new for t in old)
             new += [t[:2] for t in fresh]
             learned += [chat.unescape(w.formatted[s.begin:s.end]) for s in w.loss]
-            tokens = sum(len(encode(t[1])) for t in turns)
-            assert tokens <= 100 or len(fresh) == 1
+            tokens = len(encode(w.formatted))  # of the whole window, template and escapes included
+            assert tokens == w.n_tokens and w.over_budget == (tokens > 100)
+            assert tokens <= 100 or len(fresh) == 1 and len(old) <= 1
         assert new == want
         assert learned == [t for r, t in want if r == "assistant"]
         if want[0][0] == "system" and len(by_conv[conv]) > 1:
@@ -67,6 +68,22 @@ def test_read_back_digests(spark, vocab):
         assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_many_short_turns_fit_the_budget(spark, vocab):
+    rows = [(1, i, "user" if i % 2 else "assistant", "ok") for i in range(400)]
+    got = chat.format_windows(spark.createDataFrame(rows, SCHEMA), vocab, budget=128).collect()
+    assert len(got) > 20 and max(w.n_tokens for w in got) <= 128 and not any(w.over_budget for w in got)
+
+
+def test_windows_of_a_table_are_read_in_order(spark, vocab, tmp_path):
+    rows = conversations(3)
+    windows = chat.format_windows(spark.createDataFrame(rows, SCHEMA), vocab, budget=80)
+    windows.orderBy(F.rand(1)).write.parquet(str(tmp_path / "w"))
+    table = spark.read.parquet(str(tmp_path / "w"))
+    assert sorted(map(tuple, chat.read_back(table).collect())) == sorted(map(tuple, chat.read_back(windows, in_order=True).collect()))
+    with pytest.raises(Exception, match="was due"):
+        chat.read_back(table.where("window <> 1")).collect()
+
+
 def test_repeated_turns_null_ids_clashing_names_and_empty_table(spark, vocab):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None), (None, 1, "assistant", "z" * 200_000)]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("window", F.lit("x")).withColumn("loss", F.lit(1))
