@@ -1,5 +1,6 @@
 """Counts against brute force; thresholds that follow their group."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -50,15 +51,48 @@ def test_thresholds_follow_the_group(docs):
     assert (kept[5000], kept[5001], kept[5002], kept[5003]) == (False, False, True, True)
 
 
-def test_merged_sketches_equal_the_whole(docs):
+def rank(values, q):
+    return sorted(values)[max(0, math.ceil(len(values) * q) - 1)]
+
+
+def test_bounds_against_brute_force(docs):
+    """Every rule in every group, within a bucket of the exact quantiles; small groups by language, small languages by all."""
     rng = random.Random(3)
-    rows = [(i, prose(rng, rng.randint(20, 80)), "en", f"s{i % 40}") for i in range(400)]
-    measured = quality.metrics(docs(rows))
-    limits = quality.thresholds(quality.sketches(measured), min_group=100).collect()
-    assert len({r.max_word_length for r in limits}) == 1 and len(limits) == 40
-    lengths = sorted(r.word_length for r in measured.collect())
-    exact = lengths[300] + 8 * (lengths[300] - lengths[100]) + 4
-    assert abs(limits[0].max_word_length - exact) < 0.2
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("en", f"s{i % 40}"), ("de", "c"), ("xx", "d") if i % 20 == 0 else ("en", "a")])
+        text = prose(rng, rng.randint(20, 80), "#" if source == "b" and rng.random() < 0.3 else "")
+        if rng.random() < {"a": 0.02, "b": 0.3}.get(source, 0.1):
+            text += "\nsame line here" * rng.randint(2, 9)
+        rows.append((i, text, lang, source))
+    measured = quality.metrics(docs(rows)).collect()
+    limits = quality.thresholds(quality.sketches(quality.metrics(docs(rows))), min_group=100).collect()
+    assert len(limits) == len({(r.lang, r.source) for r in measured})
+    for limit in limits:
+        own = [r for r in measured if (r.lang, r.source) == (limit.lang, limit.source)]
+        lang = [r for r in measured if r.lang == limit.lang]
+        group = own if len(own) >= 100 else lang if len(lang) >= 100 else measured
+        for rule in quality.RULES:
+            low, high, tail = (rank([r[rule.metric] for r in group], q) for q in (0.25, 0.75, rule.tail_at))
+            beyond = rule.ranges * (high - low) + rule.gap
+            want = low - beyond if rule.lower else high + beyond + rule.tail * tail
+            assert abs(limit[f"bound_{rule.name}"] - want) <= 0.0101 * (1 + 2 * rule.ranges + rule.tail) * max(high, low, tail) + 1e-9
+    for name in ("symbol_share", "dup_line_share", "word_length", "short_words"):
+        assert len({r[f"bound_{name}"] for r in limits if r.source in ("a", "b")}) == 2
+
+
+def test_two_runs_are_equal_whatever_the_partitions(docs):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(20, 80)), "en", f"s{i % 3}") for i in range(600)]
+    runs = [quality.thresholds(quality.sketches(quality.metrics(docs(rows, p)))).collect() for p in (2, 7)]
+    assert sorted(map(tuple, runs[0])) == sorted(map(tuple, runs[1]))
+
+
+def test_words_of_one_letter_fail(docs):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 60), "en", "a") for i in range(300)] + [(999, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)), "en", "a")]
+    got = {r.doc_id: r for r in quality.judge(docs(rows)).collect()}
+    assert got[999].failed_rules == ["short_words"] and all(got[i].kept for i in range(300))
 
 
 def test_repeated_rows_clashing_names_and_empty_table(docs):
