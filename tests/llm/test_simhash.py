@@ -81,7 +81,7 @@ def test_embedding_is_a_lower_bound_and_cells_cover():
             b ^= 1 << rng.randrange(64)
         ua, ub = (int(x) for x in simhash.embedded(np.array([a, b], np.uint64)))
         assert (ua ^ ub).bit_count() <= (a ^ b).bit_count() <= 3
-        assert any(ua & m == ub & m for m in simhash.grid(3))
+        assert all(any(ua & m == ub & m for m in simhash.grid(3, blocks)) for blocks in (6, 7, 8, 11))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -132,3 +132,21 @@ def test_pipeline_stage_keeps_groups_without_ids(spark, docs):
 
     table = docs([(None, "first of the texts"), (None, "another one of them"), (7, "left over words"), (7, "not the same at all")])
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, table, "").count() == 4
+
+
+def test_cells_stay_small_as_fingerprints_grow():
+    """Strangers that a random fingerprint meets in all its cells, expected for large tables and counted for small ones."""
+    for n, most in ((50_000, 1), (800_000, 1), (10 ** 8, 5), (10 ** 11, 300)):
+        blocks = simhash.blocks_for(n, 3)
+        cells = len(simhash.grid(3, blocks))
+        assert cells <= 1600 and cells * n * 0.375 ** (32 * (blocks - 3) / blocks) <= most
+    rng = np.random.default_rng(1)
+    per_member = []
+    for n in (50_000, 200_000, 800_000):
+        where = simhash.embedded(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        pairs = 0
+        for mask in simhash.grid(3, simhash.blocks_for(n, 3)):
+            _, counts = np.unique(where & np.uint64(mask), return_counts=True)
+            pairs += int((counts * (counts - 1)).sum() // 2)
+        per_member.append(pairs / n)
+    assert max(per_member) < 1
