@@ -95,8 +95,9 @@ def test_migrations_run_twice(spark):
     once = quality.backfill(old, old.limit(0))
     assert quality.backfill(old, once).count() == 1
     versions = spark.createDataFrame([], schemas.SCHEMA_VERSION)
-    once = quality.record_version(versions, "1.0.0", now())
-    assert quality.record_version(once, "1.0.0", now()).count() == 1
+    applied = spark.range(2).select(F.lit("1.0.0").alias("version"), now().alias("applied_at"))
+    once = quality.record_versions(versions, applied)
+    assert once.count() == 1 and quality.record_versions(once, applied).count() == 1
     evolved = quality.evolve(spark.range(1).toDF("id"), spark.range(1).withColumn("image_hash", F.lit("h")))
     assert sorted(map(str, [r.image_hash for r in evolved.collect()])) == ["None", "h"]
 
