@@ -174,18 +174,26 @@ def append_batch(
     record.coalesce(1).write.mode("append").parquet(f"{path}/_commits")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """The published rows of a table written by ``append_batch``, or None if nothing was published yet."""
+def newest_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """(batch_id, version) of the published batches, or None if there are none."""
     commits = _commits(spark, path)
-    if commits is None:
+    return None if commits is None else commits.groupBy("batch_id").agg(F.max("version").alias("version"))
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, only: Column | None = None) -> DataFrame | None:
+    """The published rows of a table written by ``append_batch``, or None if nothing was published yet. ``only`` restricts
+    them, by ``_metadata`` or ``batch_id`` before files are opened."""
+    newest = newest_batches(spark, path)
+    if newest is None:
         return None
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.StringType()), T.StructField("version", T.LongType())])
-    newest = commits.groupBy("batch_id").agg(F.max("version").alias("version"))
     try:
         rows = spark.read.schema(full).parquet(f"{path}/rows")
     except AnalysisException as error:  # only empty batches so far
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], full)
+        return spark.createDataFrame([], full).select(*schema.fieldNames(), "batch_id")
+    if only is not None:
+        rows = rows.where(only)
     # Both are partition columns, so files of replaced runs are not opened.
     return rows.join(newest, ["batch_id", "version"], "left_semi").select(*schema.fieldNames(), "batch_id")

@@ -12,13 +12,14 @@ from cupboard import registry, schemas
 from cupboard.functions.dates import date_text, parse_clean_date
 from cupboard.functions.money import amount_of, currency_of, shop_a_amount, shop_b_amount
 from cupboard.functions.text import row_json
-from cupboard.operators import dedupe, detections, headers, load, normalize, quality, receipts, rollups, state
+from cupboard.operators import dedupe, detections, headers, load, normalize, pruning, quality, receipts, rollups, state
 from cupboard.plans import analytics as Q
 from cupboard.plans import exports, reports
 from cupboard.plans.views import ROW_KEY, VIEWS, Views
 from cupboard.session import scratch_dir, write_and_reload
 from cupboard.sources.scans import content_hash, parse_detections, read_item_lines, read_ocr_results
 from cupboard.streaming import events as streamed
+from cupboard.streaming import stateful
 
 AS_OF = datetime(2001, 7, 20, 12)
 LOG_AS_OF = datetime(2024, 1, 20, 12)
@@ -179,6 +180,21 @@ def new_purchases(v: Views) -> DataFrame:
     return dedupe.accept_new(*_batch(v)).select(*STAGED)
 
 
+def pruned_new_purchases(v: Views) -> DataFrame:
+    """As ``new_purchases``, with the history appended in batches by ship year and compared only where its files' key filters
+    meet the new rows."""
+    batch, history, order = _batch(v)
+    path = f"{scratch_dir(v.spark)}/purchase_history"
+    schema = history.select(*dedupe.COMPOSITE_KEY, "order_id").schema
+    staged = write_and_reload(history)
+    year = F.year("l_shipdate")
+    for first, last in ((0, 1994), (1995, 1996), (1997, 1997), (1998, 9999)):
+        part = staged.filter(year.between(first, last))
+        pruning.append_with_filters(part, path, schema, f"to {last}", Q.at(AS_OF), keep_ids=True)
+    batch = write_and_reload(batch)
+    return dedupe.accept_new(batch, pruning.read_matching(v.spark, path, schema, batch), order).select(*STAGED)
+
+
 def new_purchase_counts(v: Views) -> DataFrame:
     batch, history, order = _batch(v)
     accepted = dedupe.accept_new(batch, history, order).groupBy("source").agg(F.count("*").alias("imported"))
@@ -561,6 +577,33 @@ def streamed_replenishment(v: Views) -> DataFrame:
     return streamed.run_to_table(_as_log(log), state.replenished_days)
 
 
+def streamed_new_by_order_id(v: Views) -> DataFrame:
+    """The order-id rule with the orders seen as state of a stream, which starts from the history's."""
+    batch, history, order = _batch(v)
+    folder = scratch_dir(v.spark)
+    batch.write.parquet(f"{folder}/in")
+    rows = v.spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
+    firsts = stateful.first_orders(rows, list(order), write_and_reload(history))
+    return stateful.run_to_end(firsts, f"{folder}/out").select(*STAGED)
+
+
+def streamed_lifespan_alerts(v: Views) -> DataFrame:
+    """Timers set by replacements in the log and lifespans of the possessions, up to LOG_AS_OF."""
+    folder = scratch_dir(v.spark)
+    now = Q.at(LOG_AS_OF)
+    owned = v.possessions.filter("is_consumable AND estimated_lifespan_days IS NOT NULL").select(
+        F.col("id").alias("possession_id"), F.col("estimated_lifespan_days").alias("lifespan_days"),
+        F.lit(None).cast("timestamp").alias("replenished_at"), F.lit("2000-01-01").cast("timestamp").alias("seen_at"))
+    replaced = v.log.filter((F.col("event_type") == "replaced") & (F.col("logged_at") <= now)).select(
+        "possession_id", F.lit(None).cast("int").alias("lifespan_days"), F.col("logged_at").alias("replenished_at"), F.col("logged_at").alias("seen_at"))
+    clock = v.spark.range(1).select(
+        F.lit(-1).cast("long").alias("possession_id"), F.lit(None).cast("int").alias("lifespan_days"),
+        F.lit(None).cast("timestamp").alias("replenished_at"), now.alias("seen_at"))
+    owned.unionByName(replaced).unionByName(clock).write.parquet(f"{folder}/in")
+    changes = v.spark.readStream.schema(owned.schema).parquet(f"{folder}/in").withWatermark("seen_at", "0 seconds")
+    return stateful.run_to_end(stateful.lifespan_alerts(changes), f"{folder}/out")
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 def _checked(v: Views) -> dict[str, DataFrame]:
@@ -708,6 +751,7 @@ QUERIES = {
     "empty_rows_dropped": empty_rows_dropped,
     "new_by_order_id": new_by_order_id,
     "new_purchases": new_purchases,
+    "pruned_new_purchases": pruned_new_purchases,
     "new_purchase_counts": new_purchase_counts,
     "import_folder": import_folder,
     "import_folder_statistics": import_folder_statistics,
@@ -752,6 +796,8 @@ QUERIES = {
     "latest_status": latest_status,
     "streamed_latest_status": streamed_latest_status,
     "streamed_replenishment": streamed_replenishment,
+    "streamed_new_by_order_id": streamed_new_by_order_id,
+    "streamed_lifespan_alerts": streamed_lifespan_alerts,
     # quality
     "enum_violations": enum_violations,
     "null_violations": null_violations,

@@ -343,6 +343,8 @@ STAGED = with_views("staged", extra=BATCH + first_wins(STAGED_COLUMNS))
 O["empty_rows_dropped"] = with_views("staged") + f"SELECT {STAGED_COLUMNS} FROM staged WHERE {NOT_EMPTY}"
 O["new_by_order_id"] = STAGED + f"SELECT {STAGED_COLUMNS} FROM by_order UNION ALL SELECT {STAGED_COLUMNS} FROM no_id"
 O["new_purchases"] = STAGED + f"SELECT {STAGED_COLUMNS} FROM accepted"
+O["pruned_new_purchases"] = O["new_purchases"]
+O["streamed_new_by_order_id"] = O["new_by_order_id"]
 O["new_purchase_counts"] = STAGED + """
 SELECT b.source, coalesce(a.n, 0) AS imported, b.n - coalesce(a.n, 0) AS skipped
 FROM (SELECT source, count(*) AS n FROM batch GROUP BY source) b
@@ -633,6 +635,12 @@ O["streamed_latest_status"] = O["latest_status"]
 O["streamed_replenishment"] = with_views("consumption_log") + REPLENISHED
 
 # --- quality ----------------------------------------------------------------------------------
+O["streamed_lifespan_alerts"] = with_views("possessions", "consumption_log") + f"""
+SELECT possession_id, day AS last_replenished, day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS alert_on
+FROM (SELECT possession_id, CAST(max(logged_at) AS DATE) AS day FROM consumption_log
+    WHERE event_type = 'replaced' AND logged_at <= {LOG_NOW} GROUP BY possession_id) r JOIN possessions p ON p.id = r.possession_id
+WHERE is_consumable AND estimated_lifespan_days IS NOT NULL
+    AND CAST(day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS TIMESTAMP) < {LOG_NOW}"""
 CHECKED = with_views("possessions", "purchases", extra="""
 owned AS (SELECT id, CASE WHEN id % 25 <> 0 THEN name END AS name, CASE WHEN id % 9 = 0 THEN 'gadget' ELSE category END AS category, condition
     FROM possessions),
