@@ -68,7 +68,7 @@ ALERTS = "possession_id long, last_replenished date, alert_on date"
 
 
 class _RunsOut(StatefulProcessor):
-    """Keeps a possession's lifespan and last replenishment, and one timer for the day its alert is due."""
+    """Keeps a possession's lifespan and last replenishment, and a timer for the day its alert is due."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -77,10 +77,11 @@ class _RunsOut(StatefulProcessor):
         self.handle = handle
         self.lifespan = handle.getValueState("lifespan", "days int")
         self.replenished = handle.getValueState("replenished", "day date")
+        self.due = handle.getValueState("due", "at long")  # of the timer, or of the alert that has fired
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lifespan = self.lifespan.get()[0] if self.lifespan.exists() else None
-        before = day = self.replenished.get()[0] if self.replenished.exists() else None
+        day = self.replenished.get()[0] if self.replenished.exists() else None
         for frame in rows:
             days = frame["lifespan_days"].dropna()
             if len(days):
@@ -96,21 +97,26 @@ class _RunsOut(StatefulProcessor):
         if lifespan is None or day is None:
             return
         due = self._due(day, lifespan)
-        held = [int(t) for t in self.handle.listTimers()]
-        if held != [due] and (held or day != before or before is None):
-            for timer in held:
-                self.handle.deleteTimer(timer)
+        if self.due.exists() and self.due.get()[0] == due:
+            return
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(int(timer))
+        self.due.update((due,))
+        if due <= timerValues.getCurrentWatermarkInMs():
+            yield self._alert(key, due)  # a timer in the past would not fire
+        else:
             self.handle.registerTimer(due)
-        return
-        yield  # rows come from timers only
 
     def _due(self, day, lifespan: int) -> int:
         start = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
         return int((start + timedelta(days=int(lifespan * self.threshold))).timestamp() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        alert_on = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000, timezone.utc).date()
-        yield pd.DataFrame({"possession_id": [key[0]], "last_replenished": [self.replenished.get()[0]], "alert_on": [alert_on]})
+        yield self._alert(key, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _alert(self, key, due: int) -> pd.DataFrame:
+        alert_on = datetime.fromtimestamp(due / 1000, timezone.utc).date()
+        return pd.DataFrame({"possession_id": [key[0]], "last_replenished": [self.replenished.get()[0]], "alert_on": [alert_on]})
 
     def close(self) -> None:
         pass
@@ -121,7 +127,7 @@ def lifespan_alerts(changes: DataFrame, threshold: float = ALERT_THRESHOLD) -> D
 
     ``changes`` is a stream of (possession_id, lifespan_days, replenished_at, seen_at) with a watermark on ``seen_at``: a
     row sets the lifespan, tells of a replenishment, or, with neither, only lets time go on. An alert fires when the
-    watermark passes its day; a replenishment before that moves it, one after it starts the next. A row seen at or before the watermark is late and is left out. A possession holds two
+    watermark passes its day; a replenishment before that moves it, one after it starts the next. A row seen at or before the watermark is late and is left out. A possession holds three
     values and one timer, whatever the number of its events.
     """
     keep_state(changes.sparkSession)
