@@ -23,6 +23,7 @@ from cupboard.streaming import stateful
 
 AS_OF = datetime(2001, 7, 20, 12)
 LOG_AS_OF = datetime(2024, 1, 20, 12)
+ALERTS_AS_OF = datetime(2024, 2, 20, 12)
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -588,9 +589,9 @@ def streamed_new_by_order_id(v: Views) -> DataFrame:
 
 
 def streamed_lifespan_alerts(v: Views) -> DataFrame:
-    """Timers set by replacements in the log and lifespans of the possessions, up to LOG_AS_OF."""
+    """Timers set by replacements in the log and lifespans of the possessions, up to ALERTS_AS_OF."""
     folder = scratch_dir(v.spark)
-    now = Q.at(LOG_AS_OF)
+    now = Q.at(ALERTS_AS_OF)
     owned = v.possessions.filter("is_consumable AND estimated_lifespan_days IS NOT NULL").select(
         F.col("id").alias("possession_id"), F.col("estimated_lifespan_days").alias("lifespan_days"),
         F.lit(None).cast("timestamp").alias("replenished_at"), F.lit("2000-01-01").cast("timestamp").alias("seen_at"))

@@ -635,12 +635,12 @@ O["streamed_latest_status"] = O["latest_status"]
 O["streamed_replenishment"] = with_views("consumption_log") + REPLENISHED
 
 # --- quality ----------------------------------------------------------------------------------
-O["streamed_lifespan_alerts"] = with_views("possessions", "consumption_log") + f"""
+O["streamed_lifespan_alerts"] = with_views("possessions", "consumption_log") + """
 SELECT possession_id, day AS last_replenished, day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS alert_on
 FROM (SELECT possession_id, CAST(max(logged_at) AS DATE) AS day FROM consumption_log
-    WHERE event_type = 'replaced' AND logged_at <= {LOG_NOW} GROUP BY possession_id) r JOIN possessions p ON p.id = r.possession_id
+    WHERE event_type = 'replaced' AND logged_at <= TIMESTAMP '2024-02-20 12:00:00' GROUP BY possession_id) r JOIN possessions p ON p.id = r.possession_id
 WHERE is_consumable AND estimated_lifespan_days IS NOT NULL
-    AND CAST(day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS TIMESTAMP) < {LOG_NOW}"""
+    AND CAST(day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS TIMESTAMP) < TIMESTAMP '2024-02-20 12:00:00'"""
 CHECKED = with_views("possessions", "purchases", extra="""
 owned AS (SELECT id, CASE WHEN id % 25 <> 0 THEN name END AS name, CASE WHEN id % 9 = 0 THEN 'gadget' ELSE category END AS category, condition
     FROM possessions),
