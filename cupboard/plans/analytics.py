@@ -187,9 +187,9 @@ def price_bounds(counts: DataFrame, quantile: str, parts: int = 64, sort_rows: i
     counts each, and the range that holds the rank stays. Only that one is sorted.
     """
     rank = F.ceil(F.lit(quantile).cast("decimal(10,9)") * F.sum("n")).cast("long")
-    state = write_and_reload(counts.groupBy("currency").agg(
+    state = counts.groupBy("currency").agg(
         F.min("price").alias("low"), F.max("price").alias("high"), F.lit(0).cast("long").alias("below"), rank.alias("rank"),
-        F.count("*").alias("rows")))
+        F.count("*").alias("rows"))
 
     def first_reaching(rows: DataFrame, order: str) -> DataFrame:
         """The first row at which the counts reach the rank, with the count before it."""
@@ -225,7 +225,7 @@ def wasteful_purchases(purchases: DataFrame, as_of: datetime, quantile: str = "0
     # One row per currency code, and the size check of the planner decides how it travels.
     return (
         per_item.filter(F.col("purchase_count") <= max_count)
-        .join(write_and_reload(price_bounds(counts, quantile)), "currency")
+        .join(price_bounds(counts, quantile), "currency")
         .filter(F.col("price") >= F.col("price_bound"))
         .select("item_name", "currency", "price", "purchase_count", "last_purchased")
         .orderBy(F.desc("price"), "item_name", "currency")
