@@ -40,3 +40,8 @@ def python_float(text: Column) -> Column:
 def row_json(names: Column, cells: Column) -> Column:
     """A row as a JSON object: nulls kept, non-ASCII kept, header order kept."""
     return F.to_json(F.map_from_arrays(names, cells), {"ignoreNullFields": "false"})
+
+
+def like(column: str, pattern: str) -> Column:
+    """LIKE with cases folded. The pattern language has no escape character, so a backslash stands for itself."""
+    return F.col(column).ilike(pattern.replace("\\", "\\\\"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cupboard.functions.dates import days_between
+from cupboard.functions.text import like
 from cupboard.schemas import ALERT_THRESHOLD
 from cupboard.session import write_and_reload
 
@@ -440,17 +441,12 @@ def search_by_category(possessions: DataFrame, category: str) -> DataFrame:
     return possessions.filter(F.col("category") == category)
 
 
-def _like(column: str, pattern: str) -> Column:
-    # The pattern language has no escape character, so a backslash stands for itself.
-    return F.col(column).ilike(pattern.replace("\\", "\\\\"))
-
-
 def search_by_location(possessions: DataFrame, pattern: str) -> DataFrame:
-    return possessions.filter(_like("location", pattern))
+    return possessions.filter(like("location", pattern))
 
 
 def search_free_text(possessions: DataFrame, pattern: str) -> DataFrame:
-    return possessions.filter(_like("name", pattern) | _like("brand", pattern) | _like("notes", pattern))
+    return possessions.filter(like("name", pattern) | like("brand", pattern) | like("notes", pattern))
 
 
 def weekly_new_items(possessions: DataFrame, as_of: datetime) -> DataFrame:

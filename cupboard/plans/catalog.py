@@ -12,7 +12,7 @@ from cupboard import registry, schemas
 from cupboard.functions.dates import date_text, parse_clean_date
 from cupboard.functions.money import amount_of, currency_of, shop_a_amount, shop_b_amount
 from cupboard.functions.text import row_json
-from cupboard.operators import dedupe, detections, headers, load, normalize, pruning, quality, receipts, rollups, state
+from cupboard.operators import dedupe, detections, headers, load, normalize, pruning, quality, receipts, rollups, state, substrings
 from cupboard.plans import analytics as Q
 from cupboard.plans import exports, reports
 from cupboard.plans.views import ROW_KEY, VIEWS, Views
@@ -205,6 +205,46 @@ def new_purchase_counts(v: Views) -> DataFrame:
     )
 
 
+SEARCHED = ("name", "brand", "notes", "location")
+SEARCHES = (
+    (("name", "brand", "notes"), "%ring%"), (("location",), "%KITCHEN%"), (("name",), "%re%green%"), (("notes",), "spare%steel piece"),
+    (("name", "notes"), "%no such text%"), (("brand",), "%#_4%"),
+)
+
+
+def _with_trigrams(v: Views) -> str:
+    """Folder of the possessions, appended in three batches with their trigram lists; one batch is first published wrong."""
+    path = f"{scratch_dir(v.spark)}/possessions"
+    rows = write_and_reload(v.possessions)
+    wrong = rows.withColumns({"name": F.lit("string ring"), "location": F.lit("kitchen")})
+    for batch_id, part in (("new", wrong.filter("condition = 'new'")), ("good", rows.filter("condition = 'good'")),
+                           ("worn", rows.filter("condition IN ('fair', 'poor')")), ("new", rows.filter("condition = 'new'"))):
+        substrings.append_with_trigrams(part, path, schemas.POSSESSIONS, batch_id, F.col("created_at"), SEARCHED, keep_ids=True)
+    return path
+
+
+def indexed_search(v: Views) -> DataFrame:
+    """As ``search_free_text``, by trigram lists."""
+    found = substrings.search(v.spark, _with_trigrams(v), schemas.POSSESSIONS, *SEARCHES[0])
+    return _plain_times(found.drop("batch_id"))
+
+
+def search_shares(v: Views) -> DataFrame:
+    """For each search the rows of the table, those its trigrams leave to look at, and those found."""
+    path = _with_trigrams(v)
+    n = F.count("*").alias("n")
+
+    def one(fields: tuple[str, ...], pattern: str) -> DataFrame:
+        left = substrings.candidates(v.spark, path, fields, pattern)
+        found = substrings.search(v.spark, path, schemas.POSSESSIONS, fields, pattern)
+        everything = load.read_table(v.spark, path, schemas.POSSESSIONS)
+        counts = [(everything, "rows"), (everything if left is None else left, "candidates"), (found, "found")]
+        return reduce(DataFrame.unionByName, [
+            df.agg(n).select(F.lit(pattern).alias("pattern"), F.lit(kind).alias("kind"), "n") for df, kind in counts])
+
+    return reduce(DataFrame.unionByName, [one(fields, pattern) for fields, pattern in SEARCHES])
+
+
 IMPORTED = ["source", "item_name", "price", "currency", "purchase_date", "order_id", "category"]
 
 
@@ -720,6 +760,8 @@ QUERIES = {
     "latest_possessions": lambda v: _plain_times(Q.latest_possessions(v.possessions)),
     "search_by_category": lambda v: _plain_times(Q.search_by_category(v.possessions, "kitchen")),
     "search_by_location": lambda v: _plain_times(Q.search_by_location(v.possessions, "%KITCHEN%")),
+    "indexed_search": indexed_search,
+    "search_shares": search_shares,
     "search_free_text": lambda v: _plain_times(Q.search_free_text(v.possessions, "%ring%")),
     "weekly_new_items": lambda v: Q.weekly_new_items(v.possessions, datetime(2001, 7, 18, 12)),
     "weekly_consumed": lambda v: Q.weekly_consumed(v.log, v.possessions, LOG_AS_OF),

@@ -159,6 +159,24 @@ O["search_by_category"] = POSSESSIONS + "SELECT * FROM possessions WHERE categor
 O["search_by_location"] = POSSESSIONS + "SELECT * FROM possessions WHERE location ILIKE '%KITCHEN%'"
 O["search_free_text"] = POSSESSIONS + (
     "SELECT * FROM possessions WHERE name ILIKE '%ring%' OR brand ILIKE '%ring%' OR notes ILIKE '%ring%'")
+O["indexed_search"] = O["search_free_text"]
+
+
+def search_share(fields: tuple[str, ...], pattern: str) -> str:
+    runs = pattern.lower().replace("_", "%").split("%")
+    grams = {run[i:i + 3] for run in runs for i in range(len(run) - 2)}
+    held = " OR ".join("(" + " AND ".join(f"contains(lower({f}), '{g}')" for g in sorted(grams)) + ")" for f in fields) if grams else "TRUE"
+    found = " OR ".join(f"{f} ILIKE '{pattern}'" for f in fields)
+    counts = (("rows", "TRUE"), ("candidates", held), ("found", found))
+    return " UNION ALL ".join(
+        f"SELECT '{pattern}' AS pattern, '{kind}' AS kind, count(*) AS n FROM possessions WHERE {test}" for kind, test in counts)
+
+
+SEARCHES = (
+    (("name", "brand", "notes"), "%ring%"), (("location",), "%KITCHEN%"), (("name",), "%re%green%"), (("notes",), "spare%steel piece"),
+    (("name", "notes"), "%no such text%"), (("brand",), "%#_4%"),
+)
+O["search_shares"] = POSSESSIONS + " UNION ALL ".join(search_share(*s) for s in SEARCHES)
 O["weekly_new_items"] = POSSESSIONS + f"SELECT id, name, category FROM possessions WHERE CAST(created_at AS DATE) {WEEK}"
 
 CONSUMED = """SELECT possession_id, name, event_type, CAST(logged_at AS DATE) AS logged_on
