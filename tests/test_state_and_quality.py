@@ -159,3 +159,26 @@ def test_event_stream_in_several_triggers(spark, tmp_path):
         log = streamed.event_stream(spark, str(tmp_path / "events"), schemas.CONSUMPTION_LOG, recursiveFileLookup="true", maxFilesPerTrigger="1")
         table = streamed.run_to_table(log, state.latest_status, str(tmp_path / "out"))
     assert {r.possession_id: r.event_type for r in table.collect()} == {1: "empty", 2: "low"}
+
+
+def test_old_changes_are_merged_and_not_read_again(spark, tmp_path, monkeypatch):
+    """Every run equals the batch result, whether it merges or reads a base; a run lost before its record changes nothing."""
+    rows = [(1, "opened", 1), (2, "low", 2), (1, "empty", 3), (3, "opened", 4), (2, "empty", 5), (1, "low", 6)]
+    out = str(tmp_path / "out")
+
+    def run(n, every):
+        logged(spark, [(p, e, datetime(2026, 1, 1, h)) for p, e, h in rows[n - 1:n]]).write.mode("overwrite").parquet(str(tmp_path / "events" / f"p{n}"))
+        log = streamed.event_stream(spark, str(tmp_path / "events"), schemas.CONSUMPTION_LOG, recursiveFileLookup="true", maxFilesPerTrigger="1")
+        table = streamed.run_to_table(log, state.latest_status, out, merge_every=every)
+        whole = logged(spark, [(p, e, datetime(2026, 1, 1, h)) for p, e, h in rows[:n]])
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, state.latest_status(whole).collect()))
+        return table
+
+    run(1, 2), run(2, 2)
+    merged = run(3, 2)
+    assert "merged-" in merged.inputFiles()[0] and len({f.rsplit("/", 2)[-2] for f in merged.inputFiles()}) == 1
+    spark.range(5).write.parquet(f"{out}/merged-99")  # left by a run that ended before its record
+    later = run(4, 2)
+    assert "PartitionFilters: [isnotnull(batch" in later._jdf.queryExecution().toString()
+    run(5, 2), run(6, 2)
+    assert spark.read.parquet(f"{out}/merges").count() == 2
