@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 from functools import reduce
 
@@ -83,13 +84,21 @@ def import_exports(
     return Import(accepted, rejected, statistics)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """The rows, written once with their task and place."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return write_and_reload(rows.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+
+
 def with_ids(rows: DataFrame, first_id: int = 1) -> DataFrame:
     """Consecutive ids from ``first_id``.
 
     The rows are written once with their task and place, the counts per task give each task its first id.
     """
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    staged = write_and_reload(rows.withColumns({"_task": F.spark_partition_id(), "_place": place}))
+    return _numbered(_placed(rows), first_id)
+
+
+def _numbered(staged: DataFrame, first_id: int) -> DataFrame:
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged.groupBy("_task").agg(F.count("*").alias("_n"))  # one row per task
     offsets = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -138,8 +147,9 @@ def append_batch(
 ) -> None:
     """Append one batch; running the same batch again replaces all of it, whatever partitions it had.
 
-    The files of a run go to a folder of their own. One small commit record then makes them the batch's rows, so a
-    reader sees either run as a whole and a failed run leaves nothing to see. Ids go on after the highest one given
+    The files of a run go to a folder of their own, whose number no run before it can have had. One small commit record then
+    makes them the batch's rows, so a reader sees either run as a whole, and of a run that ends before its record nothing is
+    ever seen, also after the next one. Ids go on after the highest one given
     out, which the record keeps: the history is not read. With ``keep_ids`` the rows bring theirs, above
     ``highest_id``. A table has one writer at a time. NULLs in required columns and blank partition values raise
     ConstraintError before anything is published.
@@ -147,19 +157,24 @@ def append_batch(
     spark = rows.sparkSession
     past = _commits(spark, path)
     version, last_id = past.agg(F.max("version"), F.max("last_id")).first() if past is not None else (0, 0)
-    version, first_id = (version or 0) + 1, (last_id or 0) + 1
-    batch = rows if keep_ids else with_ids(rows, first_id)
+    # Above all published ones, and by chance apart from those of runs that wrote files but no record.
+    version, last_id = (version or 0) + 1 + secrets.randbelow(1 << 32), last_id or 0
     if "created_at" in schema.fieldNames():
-        batch = batch.withColumn("created_at", as_of)
-    batch = conform(batch, schema)
-    required = [f.name for f in schema.fields if not f.nullable]
+        rows = rows.withColumn("created_at", as_of)
+    batch = conform(rows, schema)
+    numbers = "id" in schema.fieldNames() and not keep_ids
+    if numbers:
+        batch = _placed(batch.drop("id"))
+    required = [f.name for f in schema.fields if not f.nullable and not (numbers and f.name == "id")]
     broken = reduce(Column.__or__, [F.col(c).isNull() for c in required], F.lit(False))
     if partition:
         broken = broken | F.col(partition).isNull() | (F.trim(F.col(partition).cast("string")) == "")
-    highest = F.max("id") if "id" in schema.fieldNames() else F.lit(None).cast("long")
+    highest = F.count("*") + last_id if numbers else F.max("id") if keep_ids and "id" in schema.fieldNames() else F.lit(None).cast("long")
     found = batch.agg(F.count_if(broken), highest).first()
     if found[0]:
         raise ConstraintError(f"{found[0]} rows of batch {batch_id} lack a required value")
+    if numbers:
+        batch = conform(_numbered(batch, last_id + 1), schema)
     keys = ["batch_id", "version"] + ([partition] if partition else [])
     batch = batch.withColumns({"batch_id": F.lit(batch_id), "version": F.lit(version).cast("long")})
     # Splits a partition value that holds most rows into several files, and merges small ones; sorted files let
@@ -170,7 +185,7 @@ def append_batch(
     )
     record = spark.range(1).select(
         F.lit(batch_id).alias("batch_id"), F.lit(version).cast("long").alias("version"),
-        F.lit(max(last_id or 0, found[1] or 0)).cast("long").alias("last_id"))
+        F.lit(max(last_id, found[1] or 0)).cast("long").alias("last_id"))
     record.coalesce(1).write.mode("append").parquet(f"{path}/_commits")
 
 

@@ -139,6 +139,26 @@ def test_rerun_replaces_the_whole_batch(spark, tmp_path):
     assert append("b2") == [("b1", "a", "z")]
 
 
+def test_a_run_that_ends_before_its_record_is_never_seen(spark, tmp_path, monkeypatch):
+    table, day = str(tmp_path / "t"), date(2026, 1, 1)
+
+    def append(batch, *rows):
+        append_batch(purchases(spark, *rows), table, schemas.PURCHASE_HISTORY, batch, now(), partition="source")
+
+    def seen():
+        return sorted((r.batch_id, r.source, r.item_name, r.id) for r in read_table(spark, table, schemas.PURCHASE_HISTORY).collect())
+
+    append("b1", ("a", "x", "JPY", day))
+    with monkeypatch.context() as patch:
+        patch.setattr(spark, "range", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")), raising=False)
+        for item in ("half", "done"):
+            with pytest.raises(RuntimeError):
+                append("b2", ("a", item, "JPY", day), ("b", item, "JPY", day))
+    assert seen() == [("b1", "a", "x", 1)]
+    append("b2", ("a", "y", "JPY", day))
+    assert seen() == [("b1", "a", "x", 1), ("b2", "a", "y", 2)]
+
+
 @pytest.mark.parametrize("row", [("", "x", "JPY", None), (None, "x", "JPY", None), ("a", "x", None, None)])
 def test_append_refuses_blank_sources_and_nulls(spark, tmp_path, row):
     table = str(tmp_path / "t")
