@@ -195,6 +195,24 @@ def newest_batches(spark: SparkSession, path: str) -> DataFrame | None:
     return None if commits is None else commits.groupBy("batch_id").agg(F.max("version").alias("version"))
 
 
+def record_beside(spark: SparkSession, path: str, part: str, batch_id: str, version: int) -> None:
+    """Record that what is kept beside the table in ``part`` is whole for a run of a batch."""
+    record = spark.createDataFrame([(batch_id, version)], "batch_id string, version long")
+    record.coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/{part}_commits")
+
+
+def recorded_beside(spark: SparkSession, path: str, part: str) -> DataFrame | None:
+    """(batch_id, version) of the published batches whose ``part`` is whole; None if there is no such record."""
+    newest = newest_batches(spark, path)
+    try:
+        records = spark.read.schema("batch_id string, version long").parquet(f"{path.rstrip('/')}/{part}_commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if newest is None else newest.join(records, ["batch_id", "version"], "left_semi")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, only: Column | None = None) -> DataFrame | None:
     """The published rows of a table written by ``append_batch``, or None if nothing was published yet. ``only`` restricts
     them, by ``_metadata`` or ``batch_id`` before files are opened."""

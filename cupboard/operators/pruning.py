@@ -11,13 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cupboard.operators.dedupe import COMPOSITE_KEY, ORDER_KEY, is_blank
-from cupboard.operators.load import append_batch, newest_batches, read_table
+from cupboard.operators.load import append_batch, newest_batches, read_table, record_beside, recorded_beside
 from cupboard.session import write_and_reload
 
 HASHES, BITS_PER_KEY, CHUNK_WORDS = 5, 10, 8192
@@ -78,8 +77,11 @@ def _filters(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(build, _FILTERS)
 
 
+PART = "_filters"
+
+
 def _path(path: str) -> str:
-    return f"{path.rstrip('/')}/_filters"
+    return f"{path.rstrip('/')}/{PART}"
 
 
 def _file_name() -> Column:
@@ -90,8 +92,8 @@ def _file_name() -> Column:
 def append_with_filters(
     rows: DataFrame, path: str, schema: T.StructType, batch_id: str, as_of: Column, partition: str | None = None, **options,
 ) -> None:
-    """``append_batch``, then the filters of the files it wrote. Only those files are read. If a run ends in between, the batch
-    has no filters, and its files are always opened until it is run again."""
+    """``append_batch``, then the filters of the files it wrote. Only those files are read. A record follows
+    the filters; if a run ends before it, the batch counts as without filters, and its files are always opened until it is run again."""
     spark = rows.sparkSession
     append_batch(rows, path, schema, batch_id, as_of, partition, **options)
     newest = newest_batches(spark, path).where(F.col("batch_id") == batch_id).first()
@@ -101,6 +103,7 @@ def append_with_filters(
     filters = _filters(written.select(_file_name().alias("file_name"), *COMPOSITE_KEY, "order_id"))
     filters.withColumns({"batch_id": F.lit(batch_id), "version": F.lit(newest["version"])}).write.mode("append").partitionBy(
         "batch_id", "version").parquet(_path(path))
+    record_beside(spark, path, PART, batch_id, newest["version"])
 
 
 def possible_files(spark: SparkSession, path: str, batch: DataFrame, max_keys: int = 2_000_000) -> DataFrame | None:
@@ -109,13 +112,11 @@ def possible_files(spark: SparkSession, path: str, batch: DataFrame, max_keys: i
     The batch's different keys are sent to the filters if there are at most ``max_keys`` (16 MB); a larger batch is met by the
     files whose dates it reaches. Files of batches without filters are not listed.
     """
-    try:
-        table = spark.read.schema(_FILTERS + ", batch_id string, version long").parquet(_path(path))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    whole = recorded_beside(spark, path, PART)
+    if whole is None:
         return None
-    live = table.join(newest_batches(spark, path), ["batch_id", "version"], "left_semi")
+    table = spark.read.schema(_FILTERS + ", batch_id string, version long").parquet(_path(path))
+    live = table.join(whole, ["batch_id", "version"], "left_semi")
     keys = write_and_reload(batch.select("purchase_date", F.inline(_rule_keys())).groupBy("rule", "h").agg(
         F.min("purchase_date").alias("first"), F.max("purchase_date").alias("last")))
     days = keys.where("rule = 'composite'").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")).first()
@@ -166,7 +167,6 @@ def read_matching(spark: SparkSession, path: str, schema: T.StructType, batch: D
         return table
     names = [r["file_name"] for r in files.collect()]
     rows = read_table(spark, path, schema, only=_file_name().isin(names))
-    live = newest_batches(spark, path)
-    covered = live.join(spark.read.parquet(_path(path)).select("batch_id", "version").distinct(), ["batch_id", "version"])
-    bare = [r["batch_id"] for r in live.join(covered, ["batch_id", "version"], "left_anti").collect()]
+    whole = recorded_beside(spark, path, PART)
+    bare = [r["batch_id"] for r in newest_batches(spark, path).join(whole, ["batch_id", "version"], "left_anti").collect()]
     return rows.unionByName(read_table(spark, path, schema, only=F.col("batch_id").isin(bare))) if bare else rows

@@ -10,13 +10,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cupboard.functions.text import like
-from cupboard.operators.load import append_batch, newest_batches, read_table
+from cupboard.operators.load import append_batch, newest_batches, read_table, record_beside, recorded_beside
 from cupboard.session import write_and_reload
 
 # Rows whose ids agree but for their last 16 bits share a list, which bounds it and makes its entries small.
@@ -25,8 +24,11 @@ _LISTS = "gram string, field string, file_name string, block long, places array<
 _STORED = f"{_LISTS}, batch_id string, version long"
 
 
+PART = "_trigrams"
+
+
 def _path(path: str) -> str:
-    return f"{path.rstrip('/')}/_trigrams"
+    return f"{path.rstrip('/')}/{PART}"
 
 
 def _file_name() -> Column:
@@ -57,7 +59,7 @@ def append_with_trigrams(
 ) -> None:
     """``append_batch`` in the order of ids, then the trigram lists of ``fields`` in the files it wrote; only those are read.
 
-    If a run ends in between, the batch has no lists, and its files are always searched until it is run again. Rows without an
+    A record follows the lists. If a run ends before it, the batch counts as without lists, and its files are always searched until it is run again. Rows without an
     id raise ConstraintError.
     """
     spark = rows.sparkSession
@@ -71,6 +73,7 @@ def append_with_trigrams(
     # Sorted, so that a reader of a few trigrams skips most pages of each file.
     lists.sortWithinPartitions("gram", "field").withColumns({"batch_id": F.lit(batch_id), "version": F.lit(newest["version"])}).write.mode(
         "append").partitionBy("batch_id", "version").parquet(_path(path))
+    record_beside(spark, path, PART, batch_id, newest["version"])
 
 
 def pattern_grams(spark: SparkSession, pattern: str) -> list[str]:
@@ -81,14 +84,11 @@ def pattern_grams(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def _live_lists(spark: SparkSession, path: str) -> DataFrame | None:
-    """Lists of the published batches, or None if no batch has any."""
-    try:
-        lists = spark.read.schema(_STORED).parquet(_path(path))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """Lists of the published batches that have whole lists, or None if no batch ever had."""
+    whole = recorded_beside(spark, path, PART)
+    if whole is None:
         return None
-    return lists.join(newest_batches(spark, path), ["batch_id", "version"], "left_semi")
+    return spark.read.schema(_STORED).parquet(_path(path)).join(whole, ["batch_id", "version"], "left_semi")
 
 
 def candidates(spark: SparkSession, path: str, fields: tuple[str, ...], pattern: str) -> DataFrame | None:
@@ -130,7 +130,6 @@ def search(
     if len(ids) <= max_ids:
         only = only & F.col("id").isin(ids)
     rows = read_table(spark, path, schema, only=only)
-    live = newest_batches(spark, path)
-    listed = spark.read.schema(_STORED).parquet(_path(path)).select("batch_id", "version").distinct()
-    bare = [r["batch_id"] for r in live.join(listed, ["batch_id", "version"], "left_anti").collect()]
+    whole = recorded_beside(spark, path, PART)
+    bare = [r["batch_id"] for r in newest_batches(spark, path).join(whole, ["batch_id", "version"], "left_anti").collect()]
     return rows.unionByName(read_table(spark, path, schema, only=F.col("batch_id").isin(bare) & matches)) if bare else rows

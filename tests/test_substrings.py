@@ -90,3 +90,17 @@ def test_new_ids_are_given_without_keep_ids(spark, tmp_path):
         substrings.append_with_trigrams(spark.createDataFrame([(n,) for n in names], "name string"), path, schema, batch, NOW(), ("name",))
     assert sorted(r.name for r in substrings.search(spark, path, schema, ("name",), "%RING").collect()) == ["a ring", "string"]
     assert sorted(r.id for r in read_table(spark, path, schema).collect()) == [1, 2, 3, 4]
+
+
+def test_lists_without_their_record_do_not_count(spark, tmp_path, monkeypatch):
+    """A run that ends while lists are written leaves some of them; the batch is then searched whole."""
+    path, schema = str(tmp_path / "t"), schema_of(spark)
+    rows = spark.createDataFrame([(1, "a ring", None), (2, "string", None)], COLUMNS)
+    substrings.append_with_trigrams(rows, path, schema, "x", NOW(), ("name",), keep_ids=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(substrings, "record_beside", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        patch.setattr(substrings, "_lists", lambda rows, fields, whole=substrings._lists: whole(rows.where("id = 3"), fields))
+        more = spark.createDataFrame([(3, "ringing", None), (4, "rings", None)], COLUMNS)
+        with pytest.raises(RuntimeError):
+            substrings.append_with_trigrams(more, path, schema, "y", NOW(), ("name",), keep_ids=True)
+    assert sorted(r.id for r in substrings.search(spark, path, schema, ("name",), "%ring%").collect()) == [1, 2, 3, 4]
