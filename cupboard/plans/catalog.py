@@ -19,7 +19,7 @@ from cupboard.plans.views import ROW_KEY, VIEWS, Views
 from cupboard.session import scratch_dir, write_and_reload
 from cupboard.sources.scans import content_hash, parse_detections, read_item_lines, read_ocr_results
 from cupboard.streaming import events as streamed
-from cupboard.streaming import stateful
+from cupboard.streaming import cycles, stateful
 
 AS_OF = datetime(2001, 7, 20, 12)
 LOG_AS_OF = datetime(2024, 1, 20, 12)
@@ -645,6 +645,34 @@ def streamed_lifespan_alerts(v: Views) -> DataFrame:
     return stateful.run_to_end(stateful.lifespan_alerts(changes), f"{folder}/out")
 
 
+def _marked(v: Views, marks: tuple[cycles.Mark, ...], learned: bool) -> DataFrame:
+    """Marks that stand at ALERTS_AS_OF by the consumables and the whole log, replayed as a stream."""
+    folder = scratch_dir(v.spark)
+    now = Q.at(ALERTS_AS_OF)
+    owned = v.possessions.filter("is_consumable").select(
+        F.col("id").alias("possession_id"), F.lit(cycles.POSSESSION).alias("change"),
+        F.col("estimated_lifespan_days").cast("int").alias("lifespan_days"), F.lit("2000-01-01").cast("timestamp").alias("at"))
+    logged = v.log.filter(F.col("logged_at") <= now).select(
+        "possession_id", F.col("event_type").alias("change"), F.lit(None).cast("int").alias("lifespan_days"), F.col("logged_at").alias("at"))
+    clock = v.spark.range(1).select(
+        F.lit(-1).cast("long").alias("possession_id"), F.lit("time").alias("change"), F.lit(None).cast("int").alias("lifespan_days"), now.alias("at"))
+    owned.unionByName(logged).unionByName(clock).write.parquet(f"{folder}/in")
+    changes = v.spark.readStream.schema(owned.schema).parquet(f"{folder}/in").withWatermark("at", "0 seconds")
+    return cycles.standing(stateful.run_to_end(cycles.mark_changes(changes, marks, learned), f"{folder}/out"))
+
+
+def streamed_learned_alerts(v: Views) -> DataFrame:
+    """Alerts by learned cycles, from keyed state and timers."""
+    found = _marked(v, (cycles.REPLENISH,), True)
+    return found.select("possession_id", "last_replenished", F.round("cycle_days", 6).alias("cycle_days"), "is_learned")
+
+
+def streamed_due_items(v: Views) -> DataFrame:
+    """What is to be replenished, runs out within a week or has run out, by default lifespans."""
+    found = _marked(v, (cycles.REPLENISH, cycles.DUE_WEEK, cycles.EMPTY), False)
+    return found.select("possession_id", "last_replenished", "marks")
+
+
 # --- quality ----------------------------------------------------------------------------------
 
 def _checked(v: Views) -> dict[str, DataFrame]:
@@ -841,6 +869,8 @@ QUERIES = {
     "streamed_replenishment": streamed_replenishment,
     "streamed_new_by_order_id": streamed_new_by_order_id,
     "streamed_lifespan_alerts": streamed_lifespan_alerts,
+    "streamed_learned_alerts": streamed_learned_alerts,
+    "streamed_due_items": streamed_due_items,
     # quality
     "enum_violations": enum_violations,
     "null_violations": null_violations,

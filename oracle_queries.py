@@ -659,6 +659,25 @@ FROM (SELECT possession_id, CAST(max(logged_at) AS DATE) AS day FROM consumption
     WHERE event_type = 'replaced' AND logged_at <= TIMESTAMP '2024-02-20 12:00:00' GROUP BY possession_id) r JOIN possessions p ON p.id = r.possession_id
 WHERE is_consumable AND estimated_lifespan_days IS NOT NULL
     AND CAST(day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS TIMESTAMP) < TIMESTAMP '2024-02-20 12:00:00'"""
+STREAMED = """
+replenished AS (SELECT p.*, CAST(day AS DATE) AS day FROM possessions p JOIN (
+    SELECT possession_id, max(logged_at) AS day FROM consumption_log
+    WHERE event_type = 'replaced' AND logged_at <= TIMESTAMP '2024-02-20 12:00:00' GROUP BY possession_id) r ON p.id = r.possession_id
+    WHERE is_consumable)"""
+O["streamed_learned_alerts"] = with_views("possessions", "consumption_log", extra=CYCLES.replace(
+    "GROUP BY", "AND a.logged_at <= TIMESTAMP '2024-02-20 12:00:00' AND b.logged_at <= TIMESTAMP '2024-02-20 12:00:00' GROUP BY") + "," + STREAMED) + """
+SELECT id AS possession_id, day AS last_replenished, coalesce(round(cycle_days, 6), CAST(estimated_lifespan_days AS DOUBLE)) AS cycle_days,
+    cycle_days IS NOT NULL AS is_learned
+FROM replenished LEFT JOIN cycles ON id = possession_id
+WHERE CAST(day + CAST(floor(round(coalesce(round(cycle_days, 6), CAST(estimated_lifespan_days AS DOUBLE)) * CAST(0.8 AS DOUBLE), 6)) AS INT) AS TIMESTAMP)
+    <= TIMESTAMP '2024-02-20 12:00:00'"""
+O["streamed_due_items"] = with_views("possessions", "consumption_log", extra=STREAMED + """,
+marked AS (SELECT id, day, concat_ws(',',
+    CASE WHEN CAST(day + CAST(trunc(estimated_lifespan_days * 0.8) AS INT) AS TIMESTAMP) <= TIMESTAMP '2024-02-20 12:00:00' THEN 'replenish' END,
+    CASE WHEN CAST(day + CAST(estimated_lifespan_days AS INT) AS TIMESTAMP) <= TIMESTAMP '2024-02-27 12:00:00' THEN 'due_week' END,
+    CASE WHEN CAST(day + CAST(estimated_lifespan_days AS INT) AS TIMESTAMP) <= TIMESTAMP '2024-02-20 12:00:00' THEN 'empty' END) AS marks
+    FROM replenished)""") + """
+SELECT id AS possession_id, day AS last_replenished, marks FROM marked WHERE marks <> ''"""
 CHECKED = with_views("possessions", "purchases", extra="""
 owned AS (SELECT id, CASE WHEN id % 25 <> 0 THEN name END AS name, CASE WHEN id % 9 = 0 THEN 'gadget' ELSE category END AS category, condition
     FROM possessions),

@@ -1,0 +1,89 @@
+"""Marks kept by a stream against the batch queries at the same time."""
+
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from cupboard.plans import analytics
+from cupboard.streaming import cycles, stateful
+
+START = datetime(2026, 1, 1)
+CHANGE = "possession_id long, change string, lifespan_days int, at timestamp"
+
+
+def given(spark, folder, rows, marks, learned):
+    spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(CHANGE).parquet(f"{folder}/in").withWatermark("at", "0 seconds")
+    return stateful.run_to_end(cycles.mark_changes(stream, marks, learned), f"{folder}/out")
+
+
+def batch(spark, owned, log, now):
+    """Possessions and log as the batch queries take them, up to ``now``."""
+    events = [(p, kind, at) for p, kind, at in log if at <= now]
+    last = {}
+    for p, kind, at in events:
+        if kind == "replaced":
+            last[p] = max(last.get(p, at), at)
+    rows = [(p, f"n{p}", None, days, last[p].date() if p in last else None, True) for p, days in owned.items()]
+    possessions = spark.createDataFrame(rows, "id long, name string, brand string, estimated_lifespan_days int, last_replenished date, is_consumable boolean")
+    return possessions, spark.createDataFrame(events, "possession_id long, event_type string, logged_at timestamp")
+
+
+def test_learned_alerts_equal_the_batch_at_every_time(spark, tmp_path):
+    """Events arrive in three parts, each in any order; some possessions have no lifespan, some no openings, some are unknown."""
+    draw = random.Random(4)
+    owned = {p: (None if p % 4 == 0 else draw.randrange(2, 30)) for p in range(12)}
+    ends = [START + timedelta(days=d, hours=12) for d in (20, 45, 60)]
+    log = []
+    for p in range(14):
+        for _ in range(draw.randrange(0, 18)):
+            at = START + timedelta(days=draw.randrange(60), hours=draw.choice([0, 0, 12]))
+            kinds = ["empty", "replaced", "low"] if p % 5 == 1 else ["opened", "opened", "empty", "replaced", "low"]
+            log.append((p, draw.choice(kinds), at))
+    parts, begin = [], START - timedelta(days=1)
+    for end in ends:
+        part = [(p, kind, None, at) for p, kind, at in log if begin < at <= end]
+        draw.shuffle(part)
+        parts.append(part + [(-1, "time", None, end)])
+        begin = end
+    parts[0] += [(p, cycles.POSSESSION, days, START) for p, days in owned.items()]
+    for part, now in zip(parts, ends):
+        got = cycles.standing(given(spark, tmp_path, part, (cycles.REPLENISH,), True))
+        want = analytics.replenish_forecast_learned(*batch(spark, owned, log, now), now)
+        rows = got.select("possession_id", "cycle_days", "is_learned").collect()
+        assert sorted(map(tuple, rows)) == sorted((r.id, r.cycle_days, r.is_learned) for r in want.collect())
+        assert any(r.is_learned for r in rows) and any(not r.is_learned for r in rows)
+
+
+def test_each_change_is_told_once(spark, tmp_path):
+    marks = (cycles.REPLENISH, cycles.DUE_WEEK, cycles.EMPTY)
+
+    def day(n, hour=0):
+        return START + timedelta(days=n, hours=hour)
+
+    def rows(part):
+        got = given(spark, tmp_path, part, marks, False).collect()
+        return sorted((r.possession_id, r.changed_at, r.marks, (r.last_replenished - START.date()).days) for r in got)
+
+    first = rows([(1, cycles.POSSESSION, 10, day(0)), (1, "replaced", None, day(0, 6)), (1, "replaced", None, day(0, 7)), (2, "replaced", None, day(0)),
+                  (3, cycles.POSSESSION, 40, day(0)), (3, "replaced", None, day(1)), (-1, "time", None, day(9))])
+    assert first == [(1, day(3), "due_week", 0), (1, day(8), "replenish,due_week", 0)]
+    second = rows([(1, "replaced", None, day(12, 5)), (2, cycles.POSSESSION, 12, day(10)), (-1, "time", None, day(14))])
+    assert second == sorted([
+        *first, (1, day(10), "replenish,due_week,empty", 0), (1, day(12, 5), "", 12),
+        *[r for r in second if r[0] == 2]])
+    # The second one became known when the watermark was at day 9: what stands by then is told at once.
+    assert [r[2] for r in second if r[0] == 2] == ["replenish,due_week", "replenish,due_week,empty"]
+    assert rows([(-1, "time", None, day(15))]) == sorted([*second, (1, day(15), "due_week", 12)])
+
+
+def test_no_marks_without_lifespan_or_replenishment_and_empty_streams(spark, tmp_path):
+    none = given(spark, tmp_path / "a", [(1, cycles.POSSESSION, None, START), (1, "replaced", None, START), (2, cycles.POSSESSION, 1, START),
+                                         (None, None, None, START + timedelta(days=90))], (cycles.REPLENISH,), True)
+    assert none.count() == 0 and cycles.standing(none).count() == 0
+    # Equal instants are no pair; a thousand equal events are as many pairs.
+    rows = [(1, cycles.POSSESSION, 5, START)] + [(1, "opened", None, START)] * 1000 + [(1, "empty", None, START)]
+    rows += [(1, "replaced", None, START + timedelta(days=4)), (-1, "time", None, START + timedelta(days=50))]
+    got = given(spark, tmp_path / "b", rows, (cycles.REPLENISH,), True).where(F.col("marks") != "").collect()
+    assert [(r.cycle_days, r.is_learned, r.changed_at) for r in got] == [(4.0, True, START + timedelta(days=7))]
