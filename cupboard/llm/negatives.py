@@ -26,6 +26,8 @@ from .vectors import matrix, of_usual_length, scaled, usable
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 _NO_ID = MOST  # a NULL id counts as the largest
+# Numbers of the vectors a block holds, and of the sample, at most: wide vectors come in smaller blocks.
+BLOCK_NUMBERS, SAMPLE_NUMBERS = 1 << 22, 1 << 20
 
 QUERY = "anchor long, id long, label long, x array<long>, low array<long>, high array<long>"
 _SENT = "block long, kind int, anchor long, id long, label long, x array<long>, low array<long>, high array<long>, floors array<long>"
@@ -157,7 +159,8 @@ def mined(embeddings: DataFrame, anchor: Column, positives: int = 5, negatives:
 
     Rows with a NULL label or vector, an entry that is NULL or not finite, an empty vector, or another length than most
     distinct rows have, take no part. Rows equal in id, label and vector are one row; a NULL id counts as the largest.
-    Empty tables give no rows; other columns are ignored. A task holds a block of at most about ``block_rows`` vectors.
+    Empty tables give no rows; other columns are ignored. A task holds a block of at most about ``block_rows`` vectors and
+    ``BLOCK_NUMBERS`` numbers, whatever the length of the vectors; the broadcast sample is bounded likewise.
     """
     spark = embeddings.sparkSession
     whole = embeddings.where(F.col("label").isNotNull() & usable(F.col("embedding")))
@@ -171,7 +174,8 @@ def mined(embeddings: DataFrame, anchor: Column, positives: int = 5, negatives:
         return spark.createDataFrame([], RESULT)
     first = F.row_number().over(Window.partitionBy("label", "x").orderBy("id"))
     useful = write_and_reload(rows.select("id", "label", "x", first.alias("nth")).where(F.col("nth") <= max(positives + 1, negatives)).drop("nth"))
-    index = Index(useful, d, useful.count(), sample_rows, cell_rows, block_rows)
+    sample_rows, block_rows = max(1, min(sample_rows, SAMPLE_NUMBERS // d)), max(1, min(block_rows, BLOCK_NUMBERS // d))
+    index = Index(useful, d, useful.count(), sample_rows, min(cell_rows, block_rows), block_rows)
 
     anywhere = anchors.withColumns({"low": F.array(F.lit(LEAST)), "high": F.array(F.lit(MOST))})
     best = write_and_reload(index.search(anywhere, positives, True))

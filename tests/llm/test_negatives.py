@@ -87,6 +87,21 @@ def test_mined_rows_against_brute_force(spark, sizes):
     assert len(want) > 500 and sorted(map(tuple, got), key=repr) == want
 
 
+def test_wide_vectors_come_in_smaller_blocks(spark, monkeypatch):
+    """Blocks and sample are bounded in numbers too; the result stays the same."""
+    monkeypatch.setattr(negatives, "BLOCK_NUMBERS", 1_000)
+    monkeypatch.setattr(negatives, "SAMPLE_NUMBERS", 900)
+    built = []
+    index = negatives.Index
+    monkeypatch.setattr(negatives, "Index", lambda rows, d, n, *sizes: built.append((d, *sizes)) or index(rows, d, n, *sizes))
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in rng.integers(-3, 5, 30)], int(rng.integers(0, 3))) for i in range(120)]
+    got = negatives.mined(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0).collect()
+    want = brute(rows, lambda i: i % 10 == 0)
+    assert built == [(30, 30, 33, 33)]
+    assert len(want) > 100 and sorted(map(tuple, got), key=repr) == want
+
+
 def test_other_lengths_one_label_and_empty_tables(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [3.0], 1), (3, [], 0), (100, [2.0, 2.0], 1)], SCHEMA)
     assert negatives.mined(frame, F.col("vec_id") % 100 == 0).count() == 0  # no other label
