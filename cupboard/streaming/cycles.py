@@ -112,9 +112,8 @@ class _Marks(StatefulProcessor):
 
     def _wait(self, day: int, instants: dict[int, list]) -> None:
         """The events of a day that wait for the watermark, with those that waited before."""
-        if self.waiting.containsKey((day,)):
-            for row in zip(*self.waiting.getValue((day,))):
-                self._add(instants, *row)
+        for row in zip(*(self.waiting.getValue((day,)) or ())):
+            self._add(instants, *row)
         self.waiting.updateValue((day,), ([*instants], *([h[k] for h in instants.values()] for k in range(3))))
 
     def _advance(self, key, facts: _Facts, watermark: int) -> Iterator[pd.DataFrame]:
