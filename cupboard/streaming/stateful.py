@@ -22,45 +22,59 @@ def keep_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class _FirstRow(StatefulProcessor):
-    """Lets the first row of a key pass, once. Of the rows that arrive together it is the smallest by ``order``."""
+class _FirstRows(StatefulProcessor):
+    """Lets the first row of each order key of a bucket pass, once. Of the rows that arrive together it is the smallest by ``order``."""
 
     def __init__(self, order: list[str], columns: list[str]):
         self.order, self.columns = order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getValueState("taken", "taken boolean")
+        self.taken = handle.getMapState("taken", ", ".join(f"{c} string" for c in ORDER_KEY), "taken boolean")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.taken.update((True,))
+        for order in _order_keys(initialState):
+            self.taken.updateValue(order, (True,))
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.taken.exists():
-            return
-        first = None  # one row, however many the key has
+        firsts = None  # one row a key, however many the key has
         for frame in rows:
-            frame = frame if first is None else pd.concat([first, frame])
-            first = frame.sort_values(self.order, kind="stable").head(1)
-        if first is not None:
-            self.taken.update((True,))
-            yield first[self.columns]
+            frame = frame if firsts is None else pd.concat([firsts, frame])
+            firsts = frame.sort_values(self.order, kind="stable").drop_duplicates([*ORDER_KEY])
+        if firsts is None:
+            return
+        if self.taken.exists():
+            firsts = firsts[[not self.taken.containsKey(order) for order in _order_keys(firsts)]]
+        for order in _order_keys(firsts):
+            self.taken.updateValue(order, (True,))
+        if len(firsts):
+            yield firsts[self.columns]
 
     def close(self) -> None:
         pass
 
 
-def first_orders(rows: DataFrame, order: list[str], stored: DataFrame | None = None) -> DataFrame:
+def _order_keys(frame: pd.DataFrame) -> list[tuple]:
+    return [*zip(*(frame[c] for c in ORDER_KEY))]
+
+
+def _by_bucket(rows: DataFrame, buckets: int):
+    """Calling the processor costs far more than looking up a key, so one call takes the keys of a bucket."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*ORDER_KEY), F.lit(buckets))).groupBy("_bucket")
+
+
+def first_orders(rows: DataFrame, order: list[str], stored: DataFrame | None = None, buckets: int = 4096) -> DataFrame:
     """Of a stream of purchases, those that the order-id rule accepts: the first row of each (source, order id) that
     neither came before nor is in ``stored``; rows without an order id all pass.
 
-    The keys seen are state of the stream, so no trigger reads the table. ``stored`` is read once, when the query first
-    starts; a restart goes on from the checkpoint, and a replayed trigger gives the same rows.
+    The keys seen are state of the stream, so no trigger reads the table: a trigger looks up its own keys only. ``stored`` is
+    read once, when the query first starts; a restart goes on from the checkpoint, and a replayed trigger gives the same rows.
+    The number of ``buckets`` stays for the life of a checkpoint; one task holds a bucket's new keys at a time.
     """
     keep_state(rows.sparkSession)
-    with_id = rows.filter(~is_blank("order_id")).groupBy(*ORDER_KEY)
-    seen = None if stored is None else stored.filter(~is_blank("order_id")).select(*ORDER_KEY).distinct().groupBy(*ORDER_KEY)
+    with_id = _by_bucket(rows.filter(~is_blank("order_id")), buckets)
+    seen = None if stored is None else _by_bucket(stored.filter(~is_blank("order_id")).select(*ORDER_KEY).distinct(), buckets)
     firsts = with_id.transformWithStateInPandas(
-        _FirstRow(order, rows.columns), rows.schema, outputMode="Append", timeMode="None", initialState=seen)
+        _FirstRows(order, rows.columns), rows.schema, outputMode="Append", timeMode="None", initialState=seen)
     return firsts.unionByName(rows.filter(is_blank("order_id")))
 
 

@@ -27,6 +27,24 @@ def test_first_orders_over_triggers_restarts_and_replays(spark, tmp_path):
             assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_first_orders_share_a_call_by_bucket(spark, tmp_path):
+    """Many orders go through few calls; each is still looked up on its own, also without a source and after a restart."""
+    rows = [(n * 7 % 300, [None, "s", "t"][n % 3], "a", float(n), f"o{n * 7 % 300 // 4}") for n in range(300)]
+    stored = spark.createDataFrame([(0, s, "old", 1.0, f"o{k}") for k in range(0, 75, 5) for s in ("s", None)], ROWS)
+    for buckets in (1, 5):
+        path, seen = tmp_path / str(buckets), []
+        for part in (rows[:200], rows[200:]):
+            spark.createDataFrame(part, ROWS).coalesce(1).write.mode("append").parquet(str(path / "in"))
+            stream = spark.readStream.schema(ROWS).parquet(str(path / "in"))
+            got = stateful.run_to_end(stateful.first_orders(stream, ["rn"], stored, buckets), str(path / "out"))
+            taken = {(r[1], r[4]) for r in seen} | {(r.source, r.order_id) for r in stored.collect()}
+            for row in sorted(part, key=lambda r: r[0]):
+                if (row[1], row[4]) not in taken:
+                    taken.add((row[1], row[4]))
+                    seen.append(row)
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, seen))
+
+
 def run(spark, folder, rows):
     schema = "possession_id long, lifespan_days int, replenished_at timestamp, seen_at timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
