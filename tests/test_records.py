@@ -114,3 +114,20 @@ def test_no_path_list_reaches_a_reader(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(DataFrameReader, name, lambda self, path, *a, _real=real, **k: (asked.append(path), _real(self, path, *a, **k))[1])
     done = import_exports(spark, str(tmp_path), None, registry_importer(registry.FORMATS, registry.SYMBOLS))
     assert done.accepted.count() == 2 and set(asked) == {str(tmp_path)}
+
+
+def test_one_row_a_file_moves_no_lines(spark, tmp_path):
+    """Lines are counted by hash, not sorted, and the records stay where they are when they meet their file's first one."""
+    for i in range(2):
+        (tmp_path / f"{i}.csv").write_text("Order Date,Title\n" + "".join(f'2026-01-01,"line {i}\n{n} {n * 7919}"\n' for n in range(3000)))
+    plan = profile_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        lines = raw_lines(spark, str(tmp_path), lineSep="\n").withColumn("text", F.col("value")).drop("value")
+        records = cut_records(lines, F.lit("\n"))
+        assert records.count() == 6002 and records.where("is_first").count() == 2
+        assert "SortMergeJoin" not in records._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
