@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cupboard.operators import pruning, rollups
 from cupboard.operators.dedupe import accept_new
-from cupboard.operators.load import append_batch, read_table
+from cupboard.operators.load import append_batch, read_table, with_ids
 from cupboard.plans import analytics as Q
 from cupboard.schemas import PURCHASE_HISTORY
 
@@ -115,3 +115,27 @@ def test_sums_follow_appends_and_reruns_and_no_history_is_read(spark, tmp_path,
         rollups.append_with_sums(whole, path, "c", NOW())
     assert rollups.read_sums(spark, path).agg(F.sum("n")).first()[0] == 110
     assert read_table(spark, path, PURCHASE_HISTORY).count() == 110
+
+
+def test_numbering_does_not_move_the_rows(spark):
+    """Each task's first id comes to the rows, however large the planner takes the counts for."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = with_ids(spark.range(1000, numPartitions=5).withColumnRenamed("id", "n"), 7)
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in rows.collect()) == list(range(7, 1007))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_of_one_folder_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    """Only a partitioned table deals its rows out again before it writes them."""
+    dealt = []
+    hint = type(spark.range(1)).hint
+    monkeypatch.setattr(type(spark.range(1)), "hint", lambda self, name, *args: (dealt.append(name), hint(self, name, *args))[1])
+    rows = spark.range(100).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("item_name"), F.lit("JPY").alias("currency"))
+    for partition, expected in ((None, []), ("source", ["rebalance"])):
+        path = str(tmp_path / str(partition))
+        append_batch(rows, path, PURCHASE_HISTORY, "b", F.lit(datetime(2026, 1, 1)), partition)
+        assert dealt == expected and read_table(spark, path, PURCHASE_HISTORY).count() == 100
