@@ -133,7 +133,9 @@ def fit(rows: DataFrame, overall: float, max_rows: int | None = None, precision:
     half as many of each label are taken (those with the smallest hashes), weighted by how many there are of the label."""
     labelled = rows.where("label is not null").select("host", "path", "label", "fold", *FEATURES)
     once = labelled.withColumn("nth", F.row_number().over(Window.partitionBy("host", "path").orderBy(*FEATURES))).where("nth = 1")
-    chosen = write_and_reload(once.select("host", "path", "label", "fold", *FEATURES))
+    # In a fixed order: sums of the same rows in another order could choose another of two equal splits.
+    ordered = once.orderBy("label", F.xxhash64("host", "path"), "host", "path")
+    chosen = write_and_reload(ordered.select("host", "path", "label", "fold", *FEATURES))
     counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}  # two labels
     if len(counts) < 2:
         return None
