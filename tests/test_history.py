@@ -129,13 +129,13 @@ def test_numbering_does_not_move_the_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_batches_of_one_folder_are_written_where_they_are(spark, tmp_path, monkeypatch):
-    """Only a partitioned table deals its rows out again before it writes them."""
+def test_batches_written_where_they_are(spark, tmp_path, monkeypatch):
+    """A batch is dealt out again before it is written, unless its rows come in good parts."""
     dealt = []
     hint = type(spark.range(1)).hint
     monkeypatch.setattr(type(spark.range(1)), "hint", lambda self, name, *args: (dealt.append(name), hint(self, name, *args))[1])
     rows = spark.range(100).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("item_name"), F.lit("JPY").alias("currency"))
-    for partition, expected in ((None, []), ("source", ["rebalance"])):
-        path = str(tmp_path / str(partition))
-        append_batch(rows, path, PURCHASE_HISTORY, "b", F.lit(datetime(2026, 1, 1)), partition)
+    for in_place, expected in ((True, []), (False, ["rebalance"])):
+        path = str(tmp_path / str(in_place))
+        append_batch(rows, path, PURCHASE_HISTORY, "b", F.lit(datetime(2026, 1, 1)), in_place=in_place)
         assert dealt == expected and read_table(spark, path, PURCHASE_HISTORY).count() == 100
