@@ -46,3 +46,15 @@ def test_rows_are_put_in_order_once_for_all_layouts(spark, tmp_path, monkeypatch
             assert [r.item or "" for r in got] == mine
             assert len({r.file_path for r in got}) > 1
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_purchases_of_several_batches_are_joined_once(spark, tmp_path, monkeypatch):
+    from cupboard.operators import load
+    from cupboard.plans import catalog
+
+    views, plans = tables(spark, tmp_path), []
+    append = load.append_batch
+    monkeypatch.setattr(load, "append_batch", lambda rows, *rest, **named: (
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), append(rows, *rest, **named))[1])
+    assert sum(r.n for r in catalog.appended_purchases(views).collect()) == views.purchases.count()
+    assert len(plans) == 3 and not any("Join" in plan for plan in plans)
