@@ -87,3 +87,23 @@ def test_no_marks_without_lifespan_or_replenishment_and_empty_streams(spark, tmp
     rows += [(1, "replaced", None, START + timedelta(days=4)), (-1, "time", None, START + timedelta(days=50))]
     got = given(spark, tmp_path / "b", rows, (cycles.REPLENISH,), True).where(F.col("marks") != "").collect()
     assert [(r.cycle_days, r.is_learned, r.changed_at) for r in got] == [(4.0, True, START + timedelta(days=7))]
+
+
+def test_possessions_of_a_bucket_share_calls_and_change_no_row(spark, tmp_path, monkeypatch):
+    """One bucket or many, in two triggers: the same rows, a possession without an id and large ids included; a bucket's
+    facts are one value of the store."""
+    big = 2**60 + 1
+    possessions = [None, big, *range(30)]
+    first = [(p, cycles.POSSESSION, 5 + i % 7, START) for i, p in enumerate(possessions)]
+    first += [(p, kind, None, START + timedelta(days=i % 5, hours=h)) for i, p in enumerate(possessions) for kind, h in (("opened", 1), ("empty", 30), ("replaced", 40))]
+    first += [(-1, "time", None, START + timedelta(days=9))]
+    second = [(p, "replaced", None, START + timedelta(days=10)) for p in possessions[::2]] + [(-1, "time", None, START + timedelta(days=25))]
+    got = []
+    for buckets in (1, 50):
+        monkeypatch.setattr(cycles.mark_changes, "__defaults__", (*cycles.mark_changes.__defaults__[:-1], buckets))
+        folder = tmp_path / str(buckets)
+        for part in (first, second):
+            rows = given(spark, folder, part, (cycles.REPLENISH, cycles.EMPTY), True)
+        got.append(sorted(map(str, rows.collect())))
+    assert got[0] == got[1] and len(got[0]) > 2 * len(possessions)
+    assert any(f"possession_id={big}," in row for row in got[0]) and any("possession_id=None," in row for row in got[0])
