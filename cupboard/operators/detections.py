@@ -75,29 +75,32 @@ def consolidate_similar(items: DataFrame, sessions: DataFrame, share: str = "0.2
 
     The spelling used is one whose words are said in the session's audio, else the most frequent, else the last in
     alphabetical order; ``n_names`` counts the different names that went into the row. NULL categories are one.
+    Items without a session are left out.
     """
-    seen = items.groupBy("session_id", "name", "category", "condition", "location").agg(
+    seen = items.where("session_id IS NOT NULL").groupBy("session_id", "name", "category", "condition", "location").agg(
         F.count("*").alias("n"), F.min("frame").alias("frame"))
     keyed = seen.withColumns({
         "name_key": normal_form(F.col("name")), "location_key": normal_form(F.col("location")),
         "category_key": F.coalesce("category", F.lit("")), "category": F.col("category")})
-    spelled = write_and_reload(
-        keyed.groupBy("session_id", "category_key", "location_key", "name_key", "name").agg(
-            F.max(F.length("name_key")).alias("key_length"), F.sum("n").alias("n"), F.min("location").alias("location"),
-            F.min("category").alias("category"), F.min(F.struct("frame", "condition")).alias("first_seen"))
-        .filter("key_length > 0"))
     group = ("session_id", "category_key", "location_key")
-    names = spelled.select(*group, "name_key").distinct().select(*group, F.col("name_key").alias("name"))
-    names = write_and_reload(names.withColumn("id", F.monotonically_increasing_id()))
-    roots = write_and_reload(connected_names(names, group, share)).withColumnRenamed("name", "name_key")
-    said = spoken_names(spelled.select("session_id", "name_key"), sessions).withColumn("said", F.lit(True))
-    joined = spelled.join(roots, [*group, "name_key"]).join(said, ["session_id", "name_key"], "left")
+    # Dealt out once for both groupings; equal detections are one row by now.
+    spelled = keyed.repartition(*group, "name_key").groupBy(*group, "name_key", "name").agg(
+        F.max(F.length("name_key")).alias("key_length"), F.sum("n").alias("n"), F.min("location").alias("location"),
+        F.min("category").alias("category"), F.min(F.struct("frame", "condition")).alias("first_seen")).filter("key_length > 0")
+    # Audio says a name or not, however it is spelled: what the names bring to a row is settled name by name.
+    keys = write_and_reload(spelled.groupBy(*group, "name_key").agg(
+        F.max(F.struct("n", "name")).alias("best"), F.sum("n").alias("n"), F.min("location").alias("location"),
+        F.min("category").alias("category"), F.min("first_seen").alias("first_seen"),
+    ).withColumn("id", F.monotonically_increasing_id()))
+    roots = connected_names(keys.select("id", *group, F.col("name_key").alias("name")), group, share).select("id", "root")
+    said = spoken_names(keys.select("session_id", "name_key"), sessions).withColumn("said", F.lit(True))
+    joined = keys.join(roots, "id").join(said, ["session_id", "name_key"], "left")
     marked = joined.withColumn("said", F.coalesce("said", F.lit(False)))
     return marked.groupBy("session_id", "root").agg(
-        F.max(F.struct("said", "n", "name")).getField("name").alias("name"),
+        F.max(F.struct("said", "best")).getField("best").getField("name").alias("name"),
         F.min("category").alias("category"), F.min("location").alias("location"),
         F.min("first_seen").getField("condition").alias("condition"),
-        F.sum("n").alias("frames"), F.max("said").alias("from_audio"), F.countDistinct("name_key").alias("n_names"),
+        F.sum("n").alias("frames"), F.max("said").alias("from_audio"), F.count("*").alias("n_names"),
     ).drop("root")
 
 

@@ -72,3 +72,33 @@ def test_misread_names_become_one_item(spark):
     rows = sorted((r.session_id, r.name, r.category or "", r.frames, r.from_audio, r.n_names, r.condition) for r in consolidate_similar(items, sessions).collect())
     assert rows == [(1, "Desk lamp", "", 1, False, 1, "good"), (1, "WH 1000XM4", "other", 1, False, 1, "good"), (1, "WH 1000XM5", "other", 1, False, 1, "good"),
                     (1, "desk lamps", "other", 4, True, 3, "good"), (2, "desk lamp", "other", 1, False, 1, "good")]
+
+
+@pytest.mark.parametrize("few", [1, 3, 128])
+def test_few_and_many_names_are_connected_alike(spark, few):
+    """Names of small groups are compared directly, those of large ones by bigrams; letters beyond the BMP included."""
+    rng = random.Random(8)
+    words = ["ab", "mug", "wh 1000", "résumé holder", "a lamp 😀😀", "banana bananas"]
+    names = sorted({(rng.choice("xyz"), rng.choice("uv"), typo(rng, rng.choice(words))) for _ in range(120)})
+    rows = [(i, *name) for i, name in enumerate(names)]
+    frame = spark.createDataFrame(rows, "id long, g string, h string, name string")
+    want = {(i, j) for i, *g, n in rows for j, *h, m in rows if i < j and g == h and digits(n) == digits(m)
+            and 5 * distance(n, m) <= max(len(n), len(m))}
+    assert sorted(map(tuple, similar_pairs(frame, ("g", "h"), few=few).collect())) == sorted(want)
+    root = {i: i for i, *_ in rows}
+    for _ in rows:
+        for i, j in want:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {r.id: r.root for r in connected_names(frame, ("g", "h"), few=few).collect()} == root
+
+
+def test_few_names_take_no_rounds_and_no_bigrams(spark, monkeypatch):
+    from cupboard.operators import similar
+
+    def refuse(*_):
+        raise AssertionError("names that meet in one place need neither")
+
+    monkeypatch.setattr(similar, "smallest_reachable", refuse)
+    monkeypatch.setattr(similar, "_bigrams", refuse)
+    frame = spark.createDataFrame([(1, "g", "desk lamp"), (2, "g", "desk lanp"), (3, "g", "desk lamps"), (4, "h", "desk lamp")], "id long, g string, name string")
+    assert {r.id: r.root for r in connected_names(frame, ("g",)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
