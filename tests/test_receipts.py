@@ -149,3 +149,19 @@ def test_detections(spark):
     rows = {r.location: r for r in consolidate(items, sessions).collect()}
     assert rows["Desk"].name == " sony  wh" and rows["Desk"].frames == 2 and rows["Desk"].condition == "good"
     assert rows["shelf"].frames == 1 and not rows["shelf"].from_audio
+
+
+def test_stored_scans_come_from_the_extracted_ones(spark, monkeypatch):
+    """The texts are made and hashed once: the scans stored before are rows of the written table."""
+    from cupboard.plans import catalog
+
+    rows = [(1, "a", "x\nRice ¥120\nno day printed\nBALANCE", ["50"], "h1"), (2, "b", "x\nTea ¥300", ["50"], "h2"), (3, "c", "x\nTea ¥300\nno day printed", ["50"], "h3")]
+    calls = []
+
+    def scans(_):
+        calls.append(1)
+        return spark.createDataFrame(rows, "row_id long, image_path string, ocr_text string, confidences array<string>, image_hash string")
+
+    monkeypatch.setattr(catalog, "_scans", scans)
+    assert [tuple(r) for r in catalog.new_receipts(None).collect()] == [("b", "h2")]
+    assert len(calls) == 1
