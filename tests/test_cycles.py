@@ -105,5 +105,18 @@ def test_possessions_of_a_bucket_share_calls_and_change_no_row(spark, tmp_path,
         for part in (first, second):
             rows = given(spark, folder, part, (cycles.REPLENISH, cycles.EMPTY), True)
         got.append(sorted(map(str, rows.collect())))
+        kept = spark.read.format("statestore").option("stateVarName", "facts").load(f"{folder}/out/checkpoint").count()
+        assert 0 < kept <= buckets
     assert got[0] == got[1] and len(got[0]) > 2 * len(possessions)
     assert any(f"possession_id={big}," in row for row in got[0]) and any("possession_id=None," in row for row in got[0])
+
+
+def test_events_without_a_possession_change_no_other(spark, tmp_path):
+    log = [(p, kind, START + timedelta(days=d)) for p in range(40) for kind, d in (("opened", 0), ("empty", 4 + p % 3), ("replaced", 5))]
+    owned = {p: 30 for p in range(40)}
+    now = START + timedelta(days=20)
+    nobody = [(None, kind, None, START + timedelta(days=d, hours=h)) for d in range(6) for h in range(9) for kind in ("opened", "empty", "replaced")]
+    rows = [(p, cycles.POSSESSION, days, START) for p, days in owned.items()] + [(p, kind, None, at) for p, kind, at in log]
+    got = cycles.standing(given(spark, tmp_path, rows + nobody + [(-1, "time", None, now)], (cycles.REPLENISH,), True))
+    want = analytics.replenish_forecast_learned(*batch(spark, owned, log, now), now)
+    assert sorted((r.possession_id, r.cycle_days) for r in got.collect()) == sorted((r.id, r.cycle_days) for r in want.collect())
