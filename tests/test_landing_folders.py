@@ -58,3 +58,18 @@ def test_purchases_of_several_batches_are_joined_once(spark, tmp_path, monkeypat
         plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), append(rows, *rest, **named))[1])
     assert sum(r.n for r in catalog.appended_purchases(views).collect()) == views.purchases.count()
     assert len(plans) == 3 and not any("Join" in plan for plan in plans)
+
+
+def test_folders_are_compressed_and_purchases_not_written_apart(spark, tmp_path):
+    from pathlib import Path
+
+    views = tables(spark, tmp_path / "in")
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
+    for write in (exports.landing_folder, exports.mixed_folder, exports.other_shop_folder, exports.short_row_folder):
+        folder = write(views).removesuffix("/*")
+        files = [f for f in Path(folder).glob("*/part-*") if f.parent.name != "j-empty"]
+        assert files and all(f.name.endswith(".csv.gz") for f in files)
+        new = set(scratch.iterdir()) - before
+        assert new == {Path(folder)}
+        before |= new
