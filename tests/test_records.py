@@ -131,3 +131,20 @@ def test_one_row_a_file_moves_no_lines(spark, tmp_path):
         assert "SortMergeJoin" not in records._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_lines_with_quotes_are_grouped(spark, tmp_path, monkeypatch):
+    """Lines without quotes stay where they are, unless some in their block may lie inside quotes."""
+    from cupboard.sources import records as module
+
+    written, write = {}, module.write_and_reload
+    monkeypatch.setattr(module, "write_and_reload", lambda df, path: written.setdefault(path.rsplit("/", 1)[-1], write(df, path)))
+    body = [f"{n},plain" if n % 100 else f'{n},"2""\nlong"' for n in range(1, 1001)]
+    (tmp_path / "pairs.csv").write_text("\n".join(["id,item", *body]))
+    (tmp_path / "inner.csv").write_text('id,item\n1,"a\nb, no quote here\nc"\n2,d\n3,"e"\n4,"open\nto the end\nf')
+    got, _ = cut(spark, tmp_path)
+    assert [cells for _, cells in got["pairs.csv"]] == by_stream("\n".join(["id,item", *body]))
+    assert [cells for _, cells in got["inner.csv"]] == [
+        ["id", "item"], ["1", "a\nb, no quote here\nc"], ["2", "d"], ["3", "e"], ["4", "open\nto the end\nf"]]
+    assert written["states"].where("file_path LIKE '%pairs.csv'").count() == 20
+    assert written["records"].where("file_path LIKE '%pairs.csv'").count() == 10
