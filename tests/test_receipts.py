@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from cupboard.functions import receipt_text as R
 from cupboard.operators.receipts import accept_scans, extract, fan_out, load_receipts, read_receipts
 from cupboard.sources.scans import parse_detections, read_images, read_item_lines, read_ocr_results
 from cupboard.operators.detections import consolidate
@@ -165,3 +166,29 @@ def test_stored_scans_come_from_the_extracted_ones(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_scans", scans)
     assert [tuple(r) for r in catalog.new_receipts(None).collect()] == [("b", "h2")]
     assert len(calls) == 1
+
+
+def test_every_pattern_is_searched_once(spark):
+    """A value that is named twice inside array functions is computed twice; nothing costly is."""
+    rows = spark.createDataFrame([("Tea 1.20 円", ["5", "x", "0", "7"])], "line string, confidences array<string>")
+
+    def searches(column, name):
+        return rows.select(column.alias("v"))._jdf.queryExecution().analyzed().toString().lower().count(name)
+
+    line = F.col("line")
+    assert searches(R.line_price(line), "regexp_extract_all(") == len(R.PRICES)
+    assert searches(R.priced_lines(F.array(line)), "regexp_extract_all(") == len(R.PRICES)
+    assert searches(R.mean_confidence(F.col("confidences")), "rlike") == 1
+    assert searches(R.date_text(line), "rlike") == 7  # of digits alone, none of a date pattern
+    assert rows.select(R.mean_confidence(F.col("confidences"))).first()[0] == 6.0
+
+
+def test_prices_dates_and_total_words_as_before(values):
+    lines = {"￥1,200 円": 1200.0, "1,200 円 ¥3": 1200.0, "$ 4.50": 4.5, "5": None, "9.99 9.98": 9.99, "１２円": 12.0, "¥5": None, "12円 .": 12.0, "$7": None}
+    assert values(R.line_price, list(lines)) == list(lines.values())
+    dates = {"on 2024/1/2 or 3/4/2025": "2024-01-02", "3-4-2025": "2025-03-04", "3/4/25x 5/6/27": "2027-05-06", "１２/３１/２４": "2024-12-31",
+             "12345/6/7": "2345-06-07", "no day": None, "": None}
+    assert values(R.date_text, list(dates)) == list(dates.values())
+    words = {"Subtotal 3": True, "GRAND  TOTAL": True, "Tax Incl.": True, "taxincl": True, "Amount due": True, "amountdue": True, "balance": True,
+             "合計": True, "小計": True, "総計": True, "お支払い": True, "お買上": True, "お預り": False, "tax": False, "計": False, "amount": False, "totaI": False}
+    assert values(R.is_total_line, list(words)) == list(words.values())
