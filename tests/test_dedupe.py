@@ -3,7 +3,7 @@ from datetime import date
 
 import pytest
 
-from cupboard.operators.dedupe import accept_by_order, accept_new, accept_possessions, drop_empty
+from cupboard.operators.dedupe import accept_by_order, accept_new, accept_possessions, drop_empty, without_seen
 
 COLUMNS = "rn long, source string, item_name string, purchase_date date, price double, order_id string"
 
@@ -81,3 +81,11 @@ def test_possessions_first_wins(spark):
         "rn int, name string, category string")
     owned = spark.createDataFrame([("Pan", "kitchen")], "name string, category string")
     assert sorted(r.rn for r in accept_possessions(rows, owned, ["rn"]).collect()) == [1, 3]
+
+
+def test_two_keys_are_looked_up_with_one_join_each(spark):
+    rows = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, None, "r"), (4, "c", None), (5, "d", "s")], "id int, hash string, path string")
+    seen = spark.createDataFrame([("a", "x"), ("y", "q"), (None, None)], "hash string, path string")
+    new = without_seen(rows, seen, ("path",), ("hash",))
+    assert sorted(r.id for r in new.collect()) == [3, 4, 5]
+    assert new._jdf.queryExecution().analyzed().toString().count("Join LeftAnti") == 2
